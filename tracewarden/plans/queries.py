@@ -793,7 +793,7 @@ def pseudonymise_stream_sessions(spark, sf):
         spark,
         lambda: _collected(
             spark,
-            pseudonymise_stream(turns, redact.compile_policy(PSEUDONYM_POLICY), "row_id"),
+            pseudonymise_stream(turns, redact.compile_policy(PSEUDONYM_POLICY), "row_id", idle_minutes=None),
             "pseudonyms",
         ),
     )

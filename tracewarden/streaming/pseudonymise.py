@@ -23,10 +23,10 @@ OUTPUT = "row_key long, session_id string, redacted string, names array<string>"
 
 
 class SessionNames(StatefulProcessor):
-    """Placeholders per session; forgotten after an idle period."""
+    """Placeholders per session; forgotten after an idle period, if one is given."""
 
-    def __init__(self, idle_minutes: int = IDLE_MINUTES) -> None:
-        self._idle_ms = idle_minutes * 60_000
+    def __init__(self, idle_minutes: int | None) -> None:
+        self._idle_ms = idle_minutes * 60_000 if idle_minutes else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -61,7 +61,8 @@ class SessionNames(StatefulProcessor):
                     "names": names,
                 }
             )
-        self._rearm(timers)
+        if self._idle_ms:
+            self._rearm(timers)
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
         self._names.clear()
@@ -78,9 +79,13 @@ def pseudonymise_stream(
     row_key: str,
     session: str = "session_id",
     text: str = "text",
-    idle_minutes: int = IDLE_MINUTES,
+    idle_minutes: int | None = IDLE_MINUTES,
 ) -> DataFrame:
-    """row_key, session_id, pseudonymised text. Rows without a session share one dictionary."""
+    """row_key, session_id, pseudonymised text. Rows without a session share one dictionary.
+
+    Idle sessions are forgotten by processing-time timers, which keep a stream running.
+    A run that should end with its input passes None and keeps every session.
+    """
     marked = with_stand_ins(stream, policy, text)
     rows = marked.select(
         F.col(row_key).cast("long").alias("row_key"),
@@ -95,7 +100,7 @@ def pseudonymise_stream(
         SessionNames(idle_minutes),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if idle_minutes else "None",
     )
     return named.select(
         "row_key",
