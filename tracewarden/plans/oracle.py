@@ -54,7 +54,7 @@ def re2(pattern: Pattern) -> str:
 
 def pick(n: str, options) -> str:
     items = ", ".join(lit(o) for o in options)
-    return f"([{items}])[cast({n} % {len(options)} as int) + 1]"
+    return f"([{items}])[cast(({n}) % {len(options)} as int) + 1]"
 
 
 PLANTED = f"(select doc_id, lang, source, text || {pick('doc_id', d.PLANTED)} as text from documents)"
@@ -117,8 +117,8 @@ def every_match(relation: str, keys: str, pattern: Pattern, fields: str, text: s
 
 
 def entropy(value: str) -> str:
-    share = f"((length({value}) - length(replace({value}, c, ''))) / length({value}))"
-    return f"list_sum(list_transform(list_distinct(string_split({value}, '')), lambda c: -({share} * log2({share}))))"
+    share = f"((length({value}) - length(replace({value}, ch, ''))) / length({value}))"
+    return f"list_sum(list_transform(list_distinct(string_split({value}, '')), lambda ch: -({share} * log2({share}))))"
 
 
 def same_letter(value: str) -> str:
@@ -151,13 +151,17 @@ _AWS_SECRET = (
 ).replace("SP", _SPACES)
 
 
-def redaction_step(rule: Rule, policy: Policy, t: str) -> str:
-    """The text after one rule, every new token led by chr(3)."""
+def redaction_step(rule: Rule, policy: Policy) -> tuple[str, str, str]:
+    """SQL for the parts of t, its captures, and the text after the rule.
+
+    Every new token is led by chr(3).
+    """
     token = rule.token
     if rule.id == "aws-secret-key":
-        return f"regexp_replace({t}, {lit(_AWS_SECRET)}, '\\1' || chr(3) || {lit(token)} || '\\2', 'g')"
+        done = f"regexp_replace(t, {lit(_AWS_SECRET)}, '\\1' || chr(3) || {lit(token)} || '\\2', 'g')"
+        return "[t]", "[t]", done
     p = re2(rule.pattern)
-    parts = f"string_split(regexp_replace({t}, {p}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+    parts = f"string_split(regexp_replace(t, {p}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
     m, gap = "split_part(parts[i], chr(2), 1)", "split_part(parts[i], chr(2), 2)"
     captured = f"coalesce(cs[i - 1], {m})" if rule.group else m
     drops = [rule_drops(rule, m, captured)]
@@ -173,30 +177,27 @@ def redaction_step(rule: Rule, policy: Policy, t: str) -> str:
         region = f"lower({left} || {at(m)} || {right})"
         near = "(" + " or ".join(f"contains({region}, {lit(word)})" for word in rule.context) + ")"
         piece = f"case when not {at(dropped)} and {near} then chr(3) || {lit(token)} else {at(m)} end || {at(gap)} || acc"
-        done = f"parts[1] || list_reduce(list_transform(list_reverse(range(2, len(parts) + 1)), lambda i: cast(i as varchar)), lambda acc, e: {piece}, '')"
+        order = "list_transform(list_reverse(range(2, len(parts) + 1)), lambda i: cast(i as varchar))"
+        done = f"parts[1] || list_reduce({order}, lambda acc, e: {piece}, '')"
     else:
         done = (
             f"parts[1] || array_to_string(list_transform(range(2, len(parts) + 1), lambda i: "
             f"case when {dropped} then {m} else chr(3) || {lit(token)} end || {gap}), '')"
         )
-    groups = f"regexp_extract_all({t}, {p}, {rule.group})"
-    return (
-        f"case when regexp_matches({t}, {p}) then "
-        f"(select {done} from (select {parts} as parts, {groups} as cs)) else {t} end"
-    )
+    return parts, f"regexp_extract_all(t, {p}, {rule.group})", done
 
 
 def redacted(relation: str, keys: str, policy: Policy, counts: bool = False) -> str:
     """keys, t and, per rule, the number of replacements n0, n1, …"""
     sql = f"select {keys}, text as t from {relation}"
-    kept: list[str] = []
+    carried = ""
     for i, rule in enumerate(policy.rules):
-        step = redaction_step(rule, policy, "t")
+        parts, captures, done = redaction_step(rule, policy)
+        cut = f"(select {keys}{carried}, t, {parts} as parts, {captures} as cs from ({sql}))"
         counted = f", length(s) - length(replace(s, chr(3), '')) as n{i}" if counts else ""
-        carried = "".join(f", {k}" for k in kept)
-        sql = f"select {keys}, replace(s, chr(3), '') as t{carried}{counted} from (select {keys}{carried}, {step} as s from ({sql}))"
+        sql = f"select {keys}{carried}{counted}, replace(s, chr(3), '') as t from (select {keys}{carried}, {done} as s from {cut})"
         if counts:
-            kept.append(f"n{i}")
+            carried += f", n{i}"
     return sql
 
 
@@ -528,10 +529,10 @@ def chain_hits(rows: str) -> str:
 
 def dictionary(rows: str) -> str:
     first = (
-        f"select session_id, original, arg_min(rule, row_id * 1000000 + rule_ord * 10000 + i) as rule, min(row_id * 1000000 + rule_ord * 10000 + i) as at from {chain_hits(rows)} group by all"
+        f"select session_id, original, arg_min(rule, row_id * 1000000 + rule_ord * 10000 + i) as rule, min(row_id * 1000000 + rule_ord * 10000 + i) as place from {chain_hits(rows)} group by all"
     )
     return (
-        "(select session_id, original, rule, '[' || replace(upper(rule), '-', '_') || '_' || cast(row_number() over (partition by session_id, rule order by at) as varchar) || ']' as placeholder, at "
+        "(select session_id, original, rule, '[' || replace(upper(rule), '-', '_') || '_' || cast(row_number() over (partition by session_id, rule order by place) as varchar) || ']' as placeholder "
         f"from ({first}))"
     )
 
@@ -794,6 +795,11 @@ def _redaction_queries() -> dict[str, str]:
     o["redact_then_log"] = (
         f"select capture_id, 'accept' as request_headers, 'server' as response_headers, {digest('body')} from {json_redacted(PLANTED_CAPTURES, 'capture_id', 'request_body', PRESETS['strict'][20:21], NOT_KEY)}"
     )
+    path_of = "regexp_replace(regexp_replace(substr(fullkey, 2), '\\[[0-9]+\\]', '.*', 'g'), '^\\.', '')"
+    o["json_leaf_paths"] = (
+        f"select {path_of} as path, count(*) as leaves, cast(sum(length(json_extract_string(value, '$'))) as bigint) as chars "
+        f"from (select t.fullkey, t.value, t.type from {CAPTURES} c, json_tree(c.request_body) t) where type = 'VARCHAR' group by 1"
+    )
     o["transform_fail_open"] = (
         f"select try_cast(body as json) is null as transform_failed, count(*) as requests, cast(sum(length(case when try_cast(body as json) is null then body else replace(body, ' ', '') end)) as bigint) as chars from {LOG} group by 1"
     )
@@ -834,4 +840,7 @@ def _reversible_queries() -> dict[str, str]:
     words = "text"
     for rule in policy.rules:
         words = f"regexp_replace({words}, {re2(rule.pattern)}, '[' || replace(upper({lit(rule.id)}), '-', '_') || ']', 'g')"
+    o["pseudonymise_stream_sessions"] = (
+        f"select conv_id * 1000 + turn as row_id, cast(conv_id as varchar) as session_id, length({words}) as chars from conversations"
+    )
     return o

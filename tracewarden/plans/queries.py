@@ -800,7 +800,9 @@ def pseudonymise_stream_sessions(spark, sf):
     return done.select(
         F.col("row_key").alias("row_id"),
         "session_id",
-        F.length(F.regexp_replace("pseudonymised", r"\[WORD_\d+\]", "[WORD]")).alias("chars"),
+        F.length(
+            F.regexp_replace("pseudonymised", r"\[(EMAIL|DIGITS_3|WORD)_\d+\]", "[$1]")
+        ).alias("chars"),
     )
 
 
