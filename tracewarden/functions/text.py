@@ -110,43 +110,55 @@ def running_starts(lengths: Column) -> Column:
     )
 
 
-def located_matches(text: Column, java: str, group: int = 0) -> Column:
-    """All matches as array<struct<ord, match, captured, offset, length>>.
+def match_parts(text: Column, java: str, group: int, **tags: Column) -> Column:
+    """struct<tags…, m, c, g>: matches, captures and the gaps around the matches.
 
-    Matches and gaps interleave, so the offsets are running sums of their lengths.
-    ``captured`` is the group's text, or the whole match for group 0.
+    A capture is the group's text, or the whole match for group 0.
     """
+    whole = all_matches(text, java)
+    return F.struct(
+        *[value.alias(name) for name, value in tags.items()],
+        whole.alias("m"),
+        (all_matches(text, java, group) if group else whole).alias("c"),
+        gaps(text, java).alias("g"),
+    )
 
-    def build(parts: Column) -> Column:
-        sizes = F.transform(
-            indices(parts.m),
-            lambda i: utf16_length(F.get(parts.g, i)) + utf16_length(F.get(parts.m, i)),
-        )
-        return let(
-            running_starts(sizes),
-            lambda starts: F.transform(
-                indices(parts.m),
-                lambda i: F.struct(
-                    i.alias("ord"),
-                    F.get(parts.m, i).alias("match"),
-                    F.get(parts.c, i).alias("captured"),
-                    (F.get(starts, i) + utf16_length(F.get(parts.g, i))).alias("offset"),
-                    utf16_length(F.get(parts.m, i)).alias("length"),
-                ),
-            ),
-        )
 
-    whole = all_matches(text, java)
+def located(parts: Column, tags: tuple[str, ...]) -> Column:
+    """array<struct<tags…, ord, match, captured, offset, length>> of one rule's matches.
+
+    Matches and gaps interleave, so the offsets are running sums of their lengths.
+    """
+    sizes = F.transform(
+        indices(parts["m"]),
+        lambda i: utf16_length(F.get(parts["g"], i)) + utf16_length(F.get(parts["m"], i)),
+    )
     return let(
-        F.struct(
-            whole.alias("m"),
-            (all_matches(text, java, group) if group else whole).alias("c"),
-            gaps(text, java).alias("g"),
+        running_starts(sizes),
+        lambda starts: F.transform(
+            indices(parts["m"]),
+            lambda i: F.struct(
+                *[parts[tag].alias(tag) for tag in tags],
+                i.alias("ord"),
+                F.get(parts["m"], i).alias("match"),
+                F.get(parts["c"], i).alias("captured"),
+                (F.get(starts, i) + utf16_length(F.get(parts["g"], i))).cast("int").alias("offset"),
+                utf16_length(F.get(parts["m"], i)).cast("int").alias("length"),
+            ),
         ),
-        build,
     )
 
 
+def located_all(rules: list[Column], tags: tuple[str, ...]) -> Column:
+    """The located matches of several rules, rule after rule.
+
+    Each entry of ``rules`` is a ``match_parts`` struct, or null where the rule does not
+    apply; positions are worked out in one place for all of them.
+    """
+    hit = F.array_compact(F.array(*rules))
+    return F.flatten(F.transform(hit, lambda parts: located(parts, tags)))
+
+
 def shannon_entropy(value: Column) -> Column:
     """Average bits per character."""
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.text import (
     any_of,
-    located_matches,
+    located_all,
+    match_parts,
     shannon_entropy,
 )
 from tracewarden.rules.base import Rule
@@ -33,41 +34,34 @@ def rule_guard(rule: Rule, text: Column, lowered: Column) -> Column:
     return checks & F.rlike(text, F.lit(rule.probe.java if rule.probe else rule.java))
 
 
-def rule_findings(rule: Rule, text: Column, lowered: Column) -> Column:
-    """The kept matches of one rule, as an array of located matches."""
-    found = located_matches(text, rule.java, rule.group)
-    if rule.allow or rule.min_entropy is not None:
-        found = F.filter(found, lambda m: ~suppressed(rule, m["match"], m["captured"]))
-    return F.when(rule_guard(rule, text, lowered), found)
-
-
-def _labelled(position: int, rule: Rule, found: Column) -> Column:
-    return F.transform(
-        found,
-        lambda m: F.struct(
-            F.lit(position).alias("rule_ord"),
-            F.lit(rule.id).alias("rule"),
-            F.lit(rule.label).alias("label"),
-            m["ord"].alias("match_ord"),
-            m["match"].alias("match"),
-            m["captured"].alias("captured"),
-            m["offset"].alias("offset"),
-            m["length"].alias("length"),
-        ),
-    )
-
-
 def scan_credentials(
     df: DataFrame, text: str = "text", keys: list[str] | None = None, rules: tuple[Rule, ...] = CREDENTIALS
 ) -> DataFrame:
     """One row per credential found: keys, rule position, id, label, match, offset, length."""
     keys = keys or [c for c in df.columns if c != text]
-    rows = df.filter(F.length(text) > 0).withColumn("_low", F.lower(F.col(text)))
+    body, lowered = F.col(text), F.col("_low")
+    rows = df.filter(F.length(text) > 0).withColumn("_low", F.lower(body))
+    tags = ("rule_ord", "rule", "label")
     per_rule = [
-        _labelled(i, r, rule_findings(r, F.col(text), F.col("_low"))) for i, r in enumerate(rules)
+        F.when(
+            rule_guard(r, body, lowered),
+            match_parts(
+                body, r.java, r.group, rule_ord=F.lit(i), rule=F.lit(r.id), label=F.lit(r.label)
+            ),
+        )
+        for i, r in enumerate(rules)
     ]
-    hits = F.flatten(F.array_compact(F.array(*per_rule)))
-    return rows.select(*keys, F.inline(hits))
+
+    def kept(hit: Column) -> Column:
+        verdict = F
+        for i, r in enumerate(rules):
+            drop = suppressed(r, hit["match"], hit["captured"])
+            if drop is not None:
+                verdict = verdict.when(hit["rule_ord"] == i, ~drop)
+        return F.lit(True) if verdict is F else verdict.otherwise(True)
+
+    hits = F.filter(located_all(per_rule, tags), kept)
+    return rows.select(*keys, F.inline(hits)).withColumnRenamed("ord", "match_ord")
 
 
 def secret_inventory(findings: DataFrame, key: str) -> DataFrame:

@@ -9,31 +9,41 @@ from tracewarden.dialect import Pattern, quote, replacement
 from tracewarden.functions.text import (
     all_matches,
     let,
-    located_matches,
+    located_all,
+    match_parts,
     snippet,
     utf16_length,
 )
 from tracewarden.rules.output import BANNED, BLOCKED_DOMAINS, DANGEROUS_CODE, REDACTED, URL
 
-ALERT_FIELDS = ("index", "severity", "pattern", "match", "offset", "length")
+_TAGS = ("index", "severity", "pattern")
+_ALERTS = "array<struct<index:int,severity:string,pattern:string,match:string,offset:int,length:int>>"
 
 
-def _alerts(found: Column, index: int, severity: str, pattern: str) -> Column:
+def _tagged(body: Column, java: str, index: int, severity: str, pattern: str) -> Column:
+    """The matches of one rule with what its alerts will say."""
+    return match_parts(
+        body, java, 0, index=F.lit(index), severity=F.lit(severity), pattern=F.lit(pattern)
+    )
+
+
+def _alerts(per_rule: list[Column]) -> Column:
+    """Alerts of several rules, rule after rule."""
+    if not per_rule:
+        return F.array().cast(_ALERTS)
     return F.transform(
-        found,
+        located_all(per_rule, _TAGS),
         lambda m: F.struct(
-            F.lit(index).alias("index"),
-            F.lit(severity).alias("severity"),
-            F.lit(pattern).alias("pattern"),
+            *[m[tag].alias(tag) for tag in _TAGS],
             snippet(m["match"]).alias("match"),
-            m["offset"].cast("int").alias("offset"),
-            m["length"].cast("int").alias("length"),
+            m["offset"].alias("offset"),
+            m["length"].alias("length"),
         ),
     )
 
 
-def _unroll(df: DataFrame, keys: list[str], per_rule: list[Column]) -> DataFrame:
-    return df.select(*keys, F.inline(F.flatten(F.array_compact(F.array(*per_rule)))))
+def _unroll(df: DataFrame, keys: list[str], alerts: Column) -> DataFrame:
+    return df.select(*keys, F.inline(alerts))
 
 
 def _keys(df: DataFrame, text: str, keys: list[str] | None) -> list[str]:
@@ -67,17 +77,14 @@ def _banned_alerts(body: Column, lowered: Column, substrings, case_sensitive: bo
         java = Pattern(quote(banned), "" if case_sensitive else "i").java
         guard = F.contains(lowered, F.lit(banned.lower()))
         per_rule.append(
-            F.when(guard, _alerts(located_matches(body, java), i, "high", "ban_substring"))
+            F.when(guard, _tagged(body, java, i, "high", "ban_substring"))
         )
     return per_rule
 
 
 def _pattern_alerts(body: Column, usable: list[tuple[int, Pattern]]) -> list[Column]:
     return [
-        F.when(
-            F.rlike(body, F.lit(p.java)),
-            _alerts(located_matches(body, p.java), i, "medium", f"regex_{i}"),
-        )
+        F.when(F.rlike(body, F.lit(p.java)), _tagged(body, p.java, i, "medium", f"regex_{i}"))
         for i, p in usable
     ]
 
@@ -93,12 +100,7 @@ def scan_banned(
     keys = _keys(df, text, keys)
     rows = df.withColumn("_low", F.lower(F.col(text)))
     per_rule = _banned_alerts(F.col(text), F.col("_low"), substrings, case_sensitive)
-    return _unroll(rows, keys, per_rule) if per_rule else _empty(df, keys)
-
-
-def _empty(df: DataFrame, keys: list[str]) -> DataFrame:
-    schema = "array<struct<index:int,severity:string,pattern:string,match:string,offset:int,length:int>>"
-    return df.select(*keys, F.inline(F.array().cast(schema)))
+    return _unroll(rows, keys, _alerts(per_rule))
 
 
 def scan_patterns(
@@ -107,7 +109,7 @@ def scan_patterns(
     """Blocked mode: an alert for every match of every custom pattern."""
     keys = _keys(df, text, keys)
     per_rule = _pattern_alerts(F.col(text), usable_patterns(df.sparkSession, patterns))
-    return _unroll(df, keys, per_rule) if per_rule else _empty(df, keys)
+    return _unroll(df, keys, _alerts(per_rule))
 
 
 def scan_required(
@@ -115,23 +117,21 @@ def scan_required(
 ) -> DataFrame:
     """Required mode: an alert for every custom pattern that a text lacks."""
     keys = _keys(df, text, keys)
-    per_rule = [
+    missing = [
         F.when(
             ~F.rlike(F.col(text), F.lit(p.java)),
-            F.array(
-                F.struct(
-                    F.lit(i).alias("index"),
-                    F.lit("medium").alias("severity"),
-                    F.lit(f"regex_{i}").alias("pattern"),
-                    F.lit(f"(required pattern not found: {p.source})").alias("match"),
-                    F.lit(0).alias("offset"),
-                    F.lit(0).alias("length"),
-                )
+            F.struct(
+                F.lit(i).alias("index"),
+                F.lit("medium").alias("severity"),
+                F.lit(f"regex_{i}").alias("pattern"),
+                F.lit(f"(required pattern not found: {p.source})").alias("match"),
+                F.lit(0).alias("offset"),
+                F.lit(0).alias("length"),
             ),
         )
         for i, p in usable_patterns(df.sparkSession, patterns)
     ]
-    return _unroll(df, keys, per_rule) if per_rule else _empty(df, keys)
+    return _unroll(df, keys, F.array_compact(F.array(*missing)).cast(_ALERTS))
 
 
 def redact_patterns(df: DataFrame, patterns: list[str], text: str = "text", out: str = "redacted") -> DataFrame:
@@ -201,7 +201,7 @@ def blocked_urls(
     ``blocked_urls_by_table`` takes a blocklist of any size.
     """
     keys = _keys(df, text, keys)
-    return _unroll(df, keys, [_url_alerts(F.col(text), domains)])
+    return _unroll(df, keys, _url_alerts(F.col(text), domains))
 
 
 def parent_domains(host: Column) -> Column:
@@ -236,9 +236,7 @@ def blocked_urls_by_table(
 
 def _code_alerts(body: Column, lowered: Column) -> list[Column]:
     return [
-        F.when(
-            r.may_match(lowered), _alerts(located_matches(body, r.java), 0, r.severity, r.id)
-        )
+        F.when(r.may_match(lowered), _tagged(body, r.java, 0, r.severity, r.id))
         for r in DANGEROUS_CODE
     ]
 
@@ -247,7 +245,7 @@ def scan_code(df: DataFrame, text: str = "text", keys: list[str] | None = None)
     """Every occurrence of a dangerous code idiom."""
     keys = _keys(df, text, keys)
     rows = df.withColumn("_low", F.lower(F.col(text)))
-    return _unroll(rows, keys, _code_alerts(F.col(text), F.col("_low")))
+    return _unroll(rows, keys, _alerts(_code_alerts(F.col(text), F.col("_low"))))
 
 
 def with_output_alerts(
@@ -264,19 +262,15 @@ def with_output_alerts(
     scan off, an empty list scans nothing.
     """
     body, lowered = F.col(text), F.col("_low")
-    parts: list[Column] = []
+    first: list[Column] = []
     if not isinstance(banned, bool):
-        parts += _banned_alerts(body, lowered, BANNED if banned is None else banned, False)
+        first += _banned_alerts(body, lowered, BANNED if banned is None else banned, False)
     if patterns:
-        parts += _pattern_alerts(body, usable_patterns(df.sparkSession, patterns))
-    if urls:
-        parts.append(_url_alerts(body, BLOCKED_DOMAINS))
-    if code:
-        parts += _code_alerts(body, lowered)
-    none = F.array().cast(
-        "array<struct<index:int,severity:string,pattern:string,match:string,offset:int,length:int>>"
-    )
-    found = F.flatten(F.array_compact(F.array(*parts, none)))
+        first += _pattern_alerts(body, usable_patterns(df.sparkSession, patterns))
+    none = F.array().cast(_ALERTS)
+    listed = F.coalesce(_url_alerts(body, BLOCKED_DOMAINS), none) if urls else none
+    last = _code_alerts(body, lowered) if code else []
+    found = F.concat(_alerts(first), listed, _alerts(last))
     return df.withColumn("_low", F.lower(body)).withColumn("alerts", found).drop("_low")
 
 
