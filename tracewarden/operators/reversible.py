@@ -158,7 +158,8 @@ _PLACEHOLDER = r"\[[A-Z0-9_]+_[0-9]+\]"
 
 def json_escape(text: Column) -> Column:
     """A string as it stands inside a JSON literal."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1)
+    inside = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":"(.*)"\}$', 1)
+    return F.when(text.isNotNull(), inside)
 
 
 def _found_placeholders(df: DataFrame, text: str) -> Column:
