@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ASTRAL = r"[^\x{0000}-\x{FFFF}]"
@@ -23,6 +23,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unroll(df: DataFrame, keys: list[str], structs: Column) -> DataFrame:
+    """One row per struct of an array: the keys, then the fields.
+
+    The outer form keeps the optimizer from filtering on the array first, which would
+    evaluate the expression that builds it once more.
+    """
+    rows = df.select(*keys, F.inline_outer(structs))
+    # A field is null for every row without structs; the first one never is otherwise.
+    return rows.filter(F.col(rows.columns[len(keys)]).isNotNull())
+
+
+def unroll_items(df: DataFrame, keys: list[str], items: Column, place: str, value: str) -> DataFrame:
+    """One row per array item with its position."""
+    rows = df.select(*keys, F.posexplode_outer(items).alias(place, value))
+    return rows.filter(F.col(place).isNotNull())
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

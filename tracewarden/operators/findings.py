@@ -10,6 +10,7 @@ from tracewarden.functions.text import (
     located_all,
     match_parts,
     shannon_entropy,
+    unroll,
 )
 from tracewarden.rules.base import Rule
 from tracewarden.rules.credentials import CREDENTIALS
@@ -26,12 +27,12 @@ def suppressed(rule: Rule, match: Column, captured: Column) -> Column | None:
 
 
 def rule_guard(rule: Rule, text: Column, lowered: Column) -> Column:
-    """True when the rule has a match, tested from the cheapest check to the full pattern."""
+    """A necessary condition for a match, from the cheapest check to the rule's probe."""
     checks = F.lit(True)
     literal = rule.may_match(lowered)
     if literal is not None:
         checks = literal
-    return checks & F.rlike(text, F.lit(rule.probe.java if rule.probe else rule.java))
+    return checks & F.rlike(text, F.lit(rule.probe_java))
 
 
 def scan_credentials(
@@ -61,7 +62,7 @@ def scan_credentials(
         return F.lit(True) if verdict is F else verdict.otherwise(True)
 
     hits = F.filter(located_all(per_rule, tags), kept)
-    return rows.select(*keys, F.inline(hits)).withColumnRenamed("ord", "match_ord")
+    return unroll(rows, keys, hits).withColumnRenamed("ord", "match_ord")
 
 
 def secret_inventory(findings: DataFrame, key: str) -> DataFrame:

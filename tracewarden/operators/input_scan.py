@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.text import let, snippet, utf16_length
+from tracewarden.functions.text import let, snippet, unroll, unroll_items, utf16_length
 from tracewarden.rules.base import Rule
 from tracewarden.rules.injection import (
     INJECTION,
@@ -65,6 +65,9 @@ def _alert(severity: str, pattern: str, hit: Column, index: Column, role: Column
 def injection_alert(text: Column, lowered: Column, rule: Rule, index: Column, role: Column, tool: Column) -> Column:
     hit = _first_hit(text, rule)
     guard = rule.may_match(lowered)
+    if rule.probe:
+        light = F.rlike(text, F.lit(rule.probe.java))
+        guard = light if guard is None else guard & light
     if guard is not None:
         hit = F.when(guard, hit)
     return let(hit, lambda h: _alert(rule.severity, rule.id, h, index, role, tool))
@@ -145,7 +148,7 @@ def scan_texts(
     if "unicode" in tiers:
         alerts.append(unicode_alert(body, index_col, role_col, tool_col))
     found = F.array_compact(F.array(*alerts))
-    return rows.select(*keys, F.inline(found))
+    return unroll(rows, keys, found)
 
 
 def scan_conversations(
@@ -185,7 +188,7 @@ def request_messages(requests: DataFrame, body: str = "request_body", keys: list
 
     keys = keys or [c for c in requests.columns if c != body]
     messages = items(F.try_parse_json(F.col(body)), "$.messages")
-    exploded = requests.select(*keys, F.posexplode(messages).alias("idx", "_message"))
+    exploded = unroll_items(requests, keys, messages, "idx", "_message")
     return exploded.select(
         *keys,
         "idx",

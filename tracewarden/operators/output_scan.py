@@ -12,6 +12,8 @@ from tracewarden.functions.text import (
     located_all,
     match_parts,
     snippet,
+    unroll,
+    unroll_items,
     utf16_length,
 )
 from tracewarden.rules.output import BANNED, BLOCKED_DOMAINS, DANGEROUS_CODE, REDACTED, URL
@@ -43,7 +45,7 @@ def _alerts(per_rule: list[Column]) -> Column:
 
 
 def _unroll(df: DataFrame, keys: list[str], alerts: Column) -> DataFrame:
-    return df.select(*keys, F.inline(alerts))
+    return unroll(df, keys, alerts)
 
 
 def _keys(df: DataFrame, text: str, keys: list[str] | None) -> list[str]:
@@ -146,7 +148,7 @@ def extract_urls(df: DataFrame, text: str = "text", keys: list[str] | None = Non
     """One row per URL in a text: keys, ord, url."""
     keys = _keys(df, text, keys)
     urls = F.when(F.contains(F.col(text), F.lit("://")), all_matches(F.col(text), URL.java))
-    return df.select(*keys, F.posexplode(urls).alias("ord", "url"))
+    return unroll_items(df, keys, urls, "ord", "url")
 
 
 def url_host(url: Column) -> Column:
@@ -277,7 +279,7 @@ def with_output_alerts(
 def scan_output(df: DataFrame, text: str = "text", keys: list[str] | None = None, **switches) -> DataFrame:
     """One row per alert of the combined scan."""
     keys = _keys(df, text, keys)
-    return with_output_alerts(df, text, **switches).select(*keys, F.inline("alerts"))
+    return unroll(with_output_alerts(df, text, **switches), keys, F.col("alerts"))
 
 
 def output_verdicts(df: DataFrame, text: str = "text", keys: list[str] | None = None, **switches) -> DataFrame:

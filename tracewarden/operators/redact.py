@@ -26,6 +26,8 @@ from tracewarden.functions.text import (
     gaps,
     indices,
     let,
+    unroll,
+    unroll_items,
 )
 from tracewarden.operators.findings import suppressed
 from tracewarden.rules.base import Rule
@@ -130,7 +132,7 @@ def _step_guard(rule: Rule, now: Column, lowered: Column, untouched: Column) ->
     if rule.context and all(word.isascii() for word in rule.context):
         spoken = any_of([F.contains(lowered, F.lit(word)) for word in rule.context])
         literal = spoken if literal is None else literal & spoken
-    pattern = F.rlike(now, F.lit(rule.probe.java if rule.probe else rule.java))
+    pattern = F.rlike(now, F.lit(rule.probe_java))
     if literal is None:
         return pattern
     return (literal | ~untouched) & pattern
@@ -401,7 +403,7 @@ def redaction_findings(
     """One row per replacement: keys, rule_ord, rule, hit_ord, original."""
     keys = keys or [c for c in df.columns if c != text]
     rows = df.select(*keys, F.col(text).alias("_text"))
-    return redact_with_hits(rows, policy, "_text").select(*keys, F.inline("hits"))
+    return unroll(redact_with_hits(rows, policy, "_text"), keys, F.col("hits"))
 
 
 def redaction_stats(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -550,7 +552,7 @@ def json_leaves(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
         ),
     )
     valid = F.when(F.try_parse_json(text).isNotNull(), leaves)
-    return df.select(*keys, F.posexplode(valid).alias("leaf_ord", "_leaf")).select(
+    return unroll_items(df, keys, valid, "leaf_ord", "_leaf").select(
         *keys,
         "leaf_ord",
         F.array_join(F.col("_leaf.path"), ".").alias("path"),

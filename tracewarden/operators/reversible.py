@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.jsonpath import text as string_at
-from tracewarden.functions.text import all_matches, gaps, indices, let
+from tracewarden.functions.text import all_matches, gaps, indices, let, unroll_items
 from tracewarden.operators.ranking import numbered
 from tracewarden.operators.redact import Policy, redact_with_hits
 from tracewarden.rules.base import Rule
@@ -45,12 +45,14 @@ def session_hits(
 ) -> DataFrame:
     """Hits as rows: session, order, leaf, serial, rule, original."""
     place = F.col(leaf) if leaf else F.lit(0)
-    return marked.select(
+    rows = marked.select(
         F.coalesce(F.nullif(F.col(session), F.lit("")), F.lit(DEFAULT_SESSION)).alias("session_id"),
         F.col(order).alias("seq"),
         place.alias("leaf"),
-        F.posexplode("hits").alias("serial", "_hit"),
-    ).select("session_id", "seq", "leaf", "serial", "_hit.rule", "_hit.original")
+        "hits",
+    )
+    unrolled = unroll_items(rows, ["session_id", "seq", "leaf"], F.col("hits"), "serial", "_hit")
+    return unrolled.select("session_id", "seq", "leaf", "serial", "_hit.rule", "_hit.original")
 
 
 def build_dictionary(hits: DataFrame, bucket_width: int = 4096) -> DataFrame:
@@ -113,24 +115,30 @@ def pseudonymise(
     order: str = "seq",
     text: str = "text",
     out: str = "pseudonymised",
+    staging: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(the table with placeholders, the dictionary). ``key`` identifies a row.
 
     Only rows with hits take part in the join: their hits meet the dictionary on
     (session, original), and the placeholders return to the row on ``key``. An original
     that fills a large share of the hits meets a single dictionary row, which adaptive
-    skew handling can split.
+    skew handling can split. The marked texts feed the dictionary and the result; with
+    ``staging``, a folder that all executors share, they are written once and read back,
+    so that the rules run a single time over a large table.
     """
     marked = with_stand_ins(df, policy, text)
+    if staging:
+        marked.write.mode("overwrite").parquet(staging)
+        marked = df.sparkSession.read.schema(marked.schema).parquet(staging)
     hits = session_hits(marked, session, order)
     dictionary = build_dictionary(hits)
+    owned = marked.select(
+        F.col(key).alias("_row"),
+        F.coalesce(F.nullif(F.col(session), F.lit("")), F.lit(DEFAULT_SESSION)).alias("session_id"),
+        "hits",
+    )
     named = (
-        marked.filter(F.size("hits") > 0)
-        .select(
-            F.col(key).alias("_row"),
-            F.coalesce(F.nullif(F.col(session), F.lit("")), F.lit(DEFAULT_SESSION)).alias("session_id"),
-            F.posexplode("hits").alias("serial", "_hit"),
-        )
+        unroll_items(owned, ["_row", "session_id"], F.col("hits"), "serial", "_hit")
         .select("_row", "session_id", "serial", F.col("_hit.original").alias("original"))
         .join(dictionary.select("session_id", "original", "placeholder"), ["session_id", "original"])
         .groupBy("_row")
@@ -287,9 +295,7 @@ def sse_deltas(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
             unescaped(content_literal(F.substring(line, 7, 2147483647))),
         ),
     )
-    return (
-        df.select(*keys, F.posexplode(lines).alias("line", "delta")).filter(F.col("delta").isNotNull())
-    )
+    return unroll_items(df, keys, lines, "line", "delta").filter(F.col("delta").isNotNull())
 
 
 def sse_text(df: DataFrame, body: str, keys: list[str], out: str = "answer") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.jsonpath import is_array, is_object, items, node, text
-from tracewarden.functions.text import let, text_tokens, to_fixed
+from tracewarden.functions.text import let, text_tokens, to_fixed, unroll_items
 from tracewarden.operators.usage import cost_ledger, usage_ledger
 
 
@@ -241,8 +241,7 @@ def tool_table(captures: DataFrame, keys: list[str]) -> DataFrame:
     """One row per tool definition: keys, tool_ord, name, description, param_count."""
     tools = tool_definitions(F.col("_request"), F.col("provider"))
     return (
-        with_request(captures)
-        .select(*keys, F.posexplode(tools).alias("tool_ord", "_tool"))
+        unroll_items(with_request(captures), keys, tools, "tool_ord", "_tool")
         .select(*keys, "tool_ord", "_tool.*")
     )
 

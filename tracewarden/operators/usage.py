@@ -23,7 +23,7 @@ from tracewarden.functions.jsonpath import (
     truthy,
 )
 from tracewarden.functions.sse import events, has_data_lines
-from tracewarden.functions.text import let
+from tracewarden.functions.text import let, unroll
 from tracewarden.rules.models import CACHE_SHARES, DEFAULT_CONTEXT_LIMIT, MODELS
 
 COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "thinking_tokens")
@@ -334,7 +334,7 @@ def provider_stream_usage(df: DataFrame, body: str = "response_body", provider:
     counted = F.filter(F.array(got), lambda u: sum((u[c] for c in COUNTS), F.lit(0.0)) > 0)
     rows = df.filter(who.isin("anthropic", "openai", "chatgpt", "gemini"))
     kept = [c for c in df.columns if c not in _TYPES]
-    return rows.select(*kept, F.inline(counted)).withColumns(
+    return unroll(rows, kept, counted).withColumns(
         {c: F.col(c).cast("long") for c in COUNTS}
     )
 

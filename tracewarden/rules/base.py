@@ -42,6 +42,17 @@ class Rule:
     def group(self) -> int:
         return 1 if self.pattern.groups else 0
 
+    @property
+    def probe_java(self) -> str:
+        """The lightest pattern that matches whenever the rule does.
+
+        Without its word boundaries a pattern matches at least as much and is faster.
+        """
+        if self.probe:
+            return self.probe.java
+        if self.java_override or r"\b" not in self.pattern.source:
+            return self.java
+        return Pattern(self.pattern.source.replace(r"\b", ""), self.pattern.flags).java
 
     def may_match(self, lowered: Column) -> Column | None:
         """Byte-level pre-check on the lower-cased text; None when there is none."""

@@ -43,6 +43,7 @@ CREDENTIALS = (
          label="PyPI upload token", needs=(("pypi-ageichlwas5vcmc",),)),
     rule("credential_vault", r"\b(?:hvs\.[\w-]{90,120}|hvb\.[\w-]{138,300}|s\.[a-zA-Z0-9]{24})\b",
          label="HashiCorp Vault token", needs=(("hvs.", "hvb.", "s."),),
+         probe=Pattern(r"hv[sb]\.[\w-]{90}|s\.[a-zA-Z0-9]{24}"),
          allow=(Pattern(r"\bs\.[a-z]{24}\b"), Pattern(r"\bs\.[A-Z]{24}\b"),
                 Pattern(r"\bhvs\.x+\b", "i"), Pattern(r"\bhvb\.x+\b", "i"))),
     rule("credential_sendgrid", r"\bSG\.[a-z0-9=_\-.]{66}\b", "i",

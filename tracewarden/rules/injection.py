@@ -37,7 +37,7 @@ INJECTION = (
     rule("chat_template_special", r"<\|(?:system|user|assistant|endof(?:text|turn)|sep|pad)\|>",
          severity="high", needs=(("<|",), ("|>",))),
     rule("base64_block", r"(?:^|[\s:=])([A-Za-z0-9+/]{100,}={0,2})(?:$|[\s])", "m",
-         severity="medium"),
+         severity="medium", probe=Pattern(r"[A-Za-z0-9+/]{100}")),
     rule("html_hidden_text", r"<!--[\s\S]*?(?:ignore|instruction|system|prompt|override)[\s\S]*?-->", "i",
          severity="medium", anchor="<!--",
          needs=(("<!--",), ("-->",), ("ignore", "instruction", "system", "prompt", "override"))),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from tracewarden.dialect import Pattern
 from tracewarden.rules.base import Rule, rule
 from tracewarden.rules.credentials import BY_ID
 
@@ -67,7 +68,7 @@ PII = (
 
 STRICT = (
     rule("ipv4", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
-         token="[IP_REDACTED]"),
+         token="[IP_REDACTED]", probe=Pattern(r"\d\.\d{1,3}\.\d{1,3}\.\d")),
     rule("ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
          token="[IP_REDACTED]", needs=((":",),)),
     rule("date-of-birth", r"\b(?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])[-/](?:19|20)\d{2}\b",
