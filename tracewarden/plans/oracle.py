@@ -59,8 +59,8 @@ def pick(n: str, options) -> str:
 
 PLANTED = f"(select doc_id, lang, source, text || {pick('doc_id', d.PLANTED)} as text from documents)"
 MESSAGES = (
-    "(select conv_id, turn, case when role = 'assistant' and conv_id % 3 = 0 then 'tool' else role end as role, "
-    f"text || {pick('conv_id * 7 + turn', d.PLANTED)} as text from conversations)"
+    "(select conv_id, turn, case when role = 'assistant' and conv_id % 3 <> 1 then 'tool' else role end as role, "
+    f"text || {pick('conv_id + turn * 11', d.PLANTED)} as text from conversations)"
 )
 CAPTURES = "(" + d.captures_sql("conversations") + ")"
 PLANTED_CAPTURES = "(" + d.captures_sql(MESSAGES) + ")"
@@ -684,7 +684,7 @@ def _scan_queries() -> dict[str, str]:
     injection = lambda rel, keys, where="true": [first_match(rel, keys, r.pattern, i, r.id, r.severity, where) for i, r in enumerate(INJECTION)]
     shown = f"pattern, severity, {CUT} as match, off as \"offset\", length(m) as length"
     o["scan_injection"] = f"select doc_id, {shown} from {_alerts(injection(PLANTED, 'doc_id'))}"
-    pages = "(select page_id, html as text from pages)"
+    pages = f"(select page_id, html || {pick('page_id', d.HIDDEN_MARKUP)} as text from pages)"
     o["scan_hidden_markup"] = f"select page_id, {shown} from {_alerts(injection(pages, 'page_id'))}"
 
     def confusion(rel: str, keys: str) -> str:
@@ -833,7 +833,7 @@ def _reversible_queries() -> dict[str, str]:
     deltas = sse_delta_rows(CAPTURES)
     o["sse_content"] = f"select capture_id, cast(line_no as int) as line, {digest('delta')} from {deltas}"
     o["sse_answer"] = f"select capture_id, {digest('s')} from (select capture_id, string_agg(delta, '' order by line_no) as s from {deltas} group by capture_id)"
-    turns = MESSAGES.replace("case when role = 'assistant' and conv_id % 3 = 0 then 'tool' else role end as role", "role")
+    turns = MESSAGES.replace("case when role = 'assistant' and conv_id % 3 <> 1 then 'tool' else role end as role", "role")
     answers = f"select capture_id, {digest('t0')} from (select conv_id * 1000 + turn as capture_id, text as t0 from {turns} where role = 'assistant' and turn % 4 <> 1)"
     o["sse_rehydrate_batch"] = answers
     o["sse_rehydrate_stream"] = answers

@@ -362,7 +362,7 @@ def scan_injection(spark, sf):
 @query
 def scan_hidden_markup(spark, sf):
     alerts = input_scan.scan_texts(
-        derived.table(spark, sf, "pages"), text="html", keys=["page_id"], tiers=("injection",)
+        derived.planted_pages(spark, sf), text="html", keys=["page_id"], tiers=("injection",)
     )
     return alerts.select("page_id", "pattern", "severity", "match", "offset", "length")
 
