@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.jsonpath import text as string_at
 from tracewarden.functions.text import all_matches, gaps, indices, let, unroll_items
 from tracewarden.operators.ranking import numbered
 from tracewarden.operators.redact import Policy, redact_with_hits

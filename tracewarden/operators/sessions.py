@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.jsonpath import is_array, is_object, items, node, text
+from tracewarden.functions.jsonpath import is_array, is_object, items, text
 from tracewarden.functions.text import let, text_tokens, to_fixed, unroll_items
 from tracewarden.operators.usage import cost_ledger, usage_ledger
 

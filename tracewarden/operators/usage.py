@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.jsonpath import (
     filled_text,
-    is_array,
     is_object,
     items,
     node,

@@ -8,7 +8,6 @@ functions and its RE2 patterns.
 from __future__ import annotations
 
 import re
-from dataclasses import replace as _with
 
 from tracewarden.dialect import Pattern, quote
 from tracewarden.operators.redact import Policy, compile_policy, preset
@@ -18,7 +17,7 @@ from tracewarden.rules.base import Rule
 from tracewarden.rules.credentials import CREDENTIALS
 from tracewarden.rules.injection import INJECTION, ROLE_CONFUSION, SUSPICIOUS_UNICODE
 from tracewarden.rules.models import CACHE_SHARES, MODELS
-from tracewarden.rules.output import BANNED, BLOCKED_DOMAINS, DANGEROUS_CODE, URL
+from tracewarden.rules.output import BANNED, BLOCKED_DOMAINS, DANGEROUS_CODE
 from tracewarden.rules.redaction import PRESETS
 from tracewarden.rules.routing import API_SEGMENTS, SENSITIVE_HEADERS, UPSTREAMS
 

@@ -18,7 +18,6 @@ from tracewarden.functions.sse import has_data_lines
 from tracewarden.plans import derived
 from tracewarden.session import checkpoint_root
 from tracewarden.sources import requests as request_source
-from tracewarden.sources.captures import with_file_keys
 from tracewarden.streaming.live import live_ledger, live_totals, run_available, totals_line
 from tracewarden.streaming.pseudonymise import pseudonymise_stream
 from tracewarden.streaming.rehydrate import rehydrate_chunks

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewarden.operators.sessions import ledger_totals, matching, request_ledger
+from tracewarden.operators.sessions import matching, request_ledger
 
 
 def live_ledger(
