@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import packing
+from tracewarden.llm import mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words, weighed 3, 1, 2 by source, takes of each document."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, tokens and rows weighed in."""
