@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import mixing, packing
+from tracewarden.llm import decontaminate, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -29,6 +29,55 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a ten-word window of a benchmark item."""
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+ORACLES["op2_benchmark_decontamination"] = r"""
+WITH folded AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), items AS (
+    SELECT CAST(item_id AS VARCHAR) AS name, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+    SELECT DISTINCT name, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS gram
+    FROM (
+        SELECT name, words, least(10, len(words)) AS n,
+               unnest(range(1, CAST(len(words) - least(10, len(words)) + 2 AS BIGINT))) AS i
+        FROM items WHERE len(words) > 0
+    )
+), hits AS (
+    SELECT DISTINCT d.doc_id, d.i, d.n, w.name
+    FROM (
+        SELECT doc_id, i, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS gram
+        FROM (
+            SELECT doc_id, words, n, unnest(range(1, CAST(len(words) - n + 2 AS BIGINT))) AS i
+            FROM folded, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n
+        )
+    ) d JOIN windows w USING (n, gram)
+), covered AS (
+    SELECT doc_id, count(DISTINCT word) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, name FROM hits) GROUP BY doc_id
+)
+SELECT f.doc_id, CAST(len(f.words) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit,
+       coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.names, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM folded f LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+
 @query
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, tokens and rows weighed in."""
