@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, mixing, packing
+from tracewarden.llm import decontaminate, imatch, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -78,6 +78,12 @@ FROM folded f LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id
 """
 
 
+@query
+def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prints of all documents, and how they stand to an edited and to the next text."""
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, tokens and rows weighed in."""
