@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, imatch, mixing, packing
+from tracewarden.llm import decontaminate, huffman, imatch, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SHARDS = 40
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(function: Query) -> Query:
@@ -19,6 +20,13 @@ def query(function: Query) -> Query:
     return function
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies, here and on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,3 +101,9 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_queries() -> dict[str, str]:
     """DuckDB SQL for the same rows, for every query that SQL can express."""
     return dict(ORACLES)
+
+
+@query
+def op9_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Huffman-coded token ids, written and read back."""
+    return huffman.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
