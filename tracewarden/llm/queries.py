@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, huffman, imatch, mixing, packing
+from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -86,6 +86,46 @@ FROM folded f LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id
 """
 
 
+@query
+def op4_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are alike to 80% or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+ORACLES["op4_minhash_odd_sketches"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, hash(array_to_string(list_slice(words, i, i + 3), ' ')) AS gram
+    FROM (
+        SELECT doc_id, words, unnest(range(1, CAST(greatest(len(words) - 3, 1) + 1 AS BIGINT))) AS i
+        FROM texts WHERE len(words) > 0
+    )
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a, b
+    FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+        FROM shingles x JOIN shingles y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+        GROUP BY x.doc_id, y.doc_id
+    ) p JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 100 * shared >= 80 * (s.n + t.n - shared)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.component_id = t.doc_id AS kept
+FROM texts t JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""
+
+
 @query
 def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prints of all documents, and how they stand to an edited and to the next text."""
