@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing
+from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -138,12 +138,18 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shard_listing(table(spark, sf_dir, "documents"), SHARDS)
 
 
-def oracle_queries() -> dict[str, str]:
-    """DuckDB SQL for the same rows, for every query that SQL can express."""
-    return dict(ORACLES)
-
-
 @query
 def op9_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Huffman-coded token ids, written and read back."""
     return huffman.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+@query
+def op10_toxicity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a network trained on labelled rows that are not held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def oracle_queries() -> dict[str, str]:
+    """DuckDB SQL for the same rows, for every query that SQL can express."""
+    return dict(ORACLES)
