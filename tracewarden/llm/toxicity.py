@@ -34,6 +34,8 @@ ATTENTION = 4
 #: The training sample: at most so many toxic and so many other documents, of so many characters.
 SAMPLE, SAMPLE_CHARS = (1200, 4800), 200_000
 THRESHOLD = 0.7
+#: Windows per training step; steps per turn, at least.
+BATCH, STEPS = 256, 40
 #: Words that a task keeps with their inputs before it starts anew.
 CACHE = 200_000
 
@@ -283,13 +285,13 @@ def train(texts: list[bytes], labels: list[int], seed: int = 10, turns: int = 8)
     logits = np.where(table >= 0, loud[table], -9).max(axis=1)
 
     def fit(chosen: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
-        for at in range(0, len(chosen), 256):
-            index = table[chosen[at : at + 256]]
+        for at in range(0, len(chosen), BATCH):
+            index = table[chosen[at : at + BATCH]]
             used, place = np.unique(index, return_inverse=True)
             place = place.reshape(index.shape)
             if used[0] < 0:
                 used, place = used[1:], place - 1
-            part = slice(at, at + 256)
+            part = slice(at, at + BATCH)
             # A word is taken for an unknown one now and then, so that its letters have to do.
             known = np.where(rng.random(len(used)) < 0.3, 0, number[used])
             adam.step(network.gradients(known, grams[used], place, target[part], weight[part]))
@@ -303,7 +305,9 @@ def train(texts: list[bytes], labels: list[int], seed: int = 10, turns: int = 8)
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         best = order[rank < np.where(toxic[owner[order]] > 0, 1, 2)]
         some = rng.choice(good, min(len(good), len(best)), replace=False)
-        chosen = rng.permutation(np.unique(np.concatenate([best, some])))
+        chosen = np.unique(np.concatenate([best, some]))
+        # A small sample is gone through several times, for enough steps.
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(-(-STEPS * BATCH // len(chosen)))])
         adam.rate = 0.01 if turn < turns // 2 else 0.004
         fit(chosen, toxic[owner[chosen]], np.ones(len(chosen), dtype=np.float32))
     return network
