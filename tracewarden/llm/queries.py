@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing, toxicity
+from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -126,6 +126,12 @@ FROM texts t JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 
 
+@query
+def op5_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without bytes that a string of 100 has earlier."""
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prints of all documents, and how they stand to an edited and to the next text."""
