@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing, suffixes, toxicity
+from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing, suffixes, toxicity, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -86,6 +86,12 @@ FROM folded f LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id
 """
 
 
+@query
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by wrappers of its host."""
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word shingles are alike to 80% or more."""
