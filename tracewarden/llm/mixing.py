@@ -215,7 +215,10 @@ def mix_documents(
             (F.least("_end", (F.col("block") + 1) * block_words) - F.col("doc_at")).alias("word_to"),
         )
     )
-    return slot_table(spark, plan, shard_slots).join(pieces, ["sid", "block"]), known
+    # Both sides grow with the data. The planner only sees the few rows that slots are made from,
+    # so it is told not to broadcast them.
+    slots = slot_table(spark, plan, shard_slots).hint("merge")
+    return slots.join(pieces, ["sid", "block"]), known
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
