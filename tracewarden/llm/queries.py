@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewarden.llm import decontaminate, huffman, imatch, mixing, neardup, packing, suffixes, toxicity, wrappers
+from tracewarden.llm import decontaminate, huffman, imatch, licenses, mixing, neardup, packing, suffixes, toxicity, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -138,6 +139,73 @@ def op5_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, as files of a tree of sources, languages and runs of 64 ids.
+
+    A short document that states a licence stands for the licence file of its directory.
+    """
+    docs = table(spark, sf_dir, "documents")
+    short = (F.length("text") <= 400) & F.col("text").rlike(r"(?i)licen[sc]e")
+    name = F.when(short, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    run = F.floor(F.col("doc_id") / 64).cast("string")
+    path = F.concat_ws("/", F.lit(""), "source", "lang", run, name)
+    found = licenses.scan_licences(docs.select(path.alias("path"), "text"))
+    return found.withColumn("score", F.round("score", 4))
+
+
+def _licence_oracle() -> str:
+    rows, foreign = licenses.template_vectors(licenses.NOTICES)
+    values = ", ".join(f"({i}, '{name}', '{term}', {weight!r}::DOUBLE, {idf!r}::DOUBLE)" for i, name, term, weight, idf in rows)
+    return rf"""
+WITH templates(template, licence, term, weight, idf) AS (VALUES {values}),
+files AS (
+    SELECT '/' || source || '/' || lang || '/' || CAST(doc_id // 64 AS VARCHAR) AS folder,
+           CASE WHEN length(text) <= 400 AND regexp_matches(text, '(?i)licen[sc]e')
+                THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name, text
+    FROM documents
+), paths AS (
+    SELECT folder || '/' || name AS path, folder, starts_with(name, 'LICENSE.') AS is_file, text FROM files
+), cut AS (
+    SELECT path, unnest(parts) AS said, unnest(range(len(parts))) AS sentence
+    FROM (
+        SELECT path, string_split(regexp_replace(text, '([.!?])[	
+ ]+', '' || chr(10), 'g'), chr(10)) AS parts
+        FROM paths WHERE regexp_matches(text, '{licenses.SPEAKS}')
+    )
+), terms AS (
+    SELECT path, sentence, unnest(regexp_extract_all(
+        translate(said, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.TERM}')) AS term
+    FROM cut WHERE regexp_matches(said, '{licenses.SPEAKS}')
+), weighed AS (
+    SELECT path, sentence, c.term, n * coalesce(i.idf, {foreign!r}::DOUBLE) AS w
+    FROM (SELECT path, sentence, term, count(*) AS n FROM terms GROUP BY ALL) c
+    LEFT JOIN (SELECT DISTINCT term, idf FROM templates) i ON i.term = c.term
+), scores AS (
+    SELECT path, sentence, licence, round(dot / norm, 6) AS score
+    FROM (
+        SELECT path, sentence, template, licence, sum(w * weight) AS dot
+        FROM weighed JOIN templates USING (term) GROUP BY ALL
+    ) JOIN (SELECT path, sentence, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL) USING (path, sentence)
+), best AS (
+    SELECT path, licence, score FROM scores WHERE score >= {licenses.LEAST}
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence, sentence) = 1
+), held AS (
+    SELECT folder, path AS from_path, licence AS given
+    FROM best JOIN paths USING (path) WHERE is_file
+    QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, path) = 1
+)
+SELECT p.path, coalesce(b.licence, h.given) AS licence, round(b.score, 4) AS score,
+       CASE WHEN b.licence IS NOT NULL AND is_file THEN 'licence file' WHEN b.licence IS NOT NULL THEN 'header'
+            WHEN h.given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN b.licence IS NOT NULL THEN p.path ELSE h.from_path END AS from_path
+FROM paths p LEFT JOIN best b USING (path) LEFT JOIN held h ON h.folder = p.folder
+"""
+
+
+ORACLES["op6_licence_inheritance"] = _licence_oracle()
+
+
 @query
 def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prints of all documents, and how they stand to an edited and to the next text."""
