@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracewarden.llm import decontaminate, huffman, imatch, licenses, mixing, neardup, packing, suffixes, toxicity, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,7 +171,8 @@ files AS (
     SELECT path, unnest(parts) AS said, unnest(range(len(parts))) AS sentence
     FROM (
         SELECT path, string_split(regexp_replace(text, '([.!?])[	
- ]+', '' || chr(10), 'g'), chr(10)) AS parts
+
+ ]+', '' || chr(10), 'g'), chr(10)) AS parts
         FROM paths WHERE regexp_matches(text, '{licenses.SPEAKS}')
     )
 ), terms AS (
@@ -230,6 +232,12 @@ def op10_toxicity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def oracle_queries() -> dict[str, str]:
     """DuckDB SQL for the same rows, for every query that SQL can express."""
     return dict(ORACLES)
