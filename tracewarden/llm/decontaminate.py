@@ -87,7 +87,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _scan(table, columns: list[str], schema: pa.Schema):
+def _scan(table, place: int, schema: pa.Schema):
     """The pass over the texts for one broadcast table; adds to what earlier passes found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _scan(table, columns: list[str], schema: pa.Schema):
         vars(grams).update(table.value)
         number = grams.vocabulary.get
         for batch in batches:
-            texts = batch["text"].cast(pa.binary())
+            texts = batch["_d"].flatten()[place].cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids, sizes = [], []
@@ -119,8 +119,8 @@ def _scan(table, columns: list[str], schema: pa.Schema):
                     [{"word_from": a, "word_to": b} for a, b in _merged(*np.array(x).T)] if x else []
                     for x in spans
                 ]
-                out = [part[c] for c in columns]
-                out += [
+                out = [
+                    part["_d"],
                     pa.array(sizes, pa.int64()),
                     pa.array(spans, schema.field("_spans").type),
                     pa.array([sorted(x) for x in names], pa.list_(pa.string())),
@@ -147,28 +147,27 @@ def benchmark_parts(benchmark: DataFrame, limit: int) -> list[list[tuple[str, by
 def scan_documents(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``docs`` with _n_words, _spans (hit words, merged, from and to) and _items (their ids).
+    """_d (a struct of all columns of ``docs``), _n_words, _spans and _items.
 
-    A document word is hit if it lies in any occurrence of ``window`` consecutive words of an
-    item; an item of fewer words counts as a whole. Null and empty texts have no words. Items
-    without words, text or id are skipped; rows with the same item_id are one item. Repeated
-    rows are scanned each. No shuffle: each part of the benchmark is one pass over the scan.
+    ``_spans`` are the hit words, merged, from and to; ``_items`` the ids of the items. A document
+    word is hit if it lies in any occurrence of ``window`` consecutive words of an item; an item
+    of fewer words counts as a whole. Null and empty texts have no words. Items without words,
+    text or id are skipped; rows with the same item_id are one item. Repeated rows are scanned
+    each. No shuffle: each part of the benchmark is one pass over the scan.
     """
     spark: SparkSession = docs.sparkSession
-    columns = docs.columns
     spans = "array<struct<word_from:long,word_to:long>>"
-    out = docs.withColumns(
-        {
-            "_n_words": F.lit(0).cast("long"),
-            "_spans": F.array().cast(spans),
-            "_items": F.array().cast("array<string>"),
-        }
+    out = docs.select(
+        F.struct(*docs.columns).alias("_d"),
+        F.lit(0).cast("long").alias("_n_words"),
+        F.array().cast(spans).alias("_spans"),
+        F.array().cast("array<string>").alias("_items"),
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     arrow = to_arrow_schema(schema)
     for part in benchmark_parts(benchmark, limit):
         table = spark.sparkContext.broadcast(vars(Ngrams(part, window)))
-        out = out.mapInArrow(_scan(table, columns, arrow), schema)
+        out = out.mapInArrow(_scan(table, docs.columns.index("text"), arrow), schema)
     return out
 
 
@@ -177,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     found = scan_documents(docs.select("doc_id", "text"), benchmark, **options)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["word_to"] - s["word_from"])
     return found.select(
-        "doc_id",
+        "_d.doc_id",
         F.col("_n_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
@@ -191,5 +190,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     return (
         scan_documents(docs, benchmark, **options)
         .filter(F.size("_spans") == 0)
-        .select(*docs.columns)
+        .select("_d.*")
     )

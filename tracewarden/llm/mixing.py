@@ -245,28 +245,28 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("_taken"))
         .groupBy("sid", "doc_at")
         .agg(F.collect_list("_taken").alias("_passes"))
-        .join(known, ["sid", "doc_at"])
+        .join(known.filter("size > 0"), ["sid", "doc_at"])
     )
     # Rows are told apart by what they hold; equal rows stand for each other, in any order.
     again = Window.partitionBy("_row").orderBy(F.lit(0))
     mine = taken.select(
         F.xxhash64("doc_id", "source", "_text").alias("_row"), "size", "_passes"
     ).withColumn("_mine", F.row_number().over(again)).withColumnRenamed("_row", "_key")
-    rows = docs.withColumn(
-        "_row", F.xxhash64("doc_id", "source", F.xxhash64(text))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_d"), F.xxhash64("doc_id", "source", F.xxhash64(text)).alias("_row")
     ).withColumn("_nth", F.row_number().over(again))
     met = rows.join(
         mine, (F.col("_row") == F.col("_key")) & (F.col("_nth") - F.col("_mine") == F.lit(0))
-    ).select(*docs.columns, "size", F.explode("_passes").alias("_taken"))
-    schema = docs.schema
+    ).select("_d", "size", F.explode("_passes").alias("_taken"))
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(SPACED_WORD)
         for batch in batches:
+            out = dict(zip(columns, batch["_d"].flatten(), strict=True))
             texts = []
             for value, size, stretches in zip(
-                batch["text"].to_pylist(), batch["size"].to_pylist(), batch["_taken"].to_pylist(), strict=True
+                out["text"].to_pylist(), batch["size"].to_pylist(), batch["_taken"].to_pylist(), strict=True
             ):
                 joined: list[list[int]] = []
                 for piece in stretches:
@@ -278,10 +278,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                     spans = [m.span() for m in word.finditer(value)]
                     value = "\n".join(value[spans[a][0] : spans[b - 1][1]] for a, b in joined)
                 texts.append(value)
-            out = {c: batch[c] for c in columns}
             out["text"] = pa.array(texts, pa.string())
             if "n_chars" in out:
                 out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
 
-    return met.mapInArrow(cut, schema)
+    return met.mapInArrow(cut, docs.schema)

@@ -118,12 +118,12 @@ def with_shards(docs: DataFrame, shards: int, placement: Placement | None = None
     each; an empty table stays empty.
     """
     placement = placement or plan_shards(docs, shards)
-    plain = docs.drop("shard")
-    marked = plain.withColumns({n: measured(docs)[n] for n in ("_group", "_split")})
+    plain = [c for c in docs.columns if c != "shard"]
+    own = [measured(docs)[n].alias(n) for n in ("_group", "_split")]
     return (
-        _located(marked, placement.large, shards)
+        _located(docs.select(F.struct(*plain).alias("_d"), *own), placement.large, shards)
         .join(F.broadcast(placement.items), ["_item", "_piece"])
-        .select(*plain.columns, "shard")
+        .select("_d.*", "shard")
     )
 
 

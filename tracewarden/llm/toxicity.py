@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden.llm.decontaminate import words_of
 
@@ -377,38 +378,33 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def score_documents(docs: DataFrame, model: Network | float, column: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for every whole text.
+def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
+    """_d (a struct of all columns of ``docs``) and _score, from 0 to 1 for every whole text.
 
     Null and empty texts, and texts without words, are one empty window. Repeated rows score
     alike. No shuffle; a task holds one batch of texts and the inputs of ``CACHE`` words.
     """
-    plain = docs.drop(column)
+    rows = docs.select(F.struct(*docs.columns).alias("_d"))
     if isinstance(model, float):
-        return plain.withColumn(column, F.lit(model))
+        return rows.withColumn("_score", F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.vocabulary, model.spots))
-    columns = plain.columns
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Network(*shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                scores = scorer.scores(part["text"].cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*[part[c] for c in columns], pa.array(scores, pa.float64())], names=[*columns, column]
-                )
+                part = batch["_d"].slice(at, 128)
+                scores = scorer.scores(part.flatten()[place].cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64())], names=["_d", "_score"])
 
-    schema = plain.withColumn(column, F.lit(0.0)).schema
-    for f in schema.fields:
-        f.nullable = True
-    return plain.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["_d"], T.StructField("_score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     scores = score_documents(docs.select("doc_id", "text"), learned(docs, labels, sample))
-    return scores.select(
+    return scores.select("_d.doc_id", F.col("_score").alias("score")).select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
         "score",
@@ -418,5 +414,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
 
 def civil_documents(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """The documents below the threshold, as they are."""
-    scores = score_documents(docs, learned(docs, labels, sample), "_score")
-    return scores.filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return score_documents(docs, learned(docs, labels, sample)).filter(F.col("_score") < THRESHOLD).select("_d.*")
