@@ -3,9 +3,10 @@ import json
 from pyspark.sql import functions as F
 
 from tracewarden.operators import sessions as S
-from tracewarden.operators.ranking import numbered
+from tracewarden.operators.ranking import numbered, order_slices
 from tracewarden.operators.redact import preset
 from tracewarden.operators.transforms import fail_open, notify, observed, redact_then_log
+from tracewarden.plans.derived import raw_captures_of
 from tracewarden.sources import captures as C
 
 
@@ -98,6 +99,31 @@ def test_file_keys_number_all_captures_in_write_order(spark):
     assert {r.file.rsplit("_", 1)[0] for r in rows} == {"a_b_c", "unknown"}
 
 
+def test_file_keys_of_one_hour_and_of_one_moment_are_numbered_in_slices(spark):
+    for spread in (3_600_000, 3, 1):
+        df = spark.range(900).select(
+            F.col("id").alias("capture_id"), (F.lit(1735689600000) + F.col("id") * 7919 % spread).alias("written_ms"),
+            F.lit("s").alias("source"), F.lit(None).cast("string").alias("session_id"))
+        rows = C.with_file_keys(df, slices=6).orderBy("written_ms", "capture_id").collect()
+        assert [r.file[-11:-5] for r in rows] == [f"{i:06d}" for i in range(900)]
+        buckets = df.groupBy(order_slices(df, "written_ms", "capture_id", 6).alias("b")).count().collect()
+        assert max(r["count"] for r in buckets) <= 900 / 2
+
+
+def test_retention_reads_serials_of_any_length(spark):
+    rows = [("a_aabb0011_1735732800000-999999.json", "aabb0011"), ("a_ccdd0022_1735732900000-1000000.json", "ccdd0022")]
+    df = spark.createDataFrame(rows, "file string, file_session string")
+    assert [r.file_session for r in S.retained(df, 1).collect()] == ["ccdd0022"]
+
+
+def test_requests_hold_every_earlier_turn(spark):
+    turns = [(5, i, "system" if i == 0 else "user" if i % 2 else "assistant", f"turn {i}.") for i in range(13)]
+    rows = raw_captures_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    last = json.loads(max(rows, key=lambda r: r.turn).request_body)
+    assert [m["content"] for m in last["messages"]] == [f"turn {i}." for i in range(1, 12)]
+    assert "turn 0." in json.dumps(last["system"])
+
+
 def test_numbering_equals_row_number_on_a_hot_key(spark):
     df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * 31 % 2000).alias("o"))
     rows = numbered(df, ["k"], [F.col("o")], F.floor(F.col("o") / 100)).collect()

@@ -174,6 +174,16 @@ def test_path_scope_needs_equal_length(spark):
     assert '"model":"a@b.co"' in skip and "z@z.io" not in skip
     both = json_redacted(spark, BODY, policy(only=["model"], skip=["model"]))
     assert both == BODY
+    # An empty list names no leaf; a missing one names all.
+    assert json_redacted(spark, BODY, policy(only=[])) == BODY
+    assert json_redacted(spark, BODY, policy()) == json_redacted(spark, BODY, R.preset("pii"))
+
+
+@pytest.mark.parametrize("spaces", [0, 1, 64, 65, 500])
+def test_aws_secret_is_found_across_any_number_of_spaces(texts, spaces):
+    gap = " " * spaces
+    got = redacted(texts([f"aws_secret_access_key{gap}={gap}{'A' * 40} end"]), R.preset("secrets"))
+    assert got == [f"aws_secret_access_key{gap}={gap}[AWS_SECRET_REDACTED] end"]
 
 
 def test_invalid_json_and_bare_strings(spark):

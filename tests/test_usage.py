@@ -78,3 +78,19 @@ def test_json_tokens_and_images(spark):
     assert got == [
         (1, 1600), (1, size([{"type": "text", "text": "hello"}, strip]) + 1600), (2, size({"type": "tool_result", "content": [strip, strip]}) + 3200),
         (1, size({"parts": [strip, {"text": "x"}]}) + 1600), (0, 2), (0, 0), (0, 1), (1, size([[strip]]) + 1600), (0, size(values[-1]))]
+
+
+def test_images_are_found_at_any_depth(spark):
+    def nested(n, value):
+        for _ in range(n):
+            value = [{"type": "tool_result", "content": [value, {"type": "text", "text": "t"}]}]
+        return value
+
+    image = {"type": "image", "source": {"data": "A" * 5000}}
+    depths = [0, 1, 4, 5, 12, 40]
+    df = spark.createDataFrame([(n, json.dumps(nested(n, image), separators=(",", ":"))) for n in depths], "n int, b string")
+    rows = df.select("n", T.image_count(F.try_parse_json("b")).alias("i"), T.json_tokens(F.try_parse_json("b")).alias("t")).collect()
+    strip = {"type": "image", "_image": True}
+    for r in rows:
+        text = len(json.dumps(nested(r.n, strip), separators=(",", ":")))
+        assert (r.i, r.t) == (1, 1600 + (-(-text // 4) if r.n else 0))

@@ -37,3 +37,37 @@ def numbered(
     return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop(
         "_bucket", "_inside", "_b", "_before", *[f"_k{i}" for i in range(len(keys))]
     )
+
+
+def order_slices(df: DataFrame, first: str, second: str, slices: int) -> Column:
+    """A bucket for ``numbered``: even slices of the order by two long columns.
+
+    Slices are cut at quantiles of ``first``. Values of ``first`` that many rows share, so that
+    several cuts fall on them, are cut once more by quantiles of ``second``. Two passes over the
+    two columns; only the cuts reach the driver.
+    """
+
+    def cuts_of(rows: DataFrame, column: str) -> list[int]:
+        steps = [i / slices for i in range(1, slices)]
+        return rows.agg(F.percentile_approx(column, steps, 10_000).alias("c")).first()["c"] or []
+
+    def slice_of(column: Column, cuts: list[int]) -> Column:
+        """The number of cuts that are not above the value, by binary search."""
+        if not cuts:
+            return F.lit(0)
+        middle = len(cuts) // 2
+        return F.when(column < F.lit(cuts[middle]), slice_of(column, cuts[:middle])).otherwise(
+            slice_of(column, cuts[middle + 1 :]) + (middle + 1)
+        )
+
+    if slices < 2:
+        return F.lit(0)
+    cuts = cuts_of(df, first)
+    shared = sorted({c for c in cuts if cuts.count(c) > 1})
+    bucket = slice_of(F.col(first), sorted(set(cuts))) * (slices + 1)
+    if not shared:
+        return bucket
+    hot = F.col(first).isin(shared)
+    inner = slice_of(F.col(second), sorted(set(cuts_of(df.filter(hot), second))))
+    # A cut is the least value of its slice, so the rest of the slice comes after it.
+    return bucket + F.when(hot, inner).otherwise(F.lit(slices))

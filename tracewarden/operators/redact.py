@@ -102,7 +102,7 @@ def compile_policy(spec: dict) -> Policy:
         rules=rules,
         allow_strings=tuple(allow.get("strings") or ()),
         allow_patterns=tuple(Pattern(p) for p in allow.get("patterns") or ()),
-        only=tuple(parse_path(p) for p in paths["only"]) if paths.get("only") else None,
+        only=tuple(parse_path(p) for p in paths["only"]) if paths.get("only") is not None else None,
         skip=tuple(parse_path(p) for p in paths.get("skip") or ()),
     )
 

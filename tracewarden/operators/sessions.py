@@ -105,7 +105,7 @@ def retained(captures: DataFrame, max_sessions: int) -> DataFrame:
     """
     if max_sessions <= 0:
         return captures
-    stamp = F.regexp_extract("file", r"_(\d{13})-\d{6}\.json$", 1)
+    stamp = F.regexp_extract("file", r"_(\d{13})-\d{6,}\.json$", 1)
     newest = (
         captures.filter(F.col("file_session").isNotNull())
         .groupBy("file_session")

@@ -18,7 +18,7 @@ def token_rollup(df: DataFrame, by: list[str], body: str = "text") -> DataFrame:
         F.count("*").alias("texts"),
         F.sum("tokens").alias("tokens"),
         F.max("tokens").alias("largest"),
-        F.percentile_approx("tokens", 0.5, 10000).alias("median"),
+        F.expr("percentile_disc(0.5) within group (order by tokens)").alias("median"),
     )
 
 
@@ -41,51 +41,55 @@ def _children(value: Column) -> Column:
     return F.coalesce(own, F.when(~_is_image(value), _nested(value)), F.array().cast("array<variant>"))
 
 
-def image_count(value: Column, depth: int = 4) -> Column:
-    """Image blocks in a value, looking through ``depth`` levels of arrays and results.
+def _searched(value: Column) -> Column:
+    """(images, spared): image blocks at any depth, and the text that stand-ins save for them.
 
-    A body nests at most: message list, message parts or content list, tool result.
+    The levels of arrays and results are gone through in a fold whose number of steps comes from
+    the row: a value nests no deeper than it has opening brackets.
     """
-    level = F.array(value)
-    total = F.lit(0)
-    counts = []
-    for _ in range(depth + 1):
-        counts.append(F.size(F.filter(level, _is_image)))
-        level = F.flatten(F.transform(level, _children))
-    for c in counts:
-        total = total + c
-    return F.when(value.isNull(), 0).otherwise(total)
-
-
-def json_tokens(value: Column, depth: int = 4) -> Column:
-    """Estimated tokens of a JSON value: a quarter of its text, images at a flat rate.
+    deepest = F.regexp_count(F.to_json(value), F.lit(r"\["))
+
+    def stand_in(v: Column) -> Column:
+        return utf16_length(
+            F.concat(
+                F.lit('{"type":'),
+                F.coalesce(
+                    F.when(truthy(v, "$.type"), F.to_json(F.try_variant_get(v, "$.type", "variant"))),
+                    F.lit('"image"'),
+                ),
+                F.lit(',"_image":true}'),
+            )
+        )
 
-    Image blocks count with the size of a short stand-in instead of their data.
-    """
-    stand_in = lambda v: utf16_length(
-        F.concat(
-            F.lit('{"type":'),
-            F.coalesce(
-                F.when(truthy(v, "$.type"), F.to_json(F.try_variant_get(v, "$.type", "variant"))),
-                F.lit('"image"'),
-            ),
-            F.lit(',"_image":true}'),
+    def level_done(acc: Column, _: Column) -> Column:
+        found = F.filter(acc["level"], _is_image)
+        spared = F.aggregate(
+            found, F.lit(0).cast("long"), lambda n, v: n + utf16_length(F.to_json(v)) - stand_in(v)
         )
+        return F.struct(
+            F.flatten(F.transform(acc["level"], _children)).alias("level"),
+            (acc["images"] + F.size(found)).alias("images"),
+            (acc["spared"] + spared).alias("spared"),
+        )
+
+    start = F.struct(
+        F.array(value).alias("level"), F.lit(0).alias("images"), F.lit(0).cast("long").alias("spared")
     )
+    return F.aggregate(F.sequence(F.lit(0), F.coalesce(deepest, F.lit(0))), start, level_done)
 
-    def saved(level: Column) -> Column:
-        return F.aggregate(
-            F.filter(level, _is_image),
-            F.lit(0),
-            lambda acc, v: acc + utf16_length(F.to_json(v)) - stand_in(v),
-        )
 
-    level, spared = F.array(value), F.lit(0)
-    for _ in range(depth + 1):
-        spared = spared + saved(level)
-        level = F.flatten(F.transform(level, _children))
-    size = utf16_length(F.to_json(value)) - spared
-    whole = F.ceil(size / 4) + image_count(value, depth) * IMAGE_TOKENS
+def image_count(value: Column) -> Column:
+    """Image blocks in a value, however deep they lie in arrays and results."""
+    return F.when(value.isNull(), 0).otherwise(_searched(value)["images"])
+
+
+def json_tokens(value: Column) -> Column:
+    """Estimated tokens of a JSON value: a quarter of its text, images at a flat rate.
+
+    Image blocks count with the size of a short stand-in instead of their data.
+    """
+    found = _searched(value)
+    whole = F.ceil((utf16_length(F.to_json(value)) - found["spared"]) / 4) + found["images"] * IMAGE_TOKENS
     shape = kind(value)
     return (
         F.when(value.isNull() | (shape == "VOID") | ~truthy(value, "$"), F.lit(0))

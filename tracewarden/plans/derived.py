@@ -7,6 +7,7 @@ conversations into API calls, ``access_log`` turns events into logged requests.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their markup and a link to their own address as one text."""
+    link = F.concat(F.lit('<a href="'), F.col("url"), F.lit('">source</a>'))
+    pages = table(spark, sf_dir, "pages")
+    return pages.withColumn("text", F.concat(F.coalesce("html", F.lit("")), F.coalesce(link, F.lit(""))))
+
+
 def _letters(n: int) -> str:
     return ("aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0z" * 12)[:n]
 
@@ -234,50 +242,49 @@ def _request_sql(template: str) -> str:
     return sql
 
 
-def captures_sql(turns: str) -> str:
+#: What a request holds of the turns before it, per engine: all elements joined by commas, and the
+#: system text that was said last.
+SPARK_HISTORY = (
+    "array_join(collect_list({0}) over earlier, ',')",
+    "last({0}, true) over earlier",
+)
+DUCKDB_HISTORY = (
+    "coalesce(string_agg({0}, ',') over earlier, '')",
+    "last_value({0} ignore nulls) over earlier",
+)
+
+
+def captures_sql(turns: str, history: tuple[str, str] = SPARK_HISTORY) -> str:
     """Captures from a turns relation (conv_id, turn, role, text), one per assistant turn.
 
-    Every turn is offered to itself and to the three turns after it, and one grouping by
-    (conversation, turn) collects them, so that a group holds at most four rows.
+    A request holds every earlier turn of its conversation, as an API call does.
     """
-    offered = " union all ".join(
-        f"select conv_id, turn + {d} as turn, {d} as back, role, text from {turns}" for d in range(4)
-    )
-    slots = ", ".join(
-        f"max(case when back = {d} then role end) as r{d}, max(case when back = {d} then text end) as t{d}"
-        for d in range(4)
-    )
+    joined, last = history
+
+    def earlier(element: str) -> str:
+        return joined.format(f"case when role <> 'system' then {template_sql(element)} end")
 
-    def history(element: str) -> str:
-        turns_ = [
-            f"case when r{d} is null or r{d} = 'system' then '' else "
-            + template_sql(element.replace("ROLE", f"r{d}").replace("TEXT", f"t{d}"))
-            + " end"
-            for d in (3, 2, 1)
-        ]
-        joined = " || ".join(turns_)
-        return f"left({joined}, greatest(length({joined}) - 1, 0))"
-
-    said = history('{"role":"<<ROLE>>","content":<<"TEXT>>},')
-    parts = history(
-        '{"role":"<<case when ROLE = \'assistant\' then \'model\' else ROLE end>>","parts":[{"text":<<"TEXT>>}]},'
+    said = earlier('{"role":"<<role>>","content":<<"text>>}')
+    parts = earlier(
+        '{"role":"<<case when role = \'assistant\' then \'model\' else role end>>","parts":[{"text":<<"text>>}]}'
     )
     shape, tag = "conv_id % 5", "conv_id % 4"
     pick = lambda anthropic, openai, gemini: (
         f"case {shape} when 0 then {anthropic} when 3 then {gemini} when 4 then {gemini} else {openai} end"
     )
     return f"""
-with offered as ({offered}),
-calls as (
-  select conv_id, turn, {slots} from offered group by conv_id, turn
-  having max(case when back = 0 then role end) = 'assistant'
+with told as (
+  select conv_id, turn, role, text as t0, {said} as said, {parts} as parts,
+    {last.format("case when role = 'system' then text end")} as sys,
+    lag(text) over (partition by conv_id order by turn) as t1
+  from {turns}
+  window earlier as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
 ),
+calls as (select * from told where role = 'assistant'),
 named as (
   select *, {pick_sql(shape, PROVIDERS)} as provider, {pick_sql(shape, FORMATS)} as api_format,
     {pick_sql(shape, MODELS)} as model, {pick_sql(tag, SOURCES)} as source,
     case when conv_id % 10 = 9 then null else lower(lpad(hex(conv_id), 8, '0')) end as session_id,
-    case when r1 = 'system' then t1 when r2 = 'system' then t2 when r3 = 'system' then t3 end as sys,
-    {said} as said, {parts} as parts,
     substr(t0, 1, cast(floor(length(t0) / 2) as int)) as a,
     substr(t0, cast(floor(length(t0) / 2) as int) + 1) as b,
     cast(ceil(length(coalesce(t1, '')) / 4.0) as bigint) as tin,
@@ -302,8 +309,10 @@ from named"""
 def raw_captures_of(turns: DataFrame) -> DataFrame:
     """Captures made from a turns table, without file names."""
     spark = turns.sparkSession
-    turns.createOrReplaceTempView("tracewarden_turns")
-    rows = spark.sql(captures_sql("tracewarden_turns"))
+    view = f"turns_{uuid.uuid4().hex}"
+    turns.createOrReplaceTempView(view)
+    rows = spark.sql(captures_sql(view))
+    spark.catalog.dropTempView(view)
     return rows.withColumn(
         "ts", F.date_format(F.timestamp_millis("written_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     )

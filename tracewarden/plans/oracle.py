@@ -61,8 +61,8 @@ MESSAGES = (
     "(select conv_id, turn, case when role = 'assistant' and conv_id % 3 <> 1 then 'tool' else role end as role, "
     f"text || {pick('conv_id + turn * 11', d.PLANTED)} as text from conversations)"
 )
-CAPTURES = "(" + d.captures_sql("conversations") + ")"
-PLANTED_CAPTURES = "(" + d.captures_sql(MESSAGES) + ")"
+CAPTURES = "(" + d.captures_sql("conversations", d.DUCKDB_HISTORY) + ")"
+PLANTED_CAPTURES = "(" + d.captures_sql(MESSAGES, d.DUCKDB_HISTORY) + ")"
 
 
 def header_map(pairs) -> str:
@@ -746,7 +746,8 @@ def _scan_queries() -> dict[str, str]:
     url = "'https?://[a-z!$-_]+'"
     o["urls_extract"] = f"select doc_id, unnest(range(len(u))) as ord, unnest(u) as url from (select doc_id, regexp_extract_all(text, {url}) as u from {PLANTED})"
     host = "lower(regexp_replace(regexp_replace(regexp_extract(url, '^https?:/+([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
-    page_urls = f"(select page_id, unnest(range(len(u))) as ord, unnest(u) as url from (select page_id, regexp_extract_all(url, {url}) as u from pages))"
+    page = "coalesce(html, '') || coalesce('<a href=\"' || url || '\">source</a>', '')"
+    page_urls = f"(select page_id, unnest(range(len(u))) as ord, unnest(u) as url from (select page_id, regexp_extract_all({page}, {url}) as u from pages))"
     o["urls_of_pages"] = f"select page_id, ord, url, {host} as host from {page_urls}"
     found = f"(select doc_id, text, unnest(range(len(u))) as idx, unnest(u) as url from (select doc_id, text, regexp_extract_all(text, {url}) as u from {PLANTED}))"
     blocked = (

@@ -480,8 +480,7 @@ def urls_extract(spark, sf):
 
 @query
 def urls_of_pages(spark, sf):
-    pages = derived.table(spark, sf, "pages")
-    urls = output_scan.extract_urls(pages, text="url", keys=["page_id"])
+    urls = output_scan.extract_urls(derived.page_texts(spark, sf), keys=["page_id"])
     return urls.select("page_id", "ord", "url", output_scan.url_host(F.col("url")).alias("host"))
 
 
@@ -492,12 +491,12 @@ def urls_blocked(spark, sf):
 
 @query
 def urls_blocked_by_table(spark, sf):
-    """Page URLs against a blocklist table: every host that some document id names."""
-    pages = derived.table(spark, sf, "pages")
+    """URLs in page texts against a blocklist table: every host of the pages below .net."""
+    pages = derived.page_texts(spark, sf)
     listed = pages.filter(F.contains("url", F.lit(".net"))).select(
         output_scan.url_host(F.col("url")).alias("domain")
     )
-    return output_scan.blocked_urls_by_table(pages, listed, text="url", keys=["page_id"])
+    return output_scan.blocked_urls_by_table(pages, listed, keys=["page_id"])
 
 
 @query

@@ -22,8 +22,8 @@ SECRETS = (
     rule("aws-secret-key",
          r"""(?<=(?:aws_secret_access_key|secret_?key|SECRET_?KEY)\s*[=:]\s*["']?)[A-Za-z0-9/+=]{40}(?=["']?\s)""",
          token="[AWS_SECRET_REDACTED]", needs=(("secret",),),
-         # Java bounds look-behind: up to 64 spaces on either side of the operator.
-         java_override=r"""(?=[A-Za-z0-9/+=]{40}["']?\s)(?<=(?:aws_secret_access_key|secret_?key|SECRET_?KEY)\s{0,64}[=:]\s{0,64}["']?)[A-Za-z0-9/+=]{40}"""),
+         # Java wants an upper bound in look-behind: more spaces than a string can hold.
+         java_override=r"""(?=[A-Za-z0-9/+=]{40}["']?\s)(?<=(?:aws_secret_access_key|secret_?key|SECRET_?KEY)\s{0,1000000000}[=:]\s{0,1000000000}["']?)[A-Za-z0-9/+=]{40}"""),
     _credential("credential_github", "[GITHUB_TOKEN_REDACTED]"),
     _credential("credential_anthropic", "[ANTHROPIC_KEY_REDACTED]"),
     _credential("credential_openai", "[OPENAI_KEY_REDACTED]"),

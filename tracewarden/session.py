@@ -19,6 +19,7 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.tracewarden.readPartitions", str(partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

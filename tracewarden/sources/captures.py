@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewarden.operators.headers import scrub_headers
-from tracewarden.operators.ranking import numbered
+from tracewarden.operators.ranking import numbered, order_slices
 from tracewarden.schemas import CAPTURE, CAPTURE_COLUMNS, TIMINGS
 
 
@@ -61,17 +61,21 @@ def file_session(name: Column) -> Column:
     return F.when((F.size(parts) >= 3) & second.rlike(r"^[a-f0-9]{8}\z"), second)
 
 
-def with_file_keys(captures: DataFrame, written_ms: str = "written_ms", order: str = "capture_id") -> DataFrame:
+def with_file_keys(
+    captures: DataFrame, written_ms: str = "written_ms", order: str = "capture_id", slices: int | None = None
+) -> DataFrame:
     """Adds the file name of every capture: source, session, write time and a running number.
 
-    The running number counts all captures in write order. It is computed per hour
-    slice with carried offsets, so no task ever sorts the whole table.
+    The running number counts all captures in write order. It is computed per slice of that
+    order with carried offsets. Slices are even whatever the times are, so no task ever sorts
+    the whole table, not even if all captures were written at once.
     """
+    parts = slices or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = numbered(
         captures,
         keys=[],
         order=[F.col(written_ms), F.col(order)],
-        bucket=F.floor(F.col(written_ms) / 3600000),
+        bucket=order_slices(captures, written_ms, order, parts),
         out="_n",
     )
     source = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown"))

@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_PER_CORE = 64 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores; a large one as its files split it.
-
-    Text rules cost far more time per byte than reading does. A file with a single row
-    group would keep one core busy, so a table below 64 MB per core is redistributed;
-    the planner's own size estimate decides.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SMALL_PER_CORE else df
+#: Session setting: tables are dealt to so many partitions when they are read. Unset, files decide.
+#: For small tables in one file, whose rules cost far more time than their reading.
+READ_PARTITIONS = "spark.tracewarden.readPartitions"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+    df = spark.read.parquet(path)
+    parts = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
