@@ -12,15 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.functions.jsonpath import (
-    filled_text,
-    is_object,
-    items,
-    node,
-    number,
-    text,
-    truthy,
-)
+from tracewarden.functions import jsonsql as js
+from tracewarden.functions.jsonpath import is_object, node, text, truthy
 from tracewarden.functions.sse import events, has_data_lines
 from tracewarden.functions.text import let, unroll
 from tracewarden.rules.models import CACHE_SHARES, DEFAULT_CONTEXT_LIMIT, MODELS
@@ -29,22 +22,31 @@ COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tok
 _TYPES = {**{c: "double" for c in COUNTS}, "model": "string", "finish_reasons": "array<string>"}
 
 
-def _present(*values: Column) -> Column:
+# Expressions below are SQL text: a step is a struct of counts, in which null says nothing.
+
+
+def _coalesce(*values: str) -> str:
+    return f"coalesce({', '.join(values)})"
+
+
+def _present(*values: str) -> str:
     """The first value that is not zero, null when all are."""
-    return F.coalesce(*[F.nullif(v, F.lit(0.0)) for v in values])
+    return _coalesce(*[f"nullif({v}, 0D)" for v in values])
 
 
-def _updates(**values: Column) -> Column:
-    """A struct of proposed values; a field that is null proposes nothing."""
-    fields = [
-        values.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in _TYPES.items()
-    ]
-    return F.struct(*fields)
+def _struct(fields: dict[str, str]) -> str:
+    listed = ", ".join(f"'{c}', cast({fields.get(c, 'null')} as double)" for c in COUNTS)
+    return f"named_struct({listed})"
+
+
+def _step(usage: str, fields: Callable[[Callable[[str], str]], dict[str, str]]) -> str:
+    """The counts that an object proposes; null when there is no object."""
+    proposed = _struct(fields(lambda path: js.number("u", "$." + path)))
+    return js.bound(usage, "u", f"if(u is null, null, {proposed})")
 
 
-def _openai(usage: Column) -> dict[str, Column]:
+def _openai(at: Callable[[str], str]) -> dict[str, str]:
     """Counts of an OpenAI- or Anthropic-style usage object; zero means absent."""
-    at = lambda path: number(usage, "$." + path)
     return {
         "input_tokens": _present(at("input_tokens"), at("prompt_tokens")),
         "output_tokens": _present(at("output_tokens"), at("completion_tokens")),
@@ -63,196 +65,126 @@ def _openai(usage: Column) -> dict[str, Column]:
     }
 
 
-def _gemini(usage: Column) -> dict[str, Column]:
+def _gemini(at: Callable[[str], str]) -> dict[str, str]:
     """Counts of a Gemini usage object; every field is set, zero included."""
-    at = lambda path: number(usage, "$." + path)
     prompt, cached = at("promptTokenCount"), at("cachedContentTokenCount")
-    zero = F.lit(0.0)
     return {
-        "input_tokens": F.greatest(zero, prompt - cached),
-        "output_tokens": F.coalesce(
-            _present(at("candidatesTokenCount")), F.greatest(zero, at("totalTokenCount") - prompt)
+        "input_tokens": f"greatest(0D, {prompt} - {cached})",
+        "output_tokens": _coalesce(
+            _present(at("candidatesTokenCount")), f"greatest(0D, {at('totalTokenCount')} - {prompt})"
         ),
         "cache_read_tokens": cached,
         "thinking_tokens": at("thoughtsTokenCount"),
     }
 
 
-def _message_start(usage: Column) -> dict[str, Column]:
-    at = lambda path: number(usage, "$." + path)
+def _message_start(at: Callable[[str], str]) -> dict[str, str]:
     return {
         "input_tokens": at("input_tokens"),
         "cache_read_tokens": at("cache_read_input_tokens"),
         "cache_write_tokens": at("cache_creation_input_tokens"),
-        "thinking_tokens": F.coalesce(
-            _present(at("thinking_tokens"), at("reasoning_tokens")), F.lit(0.0)
-        ),
+        "thinking_tokens": _coalesce(_present(at("thinking_tokens"), at("reasoning_tokens")), "0D"),
     }
 
 
-def _object(value: Column, path: str) -> Column:
-    return F.when(is_object(value, path), node(value, path))
-
-
-def _objects(value: Column, path: str) -> Column:
-    """The object elements of an array; null when there is no array."""
-    return F.filter(items(value, path), lambda x: is_object(x))
-
-
-def _latest(steps: list[tuple[Column, dict[str, Column]]], name: str) -> Column | None:
-    """What an event proposes for a field: the last of its steps that says something."""
-    tries = [F.when(applies, values[name]) for applies, values in reversed(steps) if name in values]
-    return F.coalesce(*tries) if tries else None
-
-
-def _last_text(value: Column, *paths: str) -> Column:
-    return F.coalesce(*[filled_text(value, p) for p in paths])
-
-
-def _proposal(
-    event: Column,
-    start: Column | None,
-    usage: Column | None,
-    gemini: Column | None,
-    delta_sets: bool,
-    finish: list[Column],
-    model: list[Column],
-) -> Column:
-    steps: list[tuple[Column, dict[str, Column]]] = []
-    if start is not None:
-        steps.append((start.isNotNull(), _message_start(start)))
-    if delta_sets:
-        delta_usage = F.when(text(event, "$.type") == "message_delta", _object(event, "$.usage"))
-        at = lambda path: number(delta_usage, "$." + path)
-        steps.append(
-            (
-                delta_usage.isNotNull(),
-                {
-                    "output_tokens": at("output_tokens"),
-                    "thinking_tokens": _present(at("thinking_tokens"), at("reasoning_tokens")),
-                },
-            )
-        )
-    if usage is not None:
-        steps.append((usage.isNotNull(), _openai(usage)))
-    if gemini is not None:
-        steps.append((gemini.isNotNull(), _gemini(gemini)))
-    values = {c: _latest(steps, c) for c in COUNTS}
-    values = {c: v for c, v in values.items() if v is not None}
-    reason = F.coalesce(*finish) if finish else F.lit(None)
-    return _updates(
-        **values,
-        model=F.coalesce(*model) if model else F.lit(None),
-        finish_reasons=F.when(reason.isNotNull(), F.array(reason.cast("string"))),
-    )
+def _message_delta(at: Callable[[str], str]) -> dict[str, str]:
+    return {
+        "output_tokens": at("output_tokens"),
+        "thinking_tokens": _present(at("thinking_tokens"), at("reasoning_tokens")),
+    }
 
 
-def _fold(body: Column, propose: Callable[[Column], Column]) -> Column:
-    """The last proposal per field over the events of a stream."""
-    start = F.struct(
-        *[F.lit(0.0).alias(c) for c in COUNTS],
-        F.lit(None).cast("string").alias("model"),
-        F.array().cast("array<string>").alias("finish_reasons"),
-    )
-    return F.aggregate(
-        F.transform(events(body), propose),
-        start,
-        lambda acc, u: F.struct(*[F.coalesce(u[f], acc[f]).alias(f) for f in _TYPES]),
+def _latest(steps: list[str], model: str, reasons: str, name: str = "p") -> str:
+    """Per count what the last of the steps says that says something; the steps are evaluated once."""
+    bundle = ", ".join(f"'s{i}', {step}" for i, step in enumerate(steps))
+    counts = [
+        f"'{c}', " + _coalesce(*[f"{name}.s{i}.{c}" for i in reversed(range(len(steps)))]) for c in COUNTS
+    ]
+    fields = ", ".join([*counts, f"'model', {name}.model", f"'finish_reasons', {name}.reasons"])
+    return js.bound(
+        f"named_struct({bundle}, 'model', cast({model} as string), 'reasons', cast({reasons} as array<string>))",
+        name,
+        f"named_struct({fields})",
     )
 
 
-def _start_usage(event: Column) -> Column:
-    is_start = text(event, "$.type") == "message_start"
-    return F.when(is_start & is_object(event, "$.message"), _object(event, "$.message.usage"))
+def _event(steps: list[str], finish: list[str], model: list[str]) -> str:
+    """What an event ``e`` proposes."""
+    reason = js.bound(_coalesce(*finish), "r", "if(r is null, null, array(r))")
+    return _latest(steps, _coalesce(*model) if model else "null", reason)
 
 
-def _start_model(event: Column) -> Column:
-    is_start = text(event, "$.type") == "message_start"
-    return F.when(is_start, filled_text(event, "$.message.model"))
-
-
-def _stop_reason(event: Column) -> Column:
-    return F.when(
-        text(event, "$.type") == "message_delta", filled_text(event, "$.delta.stop_reason")
+def _fold(chunks: str, proposal: str) -> str:
+    """The last proposal per field over the events, an array<variant>, of a stream."""
+    start = ", ".join(f"'{c}', 0D" for c in COUNTS)
+    last = ", ".join(f"'{f}', coalesce(x.{f}, acc.{f})" for f in _TYPES)
+    return (
+        f"aggregate(transform({chunks}, e -> {proposal}), named_struct({start}, 'model', cast(null as string), "
+        f"'finish_reasons', cast(array() as array<string>)), (acc, x) -> named_struct({last}))"
     )
 
 
-def _first_reason(event: Column, container: str, field: str) -> Column:
-    return text(F.get(_objects(event, container), F.lit(0)), "$." + field)
+def _when(type_: str, value: str) -> str:
+    return f"if({js.text('e', '$.type')} = '{type_}', {value}, null)"
 
 
-def _choices(event: Column) -> Column:
-    own = _objects(event, "$.choices")
-    return text(F.get(F.coalesce(own, _objects(event, "$.response.choices")), F.lit(0)), "$.finish_reason")
+_START = _step(_when("message_start", js.object_at(js.object_at("e", "$.message"), "$.usage")), _message_start)
+_START_MODEL = _when("message_start", js.filled_text("e", "$.message.model"))
+_DELTA = _step(_when("message_delta", js.object_at("e", "$.usage")), _message_delta)
+_STOP_REASON = _when("message_delta", js.filled_text("e", "$.delta.stop_reason"))
 
 
-def _candidates(event: Column) -> Column:
-    own = _objects(event, "$.candidates")
-    return text(
-        F.get(F.coalesce(own, _objects(event, "$.response.candidates")), F.lit(0)), "$.finishReason"
-    )
-
-
-def _any_provider(event: Column) -> Column:
-    carrier = F.when(truthy(event, "$.usageMetadata"), _object(event, "$.usageMetadata")).otherwise(
-        _object(event, "$.response.usageMetadata")
-    )
-    return _proposal(
-        event,
-        start=_start_usage(event),
-        usage=F.coalesce(_object(event, "$.usage"), _object(event, "$.response.usage")),
-        gemini=carrier,
-        delta_sets=False,
-        finish=[_candidates(event), _choices(event), _stop_reason(event)],
-        model=[
-            _last_text(
-                event, "$.modelVersion", "$.model", "$.response.modelVersion", "$.response.model"
-            ),
-            _start_model(event),
-        ],
-    )
+def _first_reason(field: str, *containers: str) -> str:
+    return js.text(f"get({_coalesce(*[js.objects_at('e', c) for c in containers])}, 0)", "$." + field)
 
 
-def stream_usage(body: Column) -> Column:
-    """Usage struct of an event-stream body of any provider."""
-    return _fold(body, _any_provider)
+def _usage_metadata(value: str) -> str:
+    own, nested = js.object_at(value, "$.usageMetadata"), js.object_at(value, "$.response.usageMetadata")
+    return f"if({js.truthy(value, '$.usageMetadata')}, {own}, {nested})"
 
 
-def _result(counts: list[Column], model: Column, reasons: Column) -> Column:
-    return F.struct(
-        *[c.alias(name) for c, name in zip(counts, COUNTS)],
-        model.alias("model"),
-        F.coalesce(reasons, F.array().cast("array<string>")).alias("finish_reasons"),
-    )
+_ANY_PROVIDER = _event(
+    steps=[
+        _START,
+        _step(_coalesce(js.object_at("e", "$.usage"), js.object_at("e", "$.response.usage")), _openai),
+        _step(_usage_metadata("e"), _gemini),
+    ],
+    finish=[
+        _first_reason("finishReason", "$.candidates", "$.response.candidates"),
+        _first_reason("finish_reason", "$.choices", "$.response.choices"),
+        _STOP_REASON,
+    ],
+    model=[
+        *[js.filled_text("e", p) for p in ("$.modelVersion", "$.model", "$.response.modelVersion", "$.response.model")],
+        _START_MODEL,
+    ],
+)
 
 
-def object_usage(value: Column) -> Column:
+def _object_usage(value: str) -> str:
     """Usage struct of a parsed JSON response object."""
-    carried = truthy(value, "$.usageMetadata")
-    own, nested = _object(value, "$.usage"), _object(value, "$.response.usage")
-    gemini = F.when(carried, _object(value, "$.usageMetadata")).otherwise(
-        _object(value, "$.response.usageMetadata")
+
+    def reasons(path: str, field: str) -> str:
+        return f"array_compact(transform({js.objects_at(value, path)}, c -> {js.text('c', '$.' + field)}))"
+
+    carried = js.truthy(value, "$.usageMetadata")
+    finish = js.bound(
+        js.filled_text(value, "$.stop_reason"),
+        "stop",
+        "case when stop is not null then array(stop) "
+        f"when {js.truthy(value, '$.choices')} then {reasons('$.choices', 'finish_reason')} "
+        f"when {js.truthy(value, '$.candidates')} then {reasons('$.candidates', 'finishReason')} "
+        f"when not {carried} and {js.truthy(value, '$.response.candidates')} "
+        f"then {reasons('$.response.candidates', 'finishReason')} end",
     )
     steps = [
-        (own.isNotNull(), _openai(own)),
-        (nested.isNotNull(), _openai(nested)),
-        (gemini.isNotNull(), _gemini(gemini)),
+        _struct({c: "0D" for c in COUNTS}),
+        _step(js.object_at(value, "$.usage"), _openai),
+        _step(js.object_at(value, "$.response.usage"), _openai),
+        _step(_usage_metadata(value), _gemini),
     ]
-    counts = [F.coalesce(_latest(steps, c), F.lit(0.0)) for c in COUNTS]
-
-    def reasons(path: str, field: str) -> Column:
-        found = F.transform(_objects(value, path), lambda c: text(c, "$." + field))
-        return F.array_compact(found)
-
-    stop = filled_text(value, "$.stop_reason")
-    finish = (
-        F.when(stop.isNotNull(), F.array(stop))
-        .when(truthy(value, "$.choices"), reasons("$.choices", "finish_reason"))
-        .when(truthy(value, "$.candidates"), reasons("$.candidates", "finishReason"))
-        .when(~carried & truthy(value, "$.response.candidates"), reasons("$.response.candidates", "finishReason"))
-    )
-    model = _last_text(value, "$.model", "$.modelVersion", "$.response.model", "$.response.modelVersion")
-    return _result(counts, model, finish)
+    model = [js.filled_text(value, p) for p in ("$.model", "$.modelVersion", "$.response.model", "$.response.modelVersion")]
+    return _latest(steps, _coalesce(*model), _coalesce(finish, "array()"))
 
 
 def _wrapped_stream(value: Column) -> Column:
@@ -271,13 +203,14 @@ def usage_ledger(df: DataFrame, body: str = "response_body") -> DataFrame:
     df = df.withColumn(
         "_chunks", F.when(has_data_lines(raw), raw).otherwise(_wrapped_stream(F.col("_value")))
     )
-    empty = _result([F.lit(0.0)] * 5, F.lit(None).cast("string"), F.lit(None).cast("array<string>"))
+    df = df.withColumn("_events", events(F.col("_chunks")))
+    zeros = ", ".join(f"'{c}', 0D" for c in COUNTS)
     got = (
-        F.when(F.col("_chunks").isNotNull(), stream_usage(F.col("_chunks")))
-        .when(F.col("_value").isNotNull(), object_usage(F.col("_value")))
-        .otherwise(empty)
+        f"case when _chunks is not null then {_fold('_events', _ANY_PROVIDER)} "
+        f"when _value is not null then {_object_usage('_value')} "
+        f"else named_struct({zeros}, 'model', cast(null as string), 'finish_reasons', cast(array() as array<string>)) end"
     )
-    df = df.withColumn("_usage", got).withColumns(
+    df = df.withColumn("_usage", F.expr(got)).withColumns(
         {
             **{c: F.col(f"_usage.{c}").cast("long") for c in COUNTS},
             "model": F.col("_usage.model"),
@@ -285,53 +218,39 @@ def usage_ledger(df: DataFrame, body: str = "response_body") -> DataFrame:
             "stream": F.col("_chunks").isNotNull(),
         }
     )
-    return df.drop("_value", "_chunks", "_usage")
+    return df.drop("_value", "_chunks", "_events", "_usage")
+
+
+#: What an event proposes when it is read as one provider sends it.
+_STRICT = {
+    "anthropic": _event([_START, _DELTA], [_STOP_REASON], [_START_MODEL]),
+    "openai": _event(
+        [_step(f"if({js.truthy('e', '$.choices')}, {js.object_at('e', '$.usage')}, null)", _openai)],
+        [_first_reason("finish_reason", "$.choices")],
+        [],
+    ),
+    "gemini": _event(
+        [_step(js.object_at("e", "$.usageMetadata"), _gemini)],
+        [_first_reason("finishReason", "$.candidates")],
+        [js.filled_text("e", "$.modelVersion")],
+    ),
+}
 
 
 def provider_stream_usage(df: DataFrame, body: str = "response_body", provider: str = "provider") -> DataFrame:
     """Usage of event streams read strictly as the stated provider sends them.
 
     Rows whose five counts are all zero are left out, and with them every provider
-    without a stream format of its own.
+    without a stream format of its own. One fold: each event is read as its row's provider asks.
     """
-    raw, who = F.col(body), F.col(provider)
-    anthropic = _fold(
-        raw,
-        lambda e: _proposal(e, _start_usage(e), None, None, True, [_stop_reason(e)], [_start_model(e)]),
-    )
-    openai = _fold(
-        raw,
-        lambda e: _proposal(
-            e,
-            None,
-            F.when(truthy(e, "$.choices"), _object(e, "$.usage")),
-            None,
-            False,
-            [_first_reason(e, "$.choices", "finish_reason")],
-            [],
-        ),
-    )
-    gemini = _fold(
-        raw,
-        lambda e: _proposal(
-            e,
-            None,
-            None,
-            _object(e, "$.usageMetadata"),
-            False,
-            [_first_reason(e, "$.candidates", "finishReason")],
-            [filled_text(e, "$.modelVersion")],
-        ),
-    )
-    got = (
-        F.when(who == "anthropic", anthropic)
-        .when(who.isin("openai", "chatgpt"), openai)
-        .when(who == "gemini", gemini)
-    )
+    reading = {"anthropic": "anthropic", "openai": "openai", "chatgpt": "openai", "gemini": "gemini"}
+    rows = df.filter(F.col(provider).isin(*reading))
+    rows = rows.withColumns({"_events": events(F.col(body)), "_who": F.col(provider)})
+    cases = " ".join(f"when '{who}' then {_STRICT[how]}" for who, how in reading.items() if who != "chatgpt")
+    got = _fold("_events", f"case if(_who = 'chatgpt', 'openai', _who) {cases} end")
     # Unrolling an array of at most one struct drops the empty results and, unlike a
     # filter, is not pushed into the fold, which would evaluate it once per count.
-    counted = F.filter(F.array(got), lambda u: sum((u[c] for c in COUNTS), F.lit(0.0)) > 0)
-    rows = df.filter(who.isin("anthropic", "openai", "chatgpt", "gemini"))
+    counted = F.expr(f"filter(array({got}), u -> {' + '.join(f'u.{c}' for c in COUNTS)} > 0)")
     kept = [c for c in df.columns if c not in _TYPES]
     return unroll(rows, kept, counted).withColumns(
         {c: F.col(c).cast("long") for c in COUNTS}
