@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracewarden.operators import sessions as S
 from tracewarden.operators.ranking import numbered, order_slices
 from tracewarden.operators.redact import preset
-from tracewarden.operators.transforms import fail_open, notify, observed, redact_then_log
+from tracewarden.operators.transforms import ResponseStep, fail_open, notify, observed, redact_then_log, response_chain
 from tracewarden.plans.derived import raw_captures_of
 from tracewarden.sources import captures as C
 
@@ -150,3 +150,16 @@ def test_fail_open_and_observers(spark, capsys):
         raise ValueError("x")
     notify([broken, lambda b, i: calls.append(i)])(df, 4)
     assert calls == [4] and "failed" in capsys.readouterr().out
+
+
+def test_response_steps_run_in_order_and_fail_open(spark):
+    rows = [(1, "a", False), (2, "bad", False), (3, "a\nbad\nc", True), (4, None, True), (5, "", None)]
+    df = spark.createDataFrame(rows, "i int, response_body string, response_is_streaming boolean")
+    steps = [
+        ResponseStep("up", body=lambda b: F.when(b != "bad", F.upper(b)), line=lambda x: F.when(x != "bad", F.upper(x)),
+                     end=lambda lines: F.concat(F.lit("n"), F.size(lines))),
+        ResponseStep("tag", body=lambda b: F.concat(b, F.lit("!")), line=lambda x: F.concat(x, F.lit("?"))),
+        ResponseStep("none"),
+    ]
+    got = {r.i: (r.response_body, r.failed_steps) for r in response_chain(df, steps).collect()}
+    assert got == {1: ("A!", []), 2: ("bad!", ["up"]), 3: ("A?\nbad?\nC?\nn3?", ["up"]), 4: (None, []), 5: ("!", [])}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.text import all_matches, gaps, indices, let, unroll_items
-from tracewarden.operators.ranking import numbered
+from tracewarden.operators.ranking import numbered, order_slices
 from tracewarden.operators.redact import Policy, redact_with_hits
 from tracewarden.rules.base import Rule
 
@@ -54,24 +54,40 @@ def session_hits(
     return unrolled.select("session_id", "seq", "leaf", "serial", "_hit.rule", "_hit.original")
 
 
-def build_dictionary(hits: DataFrame, bucket_width: int = 4096) -> DataFrame:
+def _written(df: DataFrame, staging: str | None, name: str) -> DataFrame:
+    """``df`` as it is, or written to the staging folder and read back."""
+    if not staging:
+        return df
+    df.write.mode("overwrite").parquet(f"{staging}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{staging}/{name}")
+
+
+def build_dictionary(
+    hits: DataFrame, bucket_width: int = 4096, staging: str | None = None, slices: int = 64
+) -> DataFrame:
     """session_id, original, rule, ordinal, placeholder.
 
     An original gets its placeholder from the rule that met it first in the session.
-    Hits are first reduced to distinct originals with map-side combining, and the
-    numbering works per slice of ``bucket_width`` requests, so that one busy session
-    spreads over many tasks.
+    Hits are first reduced to distinct originals with map-side combining, and the numbering
+    works per slice of the order, so that one busy session spreads over many tasks. With a
+    ``staging`` folder that all executors share, the originals are written once and cut into
+    even ``slices`` whatever the unit of ``seq`` is; without one, a slice is ``bucket_width`` of it.
     """
     place = F.struct("seq", "leaf", "serial")
     originals = hits.groupBy("session_id", "original").agg(
         F.min(F.struct(place.alias("at"), F.col("rule"))).alias("_first")
     ).select("session_id", "original", F.col("_first.rule").alias("rule"), F.col("_first.at").alias("at"))
+    originals = _written(
+        originals.withColumns({"_seq": F.col("at.seq").cast("long"), "_leaf": F.col("at.leaf").cast("long")}),
+        staging,
+        "originals",
+    )
+    if staging:
+        bucket = order_slices(originals, "_seq", "_leaf", slices)
+    else:
+        bucket = F.floor(F.col("_seq") / bucket_width)
     counted = numbered(
-        originals,
-        keys=["session_id", "rule"],
-        order=[F.col("at")],
-        bucket=F.floor(F.col("at.seq") / bucket_width),
-        out="ordinal",
+        originals, keys=["session_id", "rule"], order=[F.col("at")], bucket=bucket, out="ordinal"
     )
     return counted.select(
         "session_id",
@@ -122,15 +138,12 @@ def pseudonymise(
     (session, original), and the placeholders return to the row on ``key``. An original
     that fills a large share of the hits meets a single dictionary row, which adaptive
     skew handling can split. The marked texts feed the dictionary and the result; with
-    ``staging``, a folder that all executors share, they are written once and read back,
-    so that the rules run a single time over a large table.
+    ``staging``, a folder that all executors share, they and the dictionary are written once and
+    read back, so that the rules run a single time.
     """
-    marked = with_stand_ins(df, policy, text)
-    if staging:
-        marked.write.mode("overwrite").parquet(staging)
-        marked = df.sparkSession.read.schema(marked.schema).parquet(staging)
+    marked = _written(with_stand_ins(df, policy, text), staging, "marked")
     hits = session_hits(marked, session, order)
-    dictionary = build_dictionary(hits)
+    dictionary = _written(build_dictionary(hits, staging=staging), staging, "dictionary")
     owned = marked.select(
         F.col(key).alias("_row"),
         F.coalesce(F.nullif(F.col(session), F.lit("")), F.lit(DEFAULT_SESSION)).alias("session_id"),

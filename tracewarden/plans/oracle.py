@@ -800,6 +800,19 @@ def _redaction_queries() -> dict[str, str]:
         f"select {path_of} as path, count(*) as leaves, cast(sum(length(json_extract_string(value, '$'))) as bigint) as chars "
         f"from (select t.fullkey, t.value, t.type from {CAPTURES} c, json_tree(c.request_body) t) where type = 'VARCHAR' group by 1"
     )
+    junk = "contains(x, '{broken')"
+    lines = "string_split(response_body, chr(10))"
+    quoted = f"list_transform({lines}, lambda x: case when {junk} then x else replace(x, '\"text\":\"', '\"text\":\"> ') end)"
+    marked = f"array_to_string(list_transform(list_append({quoted}, 'event: lines ' || len({lines})), lambda x: x || ' '), chr(10))"
+    whole = "case when try_cast(response_body as json) is null then response_body else replace(response_body, 'end_turn', 'stop') end || chr(10)"
+    bad = f"case when response_is_streaming then len(list_filter({lines}, lambda x: {junk})) > 0 else try_cast(response_body as json) is null end"
+    o["response_chain"] = (
+        f"select capture_id, case when bad then 'rename' else '' end as failed_steps, {digest('b')} from "
+        f"(select capture_id, {bad} as bad, case when response_is_streaming then {marked} else {whole} end as b from {CAPTURES})"
+    )
+    o["capture_observers"] = (
+        f"select count(*) as captures, count_if(response_is_streaming) as streams, cast(sum(length(response_body)) as bigint) as chars from {CAPTURES}"
+    )
     o["transform_fail_open"] = (
         f"select try_cast(body as json) is null as transform_failed, count(*) as requests, cast(sum(length(case when try_cast(body as json) is null then body else replace(body, ' ', '') end)) as bigint) as chars from {LOG} group by 1"
     )

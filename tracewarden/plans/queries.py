@@ -616,6 +616,44 @@ def redact_then_log(spark, sf):
     )
 
 
+#: Two steps: the first renames a stop reason, checks buffered bodies and quotes streamed text; the
+#: second counts the lines that it gets and refuses junk.
+RESPONSE_STEPS = (
+    transforms.ResponseStep(
+        "rename",
+        body=lambda b: F.when(F.try_parse_json(b).isNotNull(), F.replace(b, F.lit("end_turn"), F.lit("stop"))),
+        line=lambda x: F.when(~F.contains(x, F.lit("{broken")), F.replace(x, F.lit('"text":"'), F.lit('"text":"> '))),
+        end=lambda lines: F.concat(F.lit("event: lines "), F.size(lines).cast("string")),
+    ),
+    transforms.ResponseStep(
+        "mark", body=lambda b: F.concat(b, F.lit("\n")), line=lambda x: F.concat(x, F.lit(" "))
+    ),
+)
+
+
+@query
+def response_chain(spark, sf):
+    """Buffered and streamed responses after two steps, failures kept open and named."""
+    done = transforms.response_chain(_raw_captures(spark, sf), RESPONSE_STEPS)
+    return done.select(
+        "capture_id", F.array_join("failed_steps", ",").alias("failed_steps"), *digest("response_body")
+    )
+
+
+@query
+def capture_observers(spark, sf):
+    """What observers of all captures saw while these passed by."""
+    passing, seen = transforms.observed(
+        _raw_captures(spark, sf),
+        "captures",
+        captures=F.count("*"),
+        streams=F.count_if("response_is_streaming"),
+        chars=F.sum(F.length("response_body").cast("long")),
+    )
+    passing.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "captures long, streams long, chars long")
+
+
 @query
 def transform_fail_open(spark, sf):
     """A transform that fails on bodies that are not JSON keeps them and flags the rows."""
@@ -642,7 +680,9 @@ def _session_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pseudonymised(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     policy = redact.compile_policy(PSEUDONYM_POLICY)
-    return reversible.pseudonymise(_session_messages(spark, sf), policy, key="row_id")
+    return reversible.pseudonymise(
+        _session_messages(spark, sf), policy, key="row_id", staging=_scratch(spark, "names")
+    )
 
 
 @query
@@ -681,7 +721,7 @@ def dictionary_inventory(spark, sf):
 def session_dictionary_pii(spark, sf):
     """Dictionary sizes under the full pii preset, context gates included."""
     _, dictionary = reversible.pseudonymise(
-        _session_messages(spark, sf), redact.preset("pii"), key="row_id"
+        _session_messages(spark, sf), redact.preset("pii"), key="row_id", staging=_scratch(spark, "names-pii")
     )
     return reversible.dictionary_inventory(dictionary)
 
@@ -775,8 +815,7 @@ def _reply_stream(spark: SparkSession, sf: str) -> DataFrame:
 def monitor_stream(spark, sf):
     """Running totals over arriving captures, summed to the one-line report."""
     ledger = live_ledger(_reply_stream(spark, sf), ["capture_id"])
-    run_available(live_totals(ledger), "tracewarden_totals", "complete", _scratch(spark, "totals"))
-    return totals_line(spark.table("tracewarden_totals"))
+    return totals_line(run_available(live_totals(ledger), _scratch(spark, "totals")))
 
 
 @query

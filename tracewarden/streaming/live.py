@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tracewarden.operators.sessions import matching, request_ledger
 
@@ -44,15 +43,26 @@ def totals_line(per_session: DataFrame) -> DataFrame:
     )
 
 
-def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Process all available input into an in-memory table; for reports and tests."""
+def run_available(df: DataFrame, folder: str) -> DataFrame:
+    """Process all available input in complete mode and return the last state of the result.
+
+    Every batch writes its state below ``folder``, a folder that all executors share; no row of
+    it passes the driver.
+    """
+    written: list[str] = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/state/{batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        written.append(path)
+
     query = (
-        df.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
+        df.writeStream.foreachBatch(keep)
+        .outputMode("complete")
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return query
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(written[-1]) if written else spark.createDataFrame([], df.schema)
