@@ -52,25 +52,39 @@ def _keys(df: DataFrame, text: str, keys: list[str] | None) -> list[str]:
     return keys or [c for c in df.columns if c != text]
 
 
+#: Per Java pattern: does it match the empty string? None if it does not compile.
+_CHECKED: dict[str, bool | None] = {}
+
+
+def _check(spark: SparkSession, patterns: list[str]) -> None:
+    """One job for all patterns; one each only if some of them does not compile."""
+    try:
+        row = spark.range(1).select(*[F.lit("").rlike(p) for p in patterns]).head()
+        _CHECKED.update(zip(patterns, row, strict=True))
+    except Exception as error:  # raised by the pattern compiler
+        if "PATTERN" not in str(error).upper():
+            raise
+        if len(patterns) == 1:
+            _CHECKED[patterns[0]] = None
+        else:
+            for p in patterns:
+                _check(spark, [p])
+
+
 def usable_patterns(spark: SparkSession, sources: list[str], flags: str = "i") -> list[tuple[int, Pattern]]:
     """The patterns that compile, with their positions in the list.
 
     Invalid ones are dropped, as a bad custom pattern must not stop a scan. A pattern
     that matches the empty string has no well-defined occurrences and is refused.
     """
-    usable = []
-    for i, source in enumerate(sources):
-        pattern = Pattern(source, flags)
-        try:
-            empty = spark.range(1).select(F.lit("").rlike(pattern.java)).head()[0]
-        except Exception as error:  # raised by the pattern compiler
-            if "PATTERN" not in str(error).upper():
-                raise
-            continue
-        if empty:
-            raise ValueError(f"pattern matches the empty string: {source}")
-        usable.append((i, pattern))
-    return usable
+    patterns = [Pattern(source, flags) for source in sources]
+    unknown = [p.java for p in patterns if p.java not in _CHECKED]
+    if unknown:
+        _check(spark, list(dict.fromkeys(unknown)))
+    for p in patterns:
+        if _CHECKED[p.java]:
+            raise ValueError(f"pattern matches the empty string: {p.source}")
+    return [(i, p) for i, p in enumerate(patterns) if _CHECKED[p.java] is not None]
 
 
 def _banned_alerts(body: Column, lowered: Column, substrings, case_sensitive: bool) -> list[Column]:

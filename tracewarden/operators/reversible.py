@@ -182,7 +182,7 @@ def json_escape(text: Column) -> Column:
     return F.when(text.isNotNull(), inside)
 
 
-def _found_placeholders(df: DataFrame, text: str) -> Column:
+def found_placeholders(text: str) -> Column:
     """The distinct placeholder-shaped tokens of a text, overlapping digits included."""
     return F.array_distinct(all_matches(F.col(text), _PLACEHOLDER))
 
@@ -206,7 +206,7 @@ def rehydrate(
     tokens = df.filter(F.contains(F.col(text), F.lit("["))).select(
         F.col(key).alias("_row"),
         F.coalesce(F.nullif(F.col(session), F.lit("")), F.lit(DEFAULT_SESSION)).alias("session_id"),
-        F.explode(_found_placeholders(df, text)).alias("placeholder"),
+        F.explode(found_placeholders(text)).alias("placeholder"),
     )
     known = (
         tokens.join(
@@ -474,7 +474,7 @@ def rehydrate_streams(
     tokens = answers.filter(F.contains("_answer", F.lit("["))).select(
         F.col(key).alias("_row"),
         F.coalesce(F.nullif(F.col(session), F.lit("")), F.lit(DEFAULT_SESSION)).alias("session_id"),
-        F.explode(_found_placeholders(answers, "_answer")).alias("placeholder"),
+        F.explode(found_placeholders("_answer")).alias("placeholder"),
     )
     known = (
         tokens.join(

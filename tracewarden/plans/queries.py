@@ -756,7 +756,9 @@ def _placeholder_streams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
     )
     policy = redact.compile_policy(PSEUDONYM_POLICY)
-    table, dictionary = reversible.pseudonymise(rows, policy, key="row_id")
+    table, dictionary = reversible.pseudonymise(
+        rows, policy, key="row_id", staging=_scratch(spark, "names-streams")
+    )
     spoken = table.select("conv_id", "turn", "role", F.col("pseudonymised").alias("text"))
     calls = derived.raw_captures_of(spoken).filter("response_is_streaming")
     return calls.drop("session_id").withColumn(
@@ -902,7 +904,12 @@ def sse_chunks(calls: DataFrame, dictionary: DataFrame, size: int = 61) -> DataF
     ends = calls.select(
         stream, F.lit(1 << 40).cast("long").alias("seq"), F.lit("end").alias("kind"), text().alias("placeholder"), text().alias("payload")
     )
-    names = calls.select("session_id", stream).join(dictionary, "session_id").select(
+    # A stream brings the names that its joint text uses, not the whole dictionary of its session.
+    said = reversible.sse_text(calls, "response_body", ["session_id", "capture_id"])
+    used = said.select(
+        "session_id", stream, F.explode(reversible.found_placeholders("answer")).alias("placeholder")
+    )
+    names = used.join(dictionary, ["session_id", "placeholder"]).select(
         "stream_id", F.lit(0).cast("long").alias("seq"), F.lit("name").alias("kind"), "placeholder", F.col("original").alias("payload")
     )
     return names.unionByName(pieces).unionByName(ends)
