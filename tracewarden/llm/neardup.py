@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.common import stored
@@ -19,10 +18,12 @@ WORDS = 5
 PERCENT = 80
 #: A pair at the threshold shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 5e-8.
 ROWS, BANDS = 4, 32
-SKETCH_LONGS = 8
-#: Odd sketches of pairs at the threshold differ in 46 of 512 bits, give or take 8. Pairs that
-#: differ in more than this many have an estimated likeness below one half.
-MOST_BITS = 100
+#: MinHash samples of one permutation, one for each of so many bins, and the bits they fold into.
+BINS, SKETCH_LONGS = 1024, 32
+#: A pair is dropped if its sketches differ by so many standard deviations more than expected.
+SIGMAS = 4
+#: Members of a bucket that meet in one go.
+BLOCK = 1024
 CACHE = 1_000_000
 
 
@@ -57,49 +58,49 @@ class Shingler:
 
 
 class Signer:
-    """MinHash samples of a set, as band keys and as an odd sketch."""
+    """Band keys of a set, from MinHash values, and its odd sketch."""
 
-    def __init__(self, rows: int, bands: int, longs: int):
+    def __init__(self, rows: int, bands: int):
         rng = np.random.Generator(np.random.PCG64(4))
         k = rows * bands
-        self.rows, self.bands, self.longs = rows, bands, longs
+        self.rows, self.bands = rows, bands
         self.flip = rng.integers(0, 1 << 32, k, dtype=np.uint32)
         self.factor = rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
-        self.place = np.arange(k, dtype=np.uint64) << np.uint64(32)
         self.powers = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 
     @staticmethod
     def _mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        with np.errstate(over="ignore"):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
 
-    def samples(self, shingles: np.ndarray) -> np.ndarray:
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
         small = (shingles >> np.uint64(16)).astype(np.uint32)[:, None]
         least = np.full(len(self.flip), 0xFFFFFFFF, dtype=np.uint32)
         for at in range(0, len(small), 512):
             seen = small[at : at + 512] ^ self.flip
             seen *= self.factor
             np.minimum(least, seen.min(axis=0), out=least)
-        return least
+        total = self.powers.copy()
+        for row in least.astype(np.uint64).reshape(self.bands, self.rows).T:
+            total = self._mix(total ^ row) + row
+        return total.view(np.int64)
 
-    def sign(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys and the sketch: each (place, sample) flips one bit, chosen by its hash."""
-        with np.errstate(over="ignore"):
-            least = self.samples(shingles).astype(np.uint64)
-            total = self.powers.copy()
-            for row in least.reshape(self.bands, self.rows).T:
-                total = self._mix(total ^ row) + row
-            bit = self._mix(self.place | least) % np.uint64(64 * self.longs)
-        odd = np.bincount(bit.astype(np.int64), minlength=64 * self.longs) & 1
-        return total.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """The least hash of each bin of the hash range flips one bit, chosen by its value."""
+        bins = shingles // np.uint64((1 << 64) // BINS)
+        first = np.concatenate([[True], bins[1:] != bins[:-1]])
+        bit = self._mix(shingles[first]) % np.uint64(64 * SKETCH_LONGS)
+        odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, whole (digest of the set), bands, sketch; one row per document."""
+    """doc_id, n_shingles, whole (digest of the set), bands, s (the sketch); one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(words), Signer(rows, bands, SKETCH_LONGS)
+        shingler, signer = Shingler(words), Signer(rows, bands)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -112,30 +113,127 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                         keys.append(None)
                         sketches.append(None)
                         continue
-                    key, sketch = signer.sign(found)
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    keys.append(key)
-                    sketches.append(sketch)
+                    keys.append(signer.keys(found))
+                    sketches.append(signer.sketch(found).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                        pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "whole", "bands", "sketch"],
+                    names=["doc_id", "n_shingles", "whole", "bands", "s"],
                 )
 
-    schema = "doc_id long, n_shingles long, whole binary, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, whole binary, bands array<long>, s binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _alike(one: str, other: str, most_bits: int, percent: int) -> Column:
-    """Can two sets be linked, by their sizes and their sketches? Columns n and s of both sides."""
-    bits = reduce(
-        lambda x, y: x + y,
-        [F.bit_count(F.col(f"{one}s")[i].bitwiseXOR(F.col(f"{other}s")[i])) for i in range(SKETCH_LONGS)],
+def most_bits(one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Different bits that sketches of sets of these sizes may have; -1 if their sizes rule a link out.
+
+    Were the pair just at the threshold t, its union would have u elements and fill so many
+    bins; 1 - t of these would hold different least hashes, one or two. That gives the mean and
+    the spread of the number of different bits.
+    """
+    t, size = percent / 100, 64 * SKETCH_LONGS
+    u = (one + other) / (1 + t)
+    filled = BINS * (1 - np.exp(-u / BINS))
+    second = 1 - np.exp(-u * (1 + t) / 2 / BINS)
+    mean = (1 - t) * filled * (1 + second)
+    spread = filled * t * (1 - t) * np.maximum(1 - filled / u, 0) * (1 + second) ** 2
+    spread += (1 - t) * filled * second * (1 - second) + 2 * mean * mean / size
+    expected = size / 2 * (1 - np.exp(-2 * mean / size))
+    possible = 100 * np.minimum(one, other) >= percent * np.maximum(one, other)
+    return np.where(possible, expected + SIGMAS * np.sqrt(spread) + 3, -1)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, an, bn, as, bs) that can be linked, by their sizes and sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.bitwise_count(_sketches(batch["as"]) ^ _sketches(batch["bs"])).sum(axis=1)
+            sizes = (batch[c].to_numpy().astype(np.float64) for c in ("an", "bn"))
+            yield batch.select(["a", "b"]).filter(pa.array(bits <= most_bits(*sizes, percent)))
+
+    return pairs.select("a", "b", "an", "bn", "as", "bs").mapInArrow(run, "a long, b long")
+
+
+def _crossing(open_: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs of members of a bucket (key) in different components that can be linked.
+
+    ``open_`` has key, size, main (the largest component), node, component, n, s, bands. Everyone
+    outside the main component meets everyone. Buckets are cut into blocks of ``BLOCK`` members;
+    two blocks meet in a task, which compares their sketches and gives out the few pairs that
+    pass, each only in the first band that both have in common.
+    """
+    blocks = (F.col("size") / BLOCK).cast("int")
+    every = F.sequence(F.lit(0), blocks)
+    own = F.pmod(F.xxhash64("node"), blocks + 1).cast("int")
+    columns = ["key", "main", "component", "node", "n", "s", "bands"]
+    outside = open_.filter(F.col("component") != F.col("main"))
+    met = outside.select(*columns, own.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("one")).union(
+        open_.select(*columns, F.explode(every).alias("i"), own.alias("j"), F.lit(False).alias("one"))
+    )
+
+    def pairs_of(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        one = group["one"].to_numpy(zero_copy_only=False)
+        node, component, size = (group[c].to_numpy() for c in ("node", "component", "n"))
+        sketch = _sketches(group["s"])
+        key, main = group["key"][0].as_py(), group["main"][0].as_py()
+        bands = group["bands"].flatten().to_numpy().reshape(len(group), -1)
+        right, found = np.flatnonzero(~one), []
+        left = np.flatnonzero(one)
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            bits = np.zeros((len(some), len(right)), dtype=np.uint16)
+            for x, y in zip(sketch[some].T, sketch[right].T, strict=True):
+                bits += np.bitwise_count(x[:, None] ^ y)
+            limit = most_bits(size[some][:, None].astype(np.float64), size[right].astype(np.float64), percent)
+            # Two members outside the main component meet twice; once is enough.
+            once = (component[right] == main) | (node[some][:, None] < node[right])
+            a, b = np.nonzero((bits <= limit) & (component[some][:, None] != component[right]) & once)
+            for low in range(0, len(a), 8192):
+                x, y = some[a[low : low + 8192]], right[b[low : low + 8192]]
+                first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key
+                found.append((node[x[first]], node[y[first]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (node[:0], node[:0])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        mark = None
+
+        def compared() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            a, b = pairs_of(group)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            marks = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if high == low:
+                    continue
+                this = tuple(marks[:, low].tolist())
+                if held and this != mark:
+                    yield compared()
+                    held = []
+                mark = this
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield compared()
+
+    return (
+        met.repartition(parts, "key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInArrow(run, "a long, b long")
+        .distinct()
     )
-    small, large = F.least(f"{one}n", f"{other}n"), F.greatest(f"{one}n", f"{other}n")
-    return (100 * small >= percent * large) & (bits <= most_bits)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -178,10 +276,10 @@ def near_duplicates(
 
     Documents are linked if their sets of word shingles are alike; ``component_id`` is the
     smallest doc_id that is reached over links, and ``kept`` marks its document. Documents with
-    equal sets count once. In each bucket of a band every member is first held against the
-    smallest one; then only members that are still in different components meet, so that a
-    large group of copies costs a comparison each. Sketches drop hopeless pairs; the rest is
-    confirmed on whole sets.
+    equal sets count once. Every document is first held against the most central
+    one that it shares a band's bucket with; then only members of a bucket that are still in
+    different components meet, so that a large group of copies costs a comparison each. Sketches
+    drop hopeless pairs while they are joined; the rest is confirmed on whole sets.
 
     Null and empty texts and texts without words are linked with nothing, as are rows with a null
     doc_id, which are kept. Repeated rows are rows of one document; rows with one doc_id and
@@ -195,63 +293,57 @@ def near_duplicates(
             F.min("doc_id").alias("node"),
             F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
-            F.first("sketch").alias("s"),
+            F.first("s").alias("s"),
         ),
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = stored(
-        members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last"),
-        "buckets",
+    buckets = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # Members with the sizes of all their buckets: the centre of a group meets most of it.
+    central = (
+        members.join(buckets, "key")
+        .groupBy("node")
+        .agg(F.collect_list("key").alias("keys"), F.sum("n").alias("met"))
+        .select("node", F.explode("keys").alias("key"), F.struct("met", (-F.col("node")).alias("minus")).alias("rank"))
+    )
+    shared = stored(central, "members")
+    leaders = stored(
+        shared.groupBy("key").agg(F.max("rank").alias("lead")), "leaders"
+    )
+    led = shared.select("key", "node").join(leaders, "key").filter(F.col("node") != -F.col("lead.minus"))
+    stars = led.groupBy("node").agg(F.max("lead").alias("lead")).select(
+        (-F.col("lead.minus")).alias("a"), F.col("node").alias("b")
     )
-    shared = stored(members.join(buckets.select("key", "first"), "key"), "members")
 
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}n"), F.col("s").alias(f"{name}s"))
 
     stars = stored(
-        shared.filter("first < node")
-        .select(F.col("first").alias("a"), F.col("node").alias("b"))
-        .distinct()
-        .join(side("b"), "b")
-        .join(side("a"), "a")
-        .filter(_alike("a", "b", MOST_BITS, percent))
-        .select("a", "b")
-        .distinct(),
+        _alike(stored(stars, "led").join(side("b"), "b").join(side("a"), "a"), percent).distinct(),
         "stars",
     )
     links = stored(_confirmed(stars, docs, words, percent), "links")
     found = stored(components(links), "components")
 
-    # Buckets whose members are still apart: everyone outside the smallest component meets all.
-    placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Buckets whose members are still apart: everyone outside the largest component meets all.
+    placed = stored(
+        shared.select("key", "node")
+        .join(found, "node", "left")
+        .select("key", "node", F.coalesce("component", "node").alias("component")),
+        "placed",
+    )
     apart = stored(
-        placed.groupBy("key")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least < most")
-        .select("key", "least"),
+        placed.groupBy("key", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
+        .agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.sum("n").alias("size"))
+        .filter("parts > 1")
+        .select("key", "main", "size"),
         "apart",
     )
-    open_ = stored(
-        placed.join(apart, "key").join(nodes.select("node", "n", "s"), "node"), "open"
-    )
-    one = open_.filter(F.col("component") != F.col("least")).select(
-        "key", "first", *[F.col(c).alias(f"a{c}") for c in ("node", "component", "n", "s")]
-    )
-    other = open_.select(F.col("key").alias("_key"), *[F.col(c).alias(f"b{c}") for c in ("node", "component", "n", "s")])
-    crossing = (
-        one.join(
-            other,
-            (F.col("key") == F.col("_key"))
-            & (F.col("acomponent") != F.col("bcomponent"))
-            # The bucket's smallest member has met all others already.
-            & (F.col("anode") != F.col("first"))
-            & (F.col("bnode") != F.col("first"))
-            & _alike("a", "b", MOST_BITS, percent),
-        )
-        .select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
-        .distinct()
-    )
+    open_ = placed.join(apart, "key").join(nodes.select("node", "n", "s", "bands"), "node")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crossing = _crossing(open_, percent, parts)
     crossing = stored(crossing, "crossing")
     more = stored(_confirmed(crossing, docs, words, percent), "links")
     if not more.isEmpty():
@@ -265,7 +357,7 @@ def near_duplicates(
         .select("whole", F.coalesce("component", "node").alias("component")),
         "labels",
     )
-    own = F.coalesce("component", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return signed.select("doc_id", "n_shingles", "whole").join(labels, "whole", "left").select(
         "doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")
     )
@@ -277,5 +369,5 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     Repeated rows of a kept document all stay, as they are one document, and so do rows with a
     null doc_id.
     """
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
