@@ -33,7 +33,7 @@ DECAY = 0.1
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 ATTENTION = 4
 #: The training sample: at most so many toxic and so many other documents, of so many characters.
-SAMPLE, SAMPLE_CHARS = (1200, 4800), 200_000
+SAMPLE, SAMPLE_CHARS = (1000, 3000), 200_000
 THRESHOLD = 0.7
 #: Windows per training step; steps per turn, at least.
 BATCH, STEPS = 256, 40
@@ -79,7 +79,7 @@ def window_table(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for i, ids in enumerate(docs):
         first = windows(len(ids))
         if len(ids) < WINDOW:
-            ids = np.concatenate([ids, np.full(WINDOW - len(ids), -1, dtype=np.int64)])
+            ids = np.concatenate([ids, np.full(WINDOW - len(ids), -1, dtype=ids.dtype)])
         tables.append(ids[first[:, None] + np.arange(WINDOW)])
         owner.append(np.full(len(first), i))
     return np.concatenate(tables), np.concatenate(owner)
@@ -255,35 +255,41 @@ def train(texts: list[bytes], labels: list[int], seed: int = 10, turns: int = 8)
     if len(set(labels)) < 2:
         return float(labels[0]) if labels else 0.0
     rng = np.random.default_rng(seed)
-    split = [pieces(t) for t in texts]
-    counts: dict[bytes, int] = {}
-    for words in split:
-        for word in set(words):
-            counts[word] = counts.get(word, 0) + 1
-    every = {word: i for i, word in enumerate(sorted(counts))}
-    vocabulary = {word: i + 1 for i, word in enumerate(x for x in every if counts[x] >= RARE)}
-    number = np.array([vocabulary.get(word, 0) for word in every], dtype=np.int64)
-    buckets = gram_table(list(every))
-    docs = [np.array([every[x] for x in words], dtype=np.int64) for words in split]
     toxic = np.array(labels, dtype=np.float32)
-    seen = np.zeros((2, BUCKETS))
+    # Words are numbered as they come; of the texts only the numbers are kept.
+    every: dict[bytes, int] = {}
+    docs = [np.array([every.setdefault(x, len(every)) for x in pieces(t)], dtype=np.int32) for t in texts]
     met = np.zeros((2, len(every)))
     for label, ids in zip(labels, docs, strict=True):
-        seen[label, np.unique(buckets[ids])] += 1
         met[label, np.unique(ids)] += 1
+    words = list(every)
+    vocabulary = {word: i + 1 for i, word in enumerate(x for x in words if met[:, every[x]].sum() >= RARE)}
+    number = np.array([vocabulary.get(word, 0) for word in words], dtype=np.int32)
+    stretches = range(0, len(words), 20_000)
+    grams = np.concatenate([gram_table(words[i : i + 20_000]) for i in stretches])
+    del every, words
+    seen = np.zeros((2, BUCKETS))
+    for label, ids in zip(labels, docs, strict=True):
+        seen[label, np.unique(grams[np.unique(ids)])] += 1
     common = seen.sum(axis=0) >= RARE
     common[0] = False
     spots = np.where(common, np.cumsum(common), 0).astype(np.int32)
-    grams = spots[buckets]
-    table, owner = window_table(docs)
-    network = Network.fresh(vocabulary, spots, rng)
     # The first place of each vector starts from, and keeps to, the evidence of its documents.
     gram_odds, word_odds = evidence(seen, toxic), evidence(met, toxic)
+    loud = word_odds * (number > 0)
+    for i in stretches:
+        part = slice(i, i + 20_000)
+        loud[part] += np.where(common[grams[part]], gram_odds[grams[part]], 0).max(axis=1)
+        grams[part] = spots[grams[part]]
+    network = Network.fresh(vocabulary, spots, rng)
     network.weights["gram"][1:, 0] = gram_odds[common]
     network.weights["word"][number, 0] = np.where(number > 0, word_odds, 0)
+    table, owner = window_table(docs)
+    del docs
+    logits = np.concatenate(
+        [np.where(w >= 0, loud[w], -9).max(axis=1) for w in np.array_split(table, 1 + len(table) // 8192)]
+    )
     adam = Adam(network.weights, 0.01)
-    loud = word_odds * (number > 0) + np.where(grams > 0, gram_odds[buckets], 0).max(axis=1)
-    logits = np.where(table >= 0, loud[table], -9).max(axis=1)
 
     def fit(chosen: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
         for at in range(0, len(chosen), BATCH):
@@ -349,7 +355,7 @@ class Scorer:
         if missing:
             self._learn(missing)
         rows = self.rows
-        table, owner = window_table([np.array([rows[x] for x in words], dtype=np.int64) for words in split])
+        table, owner = window_table([np.array([rows[x] for x in words], dtype=np.int32) for words in split])
         best = np.full(len(texts), -np.inf)
         for at in range(0, len(table), 2048):
             logits = self.network.run(self.table, table[at : at + 2048])
@@ -369,9 +375,10 @@ def learned(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE
     drawn = known.filter("_toxic > 0").orderBy(F.xxhash64("doc_id")).limit(sample[0]).union(
         known.filter("_toxic <= 0").orderBy(F.xxhash64("doc_id")).limit(sample[1])
     )
-    rows = texts.join(F.broadcast(drawn), "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"].encode(), int(r["_toxic"] > 0)) for r in rows)
-    return train([t for _, t, _ in rows], [y for _, _, y in rows])
+    rows = texts.join(F.broadcast(drawn), "doc_id").toArrow()
+    rows = zip(rows["doc_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), rows["_toxic"].to_pylist(), strict=True)
+    _, found, toxic = zip(*sorted(rows), strict=True) if (rows := list(rows)) else ((), (), ())
+    return train(list(found), [int(y > 0) for y in toxic])
 
 
 def held_out():
