@@ -1,18 +1,18 @@
 """Token ids as binary files: canonical, length-limited Huffman codes in independent blocks.
 
-A file set is a Spark table of frames, one binary column: a frame is a block that can be read
-alone. Its layout, all little-endian:
+A file set is a Spark table of frames, one binary column: a frame is a block of whole documents
+that can be read alone. Its layout, all little-endian:
 
     0   4   magic "HUF1"
-    4   4   ids in the block (n)
+    4   4   documents in the block (m)
     8   4   ids per checkpoint (step)
     12  8   place of the block's first id among those of its slice
-    20  4   documents in the block (m); a block holds whole documents
-    24  8m  per document: doc_id
+    20  8m  per document: doc_id
     ..  m   per document: 1 where the doc_id is null
     ..  4m  per document: number of its ids
-    ..  8k  bit offset of every step-th id, k = ceil(n / step)
-    ..      the codes, most significant bit first, and 8 bytes of padding
+    ..  4m  per document: bytes of its codes
+    ..  4k  per document, for every step-th id from the first: bit offset from the document's start
+    ..      the codes, each document from a new byte on, most significant bit first; 8 bytes of padding
 
 The code is canonical: lengths per id are all that a reader needs, and they are stored once.
 """
@@ -20,6 +20,7 @@ The code is canonical: lengths per id are all that a reader needs, and they are
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,68 +29,175 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import LONG_MIN, boundaries, scratch_path, slice_of
+from tracewarden.llm.common import LONG_MIN, boundaries, scratch_path, slice_of, stored
 
 MAGIC = b"HUF1"
 LIMIT = 16
 STEP = 256
-#: A block is closed once it holds so many ids.
-BLOCK = 1 << 20
+#: Ids that are coded at a time.
+RUN = 1 << 18
+#: A block is closed once it holds so many ids: some 200 KB, which the JVM moves about with ease.
+BLOCK = 1 << 17
 END_ID = 0
-#: Text pieces that a task keeps with their ids before it starts anew.
-CACHE = 400_000
+#: Words that a task keeps with their ids before it starts anew.
+CACHE = 500_000
+#: Signs that are cut into words at a time.
+CHARS = 500_000
+
+
+def cut_at_words(text: str, size: int) -> Iterator[str]:
+    """Parts of about ``size`` signs, cut where a single space stands between two words.
+
+    The pattern starts a word there, so the ids of the parts are those of the whole.
+    """
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        while 0 <= end < len(text) - 1 and (text[end - 1].isspace() or text[end + 1].isspace()):
+            end = text.find(" ", end + 1)
+        if not 0 <= end < len(text) - 1:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+LETTER, NUMBER, SPACE, LINE, OTHER, ODD, UNSEEN = range(7)
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, remembering the pieces between spaces.
+    """Ids of texts by a tokenizer file, remembering the words that its pattern cuts.
 
-    The vocabulary's pattern starts a new word at a space before anything but white space, and
-    merges stay inside words. So a text may be cut there and its pieces encoded one by one. Texts
-    where white space follows a space, or with separators on which engines differ, go whole.
+    The vocabulary's pattern makes words of letters, of numbers, or of anything else, each with
+    the space before it, and merges stay inside words. So each different word is encoded once by
+    the library, and texts are put together from the results. Texts with apostrophes, runs of
+    white space, special tokens, or signs on which engines may differ are encoded whole.
     """
 
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+    LONGEST = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[piece] = len(self.ids)
-                self.ids.append(np.array(coded.ids, dtype=np.uint32))
-
-    def cut(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None if it must go whole."""
-        if any(c in text for c in self.ODD):
-            return None
-        first, *rest = text.split(" ")
-        if any(not p or p[0].isspace() for p in rest):
-            return None
-        return [first, *[" " + p for p in rest]]
+        self.classes = np.full(0x110000, UNSEEN, dtype=np.uint8)
+        rng = np.random.Generator(np.random.PCG64(9))
+        self.factors = rng.integers(1, 1 << 63, (2, self.LONGEST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.checks = np.empty(0, np.uint64)
+        self.sizes, self.starts, self.flat = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def _classes_of(self, points: np.ndarray) -> np.ndarray:
+        out = self.classes[points]
+        if (out == UNSEEN).any():
+            for point in np.unique(points[out == UNSEEN]).tolist():
+                sign, kind = chr(point), unicodedata.category(chr(point))
+                if sign == " ":
+                    value = SPACE
+                elif sign == "\n":
+                    value = LINE
+                elif sign.isspace() or sign == "'" or kind[0] == "C":
+                    value = ODD
+                else:
+                    value = {"L": LETTER, "N": NUMBER}.get(kind[0], ODD if kind[0] == "Z" else OTHER)
+                self.classes[point] = value
+            out = self.classes[points]
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _learn(self, words: list[str], hashes: np.ndarray, checks: np.ndarray) -> None:
+        coded = []
+        for at in range(0, len(words), 4096):
+            coded += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+        sizes = np.array([len(c) for c in coded], dtype=np.int64)
+        self.known.update(zip(hashes.tolist(), range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.checks = np.concatenate([self.checks, checks])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.array([i for c in coded for i in c], dtype=np.uint32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
+        """Ids of each text, with the end id; so many texts at a time that arrays stay small."""
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        for text in texts:
+            if len(text) > CHARS:
+                parts = self._some(held + list(cut_at_words(text, CHARS)))
+                out += parts[: len(held)]
+                # All parts but the last one come with an end id that is not there.
+                out.append(np.concatenate([*[x[:-1] for x in parts[len(held) : -1]], parts[-1]]))
+                held = []
+                continue
+            held.append(text)
+            if sum(map(len, held)) > CHARS:
+                out += self._some(held)
+                held = []
+        return out + self._some(held) if held else out
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
-            self.known, self.ids = {}, []
+            self._forget()
         end = np.array([END_ID], dtype=np.uint32)
-        cuts = [self.cut(t) for t in texts]
-        self._learn([p for c in cuts if c for p in c if p])
-        whole = [t for t, c in zip(texts, cuts, strict=True) if c is None]
-        coded = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False) if whole else [])
-        out = []
-        for pieces in cuts:
-            if pieces is None:
-                out.append(np.array([*next(coded).ids, END_ID], dtype=np.uint32))
-            else:
-                out.append(np.concatenate([*[self.ids[self.known[p]] for p in pieces if p], end]))
-        return out
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        first = np.cumsum(sizes) - sizes
+        plain = sizes > 0
+        plain &= np.array(["<|" not in t for t in texts], dtype=bool)
+        if not len(points):
+            return [end for _ in texts]
+        kinds = self._classes_of(points)
+        blank = (kinds == SPACE) | (kinds == LINE)
+        starts = np.empty(len(points), dtype=bool)
+        starts[0] = True
+        starts[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != SPACE) | (kinds[1:] == LINE)
+        bad = kinds == ODD
+        bad[1:] |= blank[1:] & blank[:-1]
+        starts[first[sizes > 0]] = True
+        at = np.flatnonzero(starts)
+        size = np.diff(np.append(at, len(points)))
+        bad[at[size > self.LONGEST]] = True
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        plain[owner[bad]] = False
+        # White space may be counted over the seam of two texts; that only sends one of them whole.
+        words = plain[owner[at]]
+        at, size = at[words], size[words]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if len(at):
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            signs = points[np.repeat(at, size) + inside].astype(np.uint64) + np.uint64(1)
+            cuts = np.cumsum(size) - size
+            with np.errstate(over="ignore"):
+                hashes, checks = (np.add.reduceat(signs * f[inside], cuts) for f in self.factors)
+                hashes ^= size.astype(np.uint64) << np.uint64(57)
+            seen, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            get = self.known.get
+            number = np.array([get(h, -1) for h in seen.tolist()], dtype=np.int64)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                spots = where[new]
+                fresh = [joined[a : a + n] for a, n in zip(at[spots].tolist(), size[spots].tolist(), strict=True)]
+                number[new] = np.arange(len(self.known), len(self.known) + len(new))
+                self._learn(fresh, seen[new], checks[spots])
+            number = number[back]
+            text_of = owner[at]
+            # Two words of one hash: the second one's text is encoded whole.
+            plain[text_of[self.checks[number] != checks]] = False
+            count = self.sizes[number]
+            total = int(count.sum())
+            ids = self.flat[np.repeat(self.starts[number] - (np.cumsum(count) - count), count) + np.arange(total)]
+            per_text = np.bincount(text_of, count, len(texts)).astype(np.int64)
+            ends = np.cumsum(per_text)
+            for i in np.flatnonzero(plain).tolist():
+                out[i] = np.append(ids[ends[i] - per_text[i] : ends[i]], np.uint32(END_ID))
+        return [
+            x if x is not None else np.append(self._whole(t), end) if t else end for x, t in zip(out, texts, strict=True)
+        ]
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -147,156 +255,226 @@ def decoding_table(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
     return ids, sizes
 
 
-def packed(ids: np.ndarray, code: np.ndarray, lengths: np.ndarray, step: int) -> tuple[np.ndarray, bytes]:
-    """Bit offsets of every ``step``-th id, and the codes as bytes."""
+def packed(docs: list[np.ndarray], code: np.ndarray, lengths: np.ndarray, step: int) -> list[tuple[bytes, bytes]]:
+    """Per document the codes as bytes, and the bit offsets of every ``step``-th id."""
+    ids = np.concatenate(docs)
+    counts = np.array([len(d) for d in docs], dtype=np.int64)
+    first = np.cumsum(counts) - counts
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    total = int(ends[-1]) if len(ends) else 0
-    # A code is at most 16 bits long and so touches at most three bytes.
-    place, shift = starts >> 3, 24 - (starts & 7) - size
-    word = code[ids].astype(np.int64) << shift
-    out = np.zeros((total + 7) // 8 + 8, dtype=np.uint8)
-    # Codes do not overlap, so the sum of their bytes is their union.
-    for k in range(3):
-        out += np.bincount(place + k, (word >> (16 - 8 * k)) & 255, len(out)).astype(np.uint8)
-    return starts[::step].astype("<u8"), out.tobytes()
-
-
-def unpacked(data: np.ndarray, offsets: np.ndarray, n: int, step: int, table) -> np.ndarray:
-    """The ``n`` ids of a block; all stretches between checkpoints are read in step."""
+    bits = ends[first + counts - 1] - starts[first]
+    sizes = (bits + 7) >> 3
+    begin = np.cumsum(sizes) - sizes
+    inside = starts - np.repeat(starts[first], counts)
+    place = inside + np.repeat(begin * 8, counts)
+    # A code is at most 16 bits long: it lies in one word of 32 bits, or runs over into the next.
+    # The codes that begin in a word do not overlap, so their sum is their union, and only the
+    # last of them runs over.
+    word = place >> 5
+    moved = code[ids].astype(np.uint64) << (64 - (place & 31) - size).astype(np.uint64)
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    tails = np.append(heads[1:], len(word)) - 1
+    out = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
+    out[word[heads]] = np.add.reduceat(moved >> np.uint64(32), heads)
+    out[word[heads] + 1] += moved[tails] & np.uint64(0xFFFFFFFF)
+    out = out.astype(">u4")
+    data, offsets = out.tobytes(), inside.astype("<u4")
+    return [
+        (data[b : b + n], offsets[f : f + c : step].tobytes())
+        for b, n, f, c in zip(begin.tolist(), sizes.tolist(), first.tolist(), counts.tolist(), strict=True)
+    ]
+
+
+def unpacked(data: np.ndarray, at: np.ndarray, counts: np.ndarray, table) -> np.ndarray:
+    """The ids from each of the bit places ``at`` on, so many each; all are read in step."""
     ids, sizes = table
     limit = int(len(ids)).bit_length() - 1
-    lanes = len(offsets)
-    out = np.empty((step, lanes), dtype=np.uint32)
-    at = offsets.astype(np.int64)
+    most = int(counts.max(initial=0))
+    out = np.empty((most, len(at)), dtype=np.uint32)
     last = len(data) - 4
     wide = data.astype(np.uint32)
-    for i in range(step):
-        byte = np.minimum(at >> 3, last)
-        bits = (wide[byte] << 24) | (wide[byte + 1] << 16) | (wide[byte + 2] << 8) | wide[byte + 3]
-        look = (bits << (at & 7).astype(np.uint32)) >> np.uint32(32 - limit)
+    wide = (wide[:-3] << 24) | (wide[1:-2] << 16) | (wide[2:-1] << 8) | wide[3:]
+    at = at.astype(np.int64)
+    for i in range(most):
+        look = (wide[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> np.uint32(32 - limit)
         out[i] = ids[look]
         at += sizes[look]
-    return out.T.reshape(-1)[:n]
-
-
-def frame(first: int, docs: list[np.ndarray], names: list[int | None], code, lengths, step: int) -> bytes:
-    """A block of whole documents, each with its ids."""
-    ids = np.concatenate(docs)
-    offsets, payload = packed(ids, code, lengths, step)
-    named = np.array([d or 0 for d in names], dtype="<i8")
-    null = np.array([d is None for d in names], dtype=np.uint8)
-    sizes = np.array([len(d) for d in docs], dtype="<u4")
-    head = struct.pack("<4sIIqI", MAGIC, len(ids), step, first, len(docs))
-    return b"".join([head, named.tobytes(), null.tobytes(), sizes.tobytes(), offsets.tobytes(), payload])
+    return out.T[np.arange(most) < counts[:, None]]
+
+
+def frame(first: int, docs: list[tuple[int | None, int, bytes, bytes]], step: int) -> bytes:
+    """A block of whole documents: doc_id, number of ids, codes, bit offsets."""
+    names, counts, data, offsets = zip(*docs, strict=True)
+    return b"".join(
+        [
+            struct.pack("<4sIIq", MAGIC, len(docs), step, first),
+            np.array([d or 0 for d in names], dtype="<i8").tobytes(),
+            np.array([d is None for d in names], dtype=np.uint8).tobytes(),
+            np.array(counts, dtype="<u4").tobytes(),
+            np.array([len(d) for d in data], dtype="<u4").tobytes(),
+            *offsets,
+            *data,
+            bytes(8),
+        ]
+    )
 
 
-def read_frame(data: bytes, table) -> tuple[int, list[int | None], list[np.ndarray]]:
+def read_frame(data: bytes | pa.Buffer, table) -> tuple[int, list[int | None], list[np.ndarray]]:
     """Place of the first id, the doc_ids, and the ids of each document."""
-    magic, n, step, first, m = struct.unpack_from("<4sIIqI", data)
+    magic, m, step, first = struct.unpack_from("<4sIIq", data)
     if magic != MAGIC:
         raise ValueError("no frame of token ids")
-    at = 24
+    at = 20
     names = np.frombuffer(data, "<i8", m, at).tolist()
     null = np.frombuffer(data, np.uint8, m, at + 8 * m).tolist()
-    sizes = np.frombuffer(data, "<u4", m, at + 9 * m)
-    at += 13 * m
-    lanes = -(-n // step)
-    offsets = np.frombuffer(data, "<u8", lanes, at)
-    ids = unpacked(np.frombuffer(data, np.uint8, -1, at + 8 * lanes), offsets, n, step, table)
-    docs = np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1])
+    counts = np.frombuffer(data, "<u4", m, at + 9 * m).astype(np.int64)
+    sizes = np.frombuffer(data, "<u4", m, at + 13 * m).astype(np.int64)
+    at += 17 * m
+    lanes = -(-counts // step)
+    offsets = np.frombuffer(data, "<u4", int(lanes.sum()), at).astype(np.int64)
+    begin = np.repeat((np.cumsum(sizes) - sizes) * 8, lanes)
+    inside = np.arange(len(offsets)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    read = np.minimum(step, np.repeat(counts, lanes) - inside * step)
+    codes = np.frombuffer(data, np.uint8, -1, at + 4 * len(offsets))
+    ids = unpacked(codes, begin + offsets, read, table)
+    docs = np.split(ids, np.cumsum(counts)[:-1])
     return first, [None if z else d for d, z in zip(names, null, strict=True)], docs
 
 
-def count_ids(docs: DataFrame, path: str) -> np.ndarray:
-    """How often each id occurs in all texts; one row per id reaches the driver."""
+DRAFT = "doc_id long, tie long, n long, wide boolean, ids binary"
+
+
+def drafted(docs: DataFrame, path: str) -> DataFrame:
+    """All texts as ids of two bytes, or of four if the vocabulary needs them; one row each.
+
+    Texts are encoded once, here. ``tie`` is a hash of the text, to order equal doc_ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        counts = np.zeros(1, dtype=np.int64)
+        wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids = np.concatenate(encoder.encode(batch.column(0).slice(at, 256).to_pylist()))
-                more = np.bincount(ids, minlength=len(counts))
-                more[: len(counts)] += counts
-                counts = more
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
+                some = batch.slice(at, 256)
+                coded = encoder.encode(some["text"].to_pylist())
+                data = [x.astype("<u4" if wide else "<u2").tobytes() for x in coded]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some["doc_id"], some["tie"], pa.array([len(x) for x in coded], pa.int64()),
+                        pa.array([wide] * len(coded)), pa.array(data, pa.binary()),
+                    ],
+                    names=["doc_id", "tie", "n", "wide", "ids"],
+                )
 
-    rows = (
-        docs.select(F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(run, "id long, n long")
-        .groupBy("id")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")).mapInArrow(run, DRAFT)
+
+
+def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The ids of a batch's documents, in runs of a bounded number of ids, with the first row."""
+    held: list[np.ndarray] = []
+    first = size = 0
+    for row, (wide, data) in enumerate(zip(batch["wide"], batch["ids"], strict=True)):
+        held.append(np.frombuffer(data.as_buffer(), dtype="<u4" if wide.as_py() else "<u2"))
+        size += len(held[-1])
+        if size >= RUN:
+            yield first, held
+            held, first, size = [], row + 1, 0
+    if held:
+        yield first, held
+
+
+def count_ids(draft: DataFrame) -> np.ndarray:
+    """How often each id occurs in all texts; one row per id of the vocabulary reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, dtype=np.int64)
+        for batch in batches:
+            for _, docs in _ids_of(batch):
+                more = np.bincount(np.concatenate(docs), minlength=len(total))
+                more[: len(total)] += total
+                total = more
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+
+    rows = draft.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(max(rows["id"].to_pylist(), default=0) + 1, dtype=np.int64)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
+CODED = "doc_id long, tie long, n long, data binary, offsets binary"
+
+
+def recoded(draft: DataFrame, shared, step: int) -> DataFrame:
+    """The documents of a draft in the common code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, code = shared.value
+        for batch in batches:
+            for first, docs in _ids_of(batch):
+                some = batch.slice(first, len(docs))
+                payload, offsets = zip(*packed(docs, code, lengths, step), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [some["doc_id"], some["tie"], some["n"], pa.array(payload, pa.binary()), pa.array(offsets, pa.binary())],
+                    names=["doc_id", "tie", "n", "data", "offsets"],
+                )
+
+    return draft.mapInArrow(run, CODED)
+
+
 def write_ids(
-    docs: DataFrame, path: str, target: str, parts: int | None = None, limit: int = LIMIT,
-    step: int = STEP, block: int = BLOCK,
+    docs: DataFrame, path: str, target: str, parts: int | None = None, step: int = STEP, block: int = BLOCK
 ) -> None:
     """Writes all texts as frames below ``target``, in ascending doc_id.
 
     ``target/frames`` has (slice, block, ids, frame), ``target/code`` the code lengths, and
-    ``target/slices`` the ids per slice. Texts are encoded twice, once to count and once to
-    write, so that nothing but texts and codes meets the disk.
+    ``target/slices`` the ids per slice. Texts are encoded once, into plain ids; once the counts
+    over all of them are known, they are coded and put in order.
     """
     spark = docs.sparkSession
-    counts = count_ids(docs, path)
-    lengths = code_lengths(counts, limit)
+    draft = stored(drafted(docs, path), "token-drafts")
+    lengths = code_lengths(count_ids(draft), LIMIT)
     spark.createDataFrame(
         [(i, int(n)) for i, n in enumerate(lengths.tolist()) if n], "id int, bits int"
     ).coalesce(1).write.parquet(f"{target}/code")
     shared = spark.sparkContext.broadcast((lengths, codes(lengths)))
-    key = F.coalesce(F.col("doc_id"), F.lit(LONG_MIN))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MIN))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = boundaries(docs.select(key.alias("_key")), "_key", parts)
     rows = (
-        docs.select(
-            "doc_id", F.coalesce("text", F.lit("")).alias("text"), slice_of(key, cuts).alias("_slice")
-        )
-        .repartition(len(cuts) + 1, "_slice")
-        .sortWithinPartitions("_slice", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        recoded(draft, shared, step)
+        .withColumn("slice", slice_of(key, cuts))
+        .repartition(len(cuts) + 1, "slice")
+        .sortWithinPartitions("slice", F.col("doc_id").asc_nulls_first(), "tie")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, code = shared.value
-        encoder = Encoder(path)
         part, first, number, size = None, 0, 0, 0
-        held: list[np.ndarray] = []
-        names: list[int | None] = []
+        held: list[tuple[int | None, int, bytes, bytes]] = []
 
         def flushed():
-            nonlocal first, number, size, held, names
+            nonlocal first, number, size, held
             if held:
-                data = frame(first, held, names, code, lengths, step)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()), pa.array([number], pa.int64()),
-                        pa.array([size], pa.int64()), pa.array([data], pa.binary()),
+                        pa.array([size], pa.int64()), pa.array([frame(first, held, step)], pa.binary()),
                     ],
                     names=["slice", "block", "ids", "frame"],
                 )
-                first, number, size, held, names = first + size, number + 1, 0, [], []
+                first, number, size, held = first + size, number + 1, 0, []
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                coded = encoder.encode(some["text"].to_pylist())
-                for p, doc_id, ids in zip(some["_slice"].to_pylist(), some["doc_id"].to_pylist(), coded, strict=True):
-                    if p != part:
-                        yield from flushed()
-                        part, first, number = p, 0, 0
-                    held.append(ids)
-                    names.append(doc_id)
-                    size += len(ids)
-                    if size >= block:
-                        yield from flushed()
+            for p, *doc in zip(*(batch[c].to_pylist() for c in ("slice", "doc_id", "n", "data", "offsets")), strict=True):
+                if p != part:
+                    yield from flushed()
+                    part, first, number = p, 0, 0
+                held.append(tuple(doc))
+                size += doc[1]
+                if size >= block:
+                    yield from flushed()
         yield from flushed()
 
     rows.mapInArrow(run, "slice int, block long, ids long, frame binary").write.parquet(f"{target}/frames")
@@ -317,10 +495,10 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = shared.value
-        table = decoding_table(lengths, max(LIMIT, int(lengths.max(initial=1))))
+        table = decoding_table(lengths, LIMIT)
         for batch in batches:
-            for part, data in zip(batch["slice"].to_pylist(), batch["frame"].to_pylist(), strict=True):
-                first, names, docs = read_frame(data, table)
+            for part, data in zip(batch["slice"].to_pylist(), batch["frame"], strict=True):
+                first, names, docs = read_frame(data.as_buffer(), table)
                 sizes = np.array([len(d) for d in docs], dtype=np.int64)
                 crcs = [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]
                 yield pa.RecordBatch.from_arrays(
