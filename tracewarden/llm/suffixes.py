@@ -23,7 +23,7 @@ from tracewarden.llm.common import stored
 LENGTH = 100
 GRAM = 32
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Bytes of a suffix array's text; a shard is closed at the end of a group beyond that.
 SHARD = 1 << 20
 #: Distinct segments of one minimiser that one shard may hold; larger groups are split.
@@ -44,10 +44,8 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
             h = h[:-step] * np.uint64(factor) + h[step:]
             factor = factor * factor & 0xFFFFFFFFFFFFFFFF
             step *= 2
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     return h
 
@@ -67,6 +65,18 @@ def leftmost_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return joined(value, place, width - step) if width > step else (value, place)
 
 
+def least_of(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``width`` neighbours from each place on, by minima from both ends of blocks."""
+    n = len(h) - width + 1
+    blocks = -(-len(h) // width)
+    full = np.full(blocks * width, np.iinfo(h.dtype).max, dtype=h.dtype)
+    full[: len(h)] = h
+    full = full.reshape(blocks, width)
+    ahead = np.minimum.accumulate(full, axis=1).ravel()
+    back = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
 def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Segments of the texts that lie one after another in ``data``, each up to its end.
 
@@ -74,7 +84,9 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tupl
     """
     if len(data) < length:
         return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    value, place = leftmost_least(gram_hashes(data, gram), length - gram + 1)
+    width = length - gram + 1
+    h = gram_hashes(data, gram)
+    value = least_of(h, width)
     starts = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(len(data) + 1, dtype=np.int8)
     long = ends - starts >= length
@@ -82,12 +94,26 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tupl
     inside[ends[long] - length + 1] -= 1
     inside = np.cumsum(inside[: len(value)], dtype=np.int8) > 0
     first = inside.copy()
-    first[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
-    # Texts of exactly touching windows never share a k-gram's place, so a change marks them too.
+    first[1:] &= (value[1:] != value[:-1]) | ~inside[:-1]
+    first[starts[long & (starts < len(value))]] = True
     at = np.flatnonzero(first)
     total = np.concatenate([[0], np.cumsum(inside)])
     until = np.append(at[1:], len(value))
-    return value[at], at, total[until] - total[at]
+    count = total[until] - total[at]
+    # Windows of one value share its leftmost place, unless they run past it: then the value
+    # comes again, and the stretch is cut where its leftmost place changes.
+    owner = at + np.lib.stride_tricks.sliding_window_view(h, width)[at].argmin(axis=1)
+    late = np.flatnonzero(at + count - 1 > owner)
+    if len(late):
+        more = [at]
+        for i in late.tolist():
+            low, n = int(at[i]), int(count[i])
+            place = leftmost_least(h[low : low + n + width - 1], width)[1]
+            more.append(low + 1 + np.flatnonzero(place[1:n] != place[: n - 1]))
+        at = np.sort(np.concatenate(more))
+        until = np.append(at[1:], len(value))
+        count = total[until] - total[at]
+    return value[at], at, count
 
 
 def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -357,52 +383,81 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
+def _digests(suspects: DataFrame, length: int) -> DataFrame:
+    """gram, digest, doc, tie, first, windows: the marked segments with a hash of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "digest", "doc", "tie", "first", "windows"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                marks = part["marks"].flatten()
+                sizes = part["marks"].value_lengths().to_numpy()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                gram, first, windows = (marks.field(c) for c in ("gram", "first", "windows"))
+                texts = part["text"].cast(pa.large_binary()).to_pylist()
+                digests = [
+                    xxhash.xxh3_64_intdigest(texts[o][a : a + n + length - 1]) - (1 << 63)
+                    for o, a, n in zip(owner.tolist(), first.to_pylist(), windows.to_pylist(), strict=True)
+                ]
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [gram, pa.array(digests, pa.int64()), part["doc"].take(rows), part["tie"].take(rows), first, windows],
+                    names=names,
+                )
+
+    return suspects.mapInArrow(run, "gram long, digest long, doc long, tie long, first long, windows int")
+
+
+def _with_bytes(rows: DataFrame, length: int) -> DataFrame:
+    """The wanted segments of each text, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                marks = part["marks"].flatten()
+                sizes = part["marks"].value_lengths().to_numpy()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                gram, salt, split, first, windows = (marks.field(c) for c in ("gram", "salt", "split", "first", "windows"))
+                texts = part["text"].cast(pa.large_binary()).to_pylist()
+                data = [
+                    texts[o][a : a + n + length - 1]
+                    for o, a, n in zip(owner.tolist(), first.to_pylist(), windows.to_pylist(), strict=True)
+                ]
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [gram, salt, split, part["doc"].take(rows), part["tie"].take(rows), first, windows, pa.array(data, pa.binary())],
+                    names=["gram", "salt", "split", "doc", "tie", "first", "windows", "bytes"],
+                )
+
+    schema = "gram long, salt int, split boolean, doc long, tie long, first long, windows int, bytes binary"
+    return rows.mapInArrow(run, schema)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(spans, suspects): doc, tie, start, stop of repeated bytes; and the texts they may lie in."""
     plain = _identified(docs)
     found = minimisers(plain, length, gram)
     several = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     marks = (
-        found.join(several, "gram")
+        found.join(several.hint("shuffle_hash"), "gram")
         .groupBy("doc", "tie")
         .agg(F.collect_set(F.struct("gram", "first", "windows")).alias("marks"))
     )
     suspects = stored(plain.join(marks, ["doc", "tie"]).dropDuplicates(["doc", "tie"]), "suspects")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "digest", "doc", "tie", "first", "windows", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                out = []
-                for doc, tie, text, marks in zip(
-                    part["doc"].to_pylist(), part["tie"].to_pylist(),
-                    part["text"].cast(pa.large_binary()).to_pylist(), part["marks"].to_pylist(), strict=True,
-                ):
-                    for m in marks:
-                        piece = text[m["first"] : m["first"] + m["windows"] + length - 1]
-                        digest = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
-                        out.append((m["gram"], digest, doc, tie, m["first"], m["windows"], piece))
-                columns = zip(*out, strict=True) if out else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
-                )
-
-    schema = "gram long, digest long, doc long, tie long, first long, windows int, bytes binary"
-    pieces = suspects.mapInArrow(cut, schema)
+    # What a segment says, without its bytes: they follow only where they are needed.
+    pieces = stored(_digests(suspects, length), "pieces")
     place = F.struct("doc", "tie", "first")
     distinct = stored(
-        pieces.groupBy("gram", "digest")
-        .agg(F.min(F.struct("doc", "tie", "first", "windows", "bytes")).alias("e"))
-        .select("gram", "digest", "e.*"),
+        pieces.groupBy("gram", "digest").agg(F.min(F.struct("doc", "tie", "first", "windows")).alias("e")).select("gram", "digest", "e.*"),
         "segments",
     )
     # A segment that is equal to an earlier one as a whole goes as a whole.
     earliest = distinct.select("gram", "digest", place.alias("_earliest"))
     copies = (
-        pieces.drop("bytes")
-        .join(earliest, ["gram", "digest"])
+        pieces.join(earliest, ["gram", "digest"])
         .filter(place != F.col("_earliest"))
         .select("doc", "tie", F.col("first").alias("start"), (F.col("first") + F.col("windows") + length - 1).alias("stop"))
     )
@@ -412,10 +467,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     )
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
+    wanted = (
         distinct.join(several, "gram")
         .withColumn("salt", F.pmod(F.col("digest"), F.col("shards")).cast("int"))
-        .withColumn("split", F.col("shards") > 1)
+        .groupBy("doc", "tie")
+        .agg(F.collect_list(F.struct("gram", "salt", (F.col("shards") > 1).alias("split"), "first", "windows")).alias("marks"))
+    )
+    dealt = (
+        _with_bytes(suspects.select("doc", "tie", "text").join(wanted, ["doc", "tie"]), length)
         .repartition(parts, "gram", "salt")
         .sortWithinPartitions("gram", "salt")
     )
