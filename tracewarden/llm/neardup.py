@@ -238,7 +238,7 @@ def _crossing(open_: DataFrame, percent: int, parts: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole shingle sets are alike; sets are made from the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
