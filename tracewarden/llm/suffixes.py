@@ -383,7 +383,7 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def _digests(suspects: DataFrame, length: int) -> DataFrame:
+def _digests(marked: DataFrame, length: int) -> DataFrame:
     """gram, digest, doc, tie, first, windows: the marked segments with a hash of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +406,7 @@ def _digests(suspects: DataFrame, length: int) -> DataFrame:
                     names=names,
                 )
 
-    return suspects.mapInArrow(run, "gram long, digest long, doc long, tie long, first long, windows int")
+    return marked.mapInArrow(run, "gram long, digest long, doc long, tie long, first long, windows int")
 
 
 def _with_bytes(rows: DataFrame, length: int) -> DataFrame:
@@ -436,7 +436,7 @@ def _with_bytes(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(spans, suspects): doc, tie, start, stop of repeated bytes; and the texts they may lie in."""
+    """(spans, texts): doc, tie, start, stop of repeated bytes; and doc, tie, text of all rows."""
     plain = _identified(docs)
     found = minimisers(plain, length, gram)
     several = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
@@ -445,10 +445,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         .groupBy("doc", "tie")
         .agg(F.collect_set(F.struct("gram", "first", "windows")).alias("marks"))
     )
-    suspects = stored(plain.join(marks, ["doc", "tie"]).dropDuplicates(["doc", "tie"]), "suspects")
+    # Texts come from the input each time: most of them share some gram, and a copy is no smaller.
+    marked = plain.join(marks, ["doc", "tie"]).dropDuplicates(["doc", "tie"])
 
     # What a segment says, without its bytes: they follow only where they are needed.
-    pieces = stored(_digests(suspects, length), "pieces")
+    pieces = stored(_digests(marked, length), "pieces")
     place = F.struct("doc", "tie", "first")
     distinct = stored(
         pieces.groupBy("gram", "digest").agg(F.min(F.struct("doc", "tie", "first", "windows")).alias("e")).select("gram", "digest", "e.*"),
@@ -474,7 +475,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         .agg(F.collect_list(F.struct("gram", "salt", (F.col("shards") > 1).alias("split"), "first", "windows")).alias("marks"))
     )
     dealt = (
-        _with_bytes(suspects.select("doc", "tie", "text").join(wanted, ["doc", "tie"]), length)
+        _with_bytes(plain.join(wanted, ["doc", "tie"]).dropDuplicates(["doc", "tie"]), length)
         .repartition(parts, "gram", "salt")
         .sortWithinPartitions("gram", "salt")
     )
@@ -489,7 +490,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         copies.union(sorted_.filter(F.col("window").isNull()).select(columns))
         .union(merged_shards(heads, length).select(columns))
     )
-    return spans, suspects
+    return spans, plain
 
 
 def _cut_texts(rows: DataFrame) -> DataFrame:
@@ -533,9 +534,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     one doc_id and one text are one document, with one result each; rows with one doc_id and
     different texts follow in the order of a hash of the text. Other columns are not read.
     """
-    spans, suspects = repeated_spans(docs, length, gram)
+    spans, texts = repeated_spans(docs, length, gram)
     gathered = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = stored(_cut_texts(suspects.select("doc", "tie", "text").join(gathered, ["doc", "tie"])), "cut")
+    cut = stored(_cut_texts(texts.join(gathered, ["doc", "tie"]).dropDuplicates(["doc", "tie"])), "cut")
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select(
         "doc_id",
