@@ -98,3 +98,15 @@ def test_every_tree_fits_its_wrapper(seed, most):
     nodes = [(k, names[place]) for t in trees for k, place in zip(kinds(t), tools.located(t, frame), strict=True)]
     lost = sum(a != b for a, b in nodes)
     assert lost == 0 if most < wrappers.SIBLINGS else lost < 0.05 * len(nodes)
+
+
+def test_depth(spark):
+    """Beyond ``DEPTH``, end tags still meet their own elements, and frames and scripts stay out."""
+    deep = "<div>" * 150
+    inside = "<script>var x</script><nav>Menu</nav><p>in</p><style>p{}</style><form>Name</form>"
+    pages = [
+        ("http://a.example", f"<body><div><article>{deep}{inside}{'</div>' * 150}<p>end</p></article></div></body>"),
+        ("http://b.example", f"<body>{'<font>' * 150}<p>one</p>{inside}<main>two</main>"),
+        ("http://c.example", "<p><table>" + "<div><li>" * 20000 + "x"),
+    ]
+    assert texts(spark, pages) == {0: "in\nend", 1: "two", 2: "x"}

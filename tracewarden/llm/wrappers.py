@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -62,7 +63,7 @@ TOKEN = re.compile(
     re.S,
 )
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Elements deeper than this are read as part of their ancestor.
+#: Elements deeper than this are aligned with their ancestor, unless they change what the text is.
 DEPTH = 100
 #: More children than this are told apart by their kind alone.
 SIBLINGS = 40
@@ -84,27 +85,40 @@ def kind(tag: str, attributes: str) -> str:
 
 
 class Element:
-    __slots__ = ("kind", "tag", "children", "parent", "depth", "slot")
+    """An element of a page; ``seat`` is the element of the aligned tree that stands for it."""
+
+    __slots__ = ("kind", "tag", "children", "parent", "depth", "mark", "seat")
 
     def __init__(self, tag: str, kind: str, parent: Element | None):
         self.tag, self.kind, self.parent, self.children = tag, kind, parent, []
-        self.depth = parent.depth + 1 if parent else 0
-        self.slot = 0
+        self.depth, self.mark, self.seat = 0, PLAIN, self
+        if parent is not None:
+            self.depth, self.mark = parent.depth + 1, parent.mark
+            if self.mark != FRAME and kind[:1] in (FRAME, MAIN):
+                self.mark = kind[:1]
+            if self.depth <= DEPTH or self.mark != parent.mark:
+                parent.seat.children.append(self)
+            else:
+                self.seat = parent.seat
 
 
-def parsed(page: str) -> tuple[Element, list[tuple[Element, int, str]]]:
-    """The element tree, and every text with its element and the number of its block."""
+def parsed(page: str) -> tuple[list[Element], list[tuple[Element, int, str]]]:
+    """All elements in preorder, the root first, and every text with its element and the number of its block."""
     root = Element("", "", None)
+    elements = [root]
     here, block, texts, at = root, 0, [], 0
     kinds: dict[tuple[str, str], str] = {}
-    open_tags: dict[str, int] = {}
+    opened: dict[str, list[Element]] = {}
 
     def leave(upto: Element) -> None:
         nonlocal here
         while here is not upto:
-            open_tags[here.tag] -= 1
+            opened[here.tag].pop()
             here = here.parent
 
+    def deepest(tags) -> int:
+        return max((opened[t][-1].depth for t in tags if opened.get(t)), default=0)
+
     end = len(page)
     while at < end:
         found = TOKEN.search(page, at)
@@ -123,32 +137,25 @@ def parsed(page: str) -> tuple[Element, list[tuple[Element, int, str]]]:
         if tag in BLOCKS:
             block += 1
         if closing:
-            if open_tags.get(tag):
-                target = here
-                while target.tag != tag:
-                    target = target.parent
-                leave(target.parent)
+            if opened.get(tag):
+                leave(opened[tag][-1].parent)
             continue
-        if tag in ENDS_P and open_tags.get("p"):
-            target = here
-            while target.tag not in ("p", "table", "button"):
-                target = target.parent
-            if target.tag == "p":
-                leave(target.parent)
+        if tag in ENDS_P and opened.get("p") and opened["p"][-1].depth > deepest(("table", "button")):
+            leave(opened["p"][-1].parent)
         if tag in CLOSES:
             ended, fence = CLOSES[tag]
-            target, last = here, None
-            while target is not root and target.tag not in fence:
-                if target.tag in ended:
-                    last = target
-                target = target.parent
+            floor, last = deepest(fence), None
+            for rows in (opened.get(t, ()) for t in ended):
+                first = bisect_right(rows, floor, key=lambda e: e.depth)
+                if first < len(rows) and (last is None or rows[first].depth < last.depth):
+                    last = rows[first]
             if last is not None:
                 leave(last.parent)
-        if tag in VOID or here.depth >= DEPTH:
+        if tag in VOID:
             continue
         key = (tag, attributes)
         child = Element(tag, kinds.get(key) or kinds.setdefault(key, kind(tag, attributes)), here)
-        here.children.append(child)
+        elements.append(child)
         if tag in RAW and not attributes.endswith("/"):
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -156,8 +163,8 @@ def parsed(page: str) -> tuple[Element, list[tuple[Element, int, str]]]:
         if attributes.endswith("/") and tag in RAW:
             continue
         here = child
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-    return root, texts
+        opened.setdefault(tag, []).append(child)
+    return elements, texts
 
 
 # ---- trees as nested tuples (kind, children), so that work on equal shapes is done once
@@ -322,15 +329,16 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
 
 def one_page(trees: Trees, url: str, page: str) -> tuple:
-    root, texts = parsed(page)
-    tree = shape(root)
+    elements, texts = parsed(page)
+    tree = shape(elements[0])
     frame = trees.skeleton(tree)
-    number = dict(zip(_preorder(root), trees.located(tree, frame), strict=True))
+    seats = [id(e) for e in elements if e.seat is e]
+    number = dict(zip(seats, trees.located(tree, frame), strict=True))
     mark = marks(frame)
     found, body = [], []
     for element, block, text in texts:
         text = html.unescape(text) if "&" in text else text
-        slot = number[id(element)]
+        slot = number[id(element.seat)]
         found.append({"slot": slot, "block": block, "text": text})
         if mark[slot] != FRAME:
             body.append(text)
@@ -340,15 +348,6 @@ def one_page(trees: Trees, url: str, page: str) -> tuple:
     return host, text, xxhash.xxh3_64_intdigest(text) - (1 << 63), xxhash.xxh3_64_intdigest(" ".join("".join(body).split())) - (1 << 63), found
 
 
-def _preorder(root: Element) -> list[int]:
-    out, stack = [], [root]
-    while stack:
-        element = stack.pop()
-        out.append(id(element))
-        stack += reversed(element.children)
-    return out
-
-
 def _tuple(tree: list) -> tuple:
     return (tree[0], tuple(_tuple(c) for c in tree[1]))
 
