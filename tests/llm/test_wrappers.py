@@ -110,3 +110,19 @@ def test_depth(spark):
         ("http://c.example", "<p><table>" + "<div><li>" * 20000 + "x"),
     ]
     assert texts(spark, pages) == {0: "in\nend", 1: "two", 2: "x"}
+
+
+@pytest.mark.parametrize("n", [10, 60])
+def test_few_values_are_no_template(spark, n):
+    """Whether a text is content does not depend on the number of pages, and main elements stay."""
+    rng = random.Random(n)
+    main, plain = [], []
+    for i in range(n):
+        words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+        value = ["yes", "no", "maybe"][i % 3]
+        main.append((f"<article><p>{words} <b>Note</b> end{i}</p><ul><li>{value}</li></ul><h2>Details</h2></article>",
+                     f"{words} Note end{i}\n{value}\nDetails"))
+        plain.append((f"<body><div><p>{words}</p><h2>{value}</h2></div><div><i>All rights</i></div></body>", f"{words}\n{value}"))
+    pages = [(f"http://main.example/{i}", p) for i, (p, _) in enumerate(main)]
+    pages += [(f"http://plain.example/{i}", p) for i, (p, _) in enumerate(plain)]
+    assert texts(spark, pages) == dict(enumerate(t for _, t in main + plain))

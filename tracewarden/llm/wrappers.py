@@ -67,6 +67,8 @@ NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 DEPTH = 100
 #: More children than this are told apart by their kind alone.
 SIBLINGS = 40
+#: A text is template at a place if this share of the page bodies there hold it, and so many at least.
+MOST, LEAST_BODIES = 0.8, 5
 
 FRAME, MAIN, PLAIN = "-", "+", ""
 
@@ -397,43 +399,57 @@ def slots(shapes: DataFrame, frames: DataFrame) -> DataFrame:
     return shapes.join(frames, "host").select("host", "shape_id", "shape", "wrapper").mapInArrow(run, schema)
 
 
+def constant_texts(parsed: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(host, place, key): texts that most different page bodies of the host with that place hold there.
+
+    Pages with one body count once. What is compared are counts of bodies, so the verdict does
+    not depend on the number of pages, nor on how many different words a place draws from.
+    """
+    runs = F.filter("texts", lambda t: F.trim(t["text"]) != "")
+    runs = F.transform(runs, lambda t: F.struct(t["slot"].alias("slot"), F.xxhash64(F.trim(t["text"])).alias("key")))
+    bodies = (
+        parsed.select("host", "body", F.struct("page_id", "shape_id", F.array_distinct(runs).alias("runs")).alias("page"))
+        .groupBy("host", "body")
+        .agg(F.min("page").alias("page"))
+        .select("host", "page.shape_id", "page.runs")
+    )
+    places = aligned.groupBy("host", "shape_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "place"))), lambda s: s["place"]).alias("places")
+    )
+    met = F.transform("runs", lambda r: F.struct(F.get("places", r["slot"]).alias("place"), r["key"].alias("key")))
+    totals = F.transform(F.array_distinct("met.place"), lambda p: F.struct(p.alias("place"), F.lit(None).cast("long").alias("key")))
+    counted = (
+        bodies.join(places, ["host", "shape_id"])
+        .select("host", F.array_distinct(met).alias("met"))
+        .select("host", F.explode(F.concat("met", totals)).alias("m"))
+        .groupBy("host", "m.place", "m.key")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= LEAST_BODIES)
+    )
+    counted = stored(counted, "counted")
+    of = counted.filter(F.col("key").isNull()).select("host", "place", F.col("n").alias("of"))
+    return (
+        counted.filter(F.col("key").isNotNull())
+        .join(of, ["host", "place"])
+        .filter(F.col("n") >= MOST * F.col("of"))
+        .select("host", "place", "key")
+    )
+
+
 def content_slots(parsed: DataFrame) -> DataFrame:
     """(host, shape_id, keep): the slots of each shape that hold content.
 
-    Per place of the wrapper, different texts are held against different (page body, text)
-    pairs, so that copies of a page count once. A place with few texts for many pages is
-    template; the mark of its elements is the prior.
+    What elements say of themselves goes first: frames are left out, main elements stay, and
+    beside main elements nothing else does. Of the rest, places of a constant text are template.
     """
     shapes = stored(parsed.groupBy("host", "shape_id").agg(F.first("shape").alias("shape")), "shapes")
     aligned = stored(slots(shapes, wrappers(shapes)), "slots")
-    text = F.xxhash64(F.trim("t.text"))
-    seen = (
-        parsed.select("host", "shape_id", "body", F.explode("texts").alias("t"))
-        .filter(F.trim("t.text") != "")
-        .groupBy("host", "shape_id", F.col("t.slot").alias("slot"))
-        .agg(
-            F.hll_sketch_agg(text, F.lit(12)).alias("texts"),
-            F.hll_sketch_agg(F.xxhash64("body", text), F.lit(12)).alias("pairs"),
-        )
-    )
-    seen = stored(seen, "seen")
-    met = (
-        seen.join(aligned, ["host", "shape_id", "slot"])
-        .groupBy("host", "place")
-        .agg(
-            F.hll_sketch_estimate(F.hll_union_agg("texts")).alias("texts"),
-            F.hll_sketch_estimate(F.hll_union_agg("pairs")).alias("pairs"),
-        )
-    )
-    share = F.col("texts") / F.col("pairs")
-    evidence = (
-        F.when(F.coalesce("pairs", F.lit(0)) < 5, 0).when(share < 0.05, -4).when(share < 0.2, -1).otherwise(2)
-    )
-    prior = F.when(F.col("mark") == FRAME, -6).when(F.col("mark") == MAIN, 3).when(F.col("has_main"), -3).otherwise(0)
+    constant = constant_texts(parsed, aligned).select("host", "place").distinct().withColumn("template", F.lit(True))
+    plain = (F.col("mark") == PLAIN) & ~F.col("has_main") & F.col("template").isNull()
     return (
-        aligned.join(met, ["host", "place"], "left")
+        aligned.join(constant, ["host", "place"], "left")
         .groupBy("host", "shape_id")
-        .agg(F.collect_set(F.when(evidence + prior >= 0, F.col("slot"))).alias("keep"))
+        .agg(F.collect_set(F.when((F.col("mark") == MAIN) | plain, F.col("slot"))).alias("keep"))
     )
 
 
