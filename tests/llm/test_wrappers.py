@@ -126,3 +126,18 @@ def test_few_values_are_no_template(spark, n):
     pages = [(f"http://main.example/{i}", p) for i, (p, _) in enumerate(main)]
     pages += [(f"http://plain.example/{i}", p) for i, (p, _) in enumerate(plain)]
     assert texts(spark, pages) == dict(enumerate(t for _, t in main + plain))
+
+
+def test_constant_neighbours_are_template(spark):
+    """Among neighbours of one kind the constant ones are template; lines of content stay whole."""
+    rng = random.Random(3)
+    pages, expected = [], {}
+    for i in range(30):
+        a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(3))
+        page = (
+            f"<body><div>Only today: half price</div><div><p>{a}</p><p>{b} <b>Note</b>.</p><p><a>Read more</a></p>"
+            f"<p>Sign up for\n our newsletter</p><ul><li>{['yes', 'no', 'maybe'][i % 3]}</li></ul></div><div>{c}</div></body>"
+        )
+        pages.append((f"http://plain.example/{i}", page))
+        expected[i] = f"{a}\n{b} Note.\n{['yes', 'no', 'maybe'][i % 3]}\n{c}"
+    assert texts(spark, pages) == expected

@@ -288,28 +288,24 @@ def shape(element: Element) -> tuple:
     return (element.kind, tuple(shape(c) for c in element.children))
 
 
-def marks(frame: tuple, mark: str = PLAIN) -> list[str]:
-    """Per node in preorder: frame below anything that says so, else main below a main element."""
-    own = frame[0][:1]
-    if mark != FRAME and own in (FRAME, MAIN):
-        mark = own
-    out = [mark]
-    for c in frame[1]:
-        out += marks(c, mark)
-    return out
-
-
 # ---- Spark
 
 
 PARSED = (
     "page_id long, url string, host string, shape string, shape_id long, body long, "
-    "texts array<struct<slot:int,block:int,text:string>>"
+    "nodes array<struct<slot:int,key:long,line:int>>, texts array<struct<node:int,block:int,text:string>>"
 )
+NODE = pa.struct([("slot", pa.int32()), ("key", pa.int64()), ("line", pa.int32())])
+TEXT = pa.struct([("node", pa.int32()), ("block", pa.int32()), ("text", pa.string())])
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Pages with the shape of their tree and every text with its place in it."""
+    """Pages with the shape of their tree, what its plain elements say, and every text that may be content.
+
+    ``nodes`` are the elements, neither frame nor main, that have text of their own: their slot,
+    a hash of that text, and the node in whose line an inline element stands. ``texts`` name
+    their node; those that no evidence can drop have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees()
@@ -317,14 +313,13 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = [one_page(trees, x or "", y or "") for x, y in zip(part["url"].to_pylist(), part["html"].to_pylist(), strict=True)]
-                hosts, shapes, ids, bodies, texts = (list(c) for c in zip(*rows, strict=True))
-                struct = pa.struct([("slot", pa.int32()), ("block", pa.int32()), ("text", pa.string())])
+                hosts, shapes, ids, bodies, nodes, texts = (list(c) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["page_id"], part["url"], pa.array(hosts), pa.array(shapes), pa.array(ids, pa.int64()),
-                        pa.array(bodies, pa.int64()), pa.array(texts, pa.list_(struct)),
+                        pa.array(bodies, pa.int64()), pa.array(nodes, pa.list_(NODE)), pa.array(texts, pa.list_(TEXT)),
                     ],
-                    names=["page_id", "url", "host", "shape", "shape_id", "body", "texts"],
+                    names=["page_id", "url", "host", "shape", "shape_id", "body", "nodes", "texts"],
                 )
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARSED)
@@ -336,18 +331,32 @@ def one_page(trees: Trees, url: str, page: str) -> tuple:
     frame = trees.skeleton(tree)
     seats = [id(e) for e in elements if e.seat is e]
     number = dict(zip(seats, trees.located(tree, frame), strict=True))
-    mark = marks(frame)
-    found, body = [], []
-    for element, block, text in texts:
+    has_main = any(e.mark == MAIN for e in elements)
+    own, body, found = {}, [], []
+    for at, (element, block, text) in enumerate(texts):
+        if element.mark == FRAME:
+            continue
         text = html.unescape(text) if "&" in text else text
-        slot = number[id(element.seat)]
-        found.append({"slot": slot, "block": block, "text": text})
-        if mark[slot] != FRAME:
-            body.append(text)
+        texts[at] = (element, block, text)
+        own.setdefault(id(element), []).append(text)
+        body.append(text)
+    nodes, node, line = [], {}, {}
+    for e in elements:
+        if e.mark != PLAIN:
+            continue
+        above = -1 if e.parent is None or e.tag in BLOCKS else line[id(e.parent)]
+        line[id(e)] = above
+        said = " ".join("".join(own.get(id(e), ())).split())
+        if said:
+            line[id(e)] = node[id(e)] = len(nodes)
+            nodes.append({"slot": number[id(e.seat)], "key": xxhash.xxh3_64_intdigest(said) - (1 << 63), "line": above})
+    for element, block, text in texts:
+        if element.mark == MAIN or (element.mark == PLAIN and not has_main):
+            found.append({"node": node.get(id(element), -1), "block": block, "text": text})
     text = json.dumps(frame, ensure_ascii=False)
     host = re.sub(r"^[a-z][a-z0-9+.-]*:(?=//)", "", url.strip().lower())
     host = re.split(r"[/?#]", host[2:] if host.startswith("//") else host)[0]
-    return host, text, xxhash.xxh3_64_intdigest(text) - (1 << 63), xxhash.xxh3_64_intdigest(" ".join("".join(body).split())) - (1 << 63), found
+    return host, text, xxhash.xxh3_64_intdigest(text) - (1 << 63), xxhash.xxh3_64_intdigest(" ".join("".join(body).split())) - (1 << 63), nodes, found
 
 
 def _tuple(tree: list) -> tuple:
@@ -377,7 +386,7 @@ def wrappers(shapes: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def slots(shapes: DataFrame, frames: DataFrame) -> DataFrame:
-    """host, shape_id, slot, place, mark, has_main: where a shape's slots lie in the host's wrapper."""
+    """host, shape_id, slot, place: where a shape's slots lie in the host's wrapper."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees()
@@ -385,17 +394,15 @@ def slots(shapes: DataFrame, frames: DataFrame) -> DataFrame:
             out = []
             for host, shape_id, text, wrapper in zip(*(batch[c].to_pylist() for c in ("host", "shape_id", "shape", "wrapper")), strict=True):
                 tree, frame = _tuple(json.loads(text)), _tuple(json.loads(wrapper))
-                mine = marks(tree)
-                for slot, place in enumerate(trees.located(tree, frame)):
-                    out.append((host, shape_id, slot, place, mine[slot], MAIN in mine))
-            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-            columns = zip(*out, strict=True) if out else [[]] * 6
+                out += [(host, shape_id, slot, place) for slot, place in enumerate(trees.located(tree, frame))]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
+            columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                names=["host", "shape_id", "slot", "place", "mark", "has_main"],
+                names=["host", "shape_id", "slot", "place"],
             )
 
-    schema = "host string, shape_id long, slot int, place int, mark string, has_main boolean"
+    schema = "host string, shape_id long, slot int, place int"
     return shapes.join(frames, "host").select("host", "shape_id", "shape", "wrapper").mapInArrow(run, schema)
 
 
@@ -405,8 +412,7 @@ def constant_texts(parsed: DataFrame, aligned: DataFrame) -> DataFrame:
     Pages with one body count once. What is compared are counts of bodies, so the verdict does
     not depend on the number of pages, nor on how many different words a place draws from.
     """
-    runs = F.filter("texts", lambda t: F.trim(t["text"]) != "")
-    runs = F.transform(runs, lambda t: F.struct(t["slot"].alias("slot"), F.xxhash64(F.trim(t["text"])).alias("key")))
+    runs = F.transform("nodes", lambda n: F.struct(n["slot"].alias("slot"), n["key"].alias("key")))
     bodies = (
         parsed.select("host", "body", F.struct("page_id", "shape_id", F.array_distinct(runs).alias("runs")).alias("page"))
         .groupBy("host", "body")
@@ -436,23 +442,29 @@ def constant_texts(parsed: DataFrame, aligned: DataFrame) -> DataFrame:
     )
 
 
-def content_slots(parsed: DataFrame) -> DataFrame:
-    """(host, shape_id, keep): the slots of each shape that hold content.
+def template_texts(parsed: DataFrame) -> DataFrame:
+    """(host, shape_id, template): per shape the slots and hashes of texts that are template.
 
-    What elements say of themselves goes first: frames are left out, main elements stay, and
-    beside main elements nothing else does. Of the rest, places of a constant text are template.
+    Neighbours of one kind share a place: among them too, each text is judged for itself.
     """
     shapes = stored(parsed.groupBy("host", "shape_id").agg(F.first("shape").alias("shape")), "shapes")
     aligned = stored(slots(shapes, wrappers(shapes)), "slots")
-    constant = constant_texts(parsed, aligned).select("host", "place").distinct().withColumn("template", F.lit(True))
-    plain = (F.col("mark") == PLAIN) & ~F.col("has_main") & F.col("template").isNull()
     return (
-        aligned.join(constant, ["host", "place"], "left")
+        aligned.join(constant_texts(parsed, aligned), ["host", "place"])
         .groupBy("host", "shape_id")
-        .agg(F.collect_set(F.when((F.col("mark") == MAIN) | plain, F.col("slot"))).alias("keep"))
+        .agg(F.collect_set(F.struct("slot", "key")).alias("template"))
     )
 
 
+def kept_nodes(nodes: list[dict], template: list[dict] | None) -> list[bool]:
+    """Per node whether it is content: no template, or an inline element in a line that is content."""
+    drop = {(t["slot"], t["key"]) for t in template or ()}
+    out: list[bool] = []
+    for n in nodes:
+        out.append((n["slot"], n["key"]) not in drop or (n["line"] >= 0 and out[n["line"]]))
+    return out
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
@@ -462,16 +474,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     elements, stray end tags and cut references are read as browsers do. Other columns are not read.
     """
     parsed = parsed_pages(pages)
-    keep = stored(content_slots(parsed), "content")
+    template = stored(template_texts(parsed), "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for texts, keep in zip(batch["texts"].to_pylist(), batch["keep"].to_pylist(), strict=True):
-                wanted = set(keep)
+            for nodes, texts, template in zip(*(batch[c].to_pylist() for c in ("nodes", "texts", "template")), strict=True):
+                kept = kept_nodes(nodes, template)
                 blocks = []
                 for _, pieces in groupby(texts, key=lambda t: t["block"]):
-                    line = " ".join("".join(t["text"] for t in pieces if t["slot"] in wanted).split())
+                    line = " ".join("".join(t["text"] if t["node"] < 0 or kept[t["node"]] else " " for t in pieces).split())
                     if line:
                         blocks.append(line)
                 out.append("\n".join(blocks))
@@ -481,8 +493,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
             )
 
     return (
-        parsed.select("page_id", "url", "host", "shape_id", "texts")
-        .join(keep, ["host", "shape_id"])
-        .select("page_id", "url", "texts", "keep")
+        parsed.select("page_id", "url", "host", "shape_id", "nodes", "texts")
+        .join(template, ["host", "shape_id"], "left")
+        .select("page_id", "url", "nodes", "texts", "template")
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
     )
