@@ -49,3 +49,30 @@ def test_edges(spark):
     long = "word " * 200_000 + "end. Licensed under CC BY-NC 4.0."
     assert scanned(spark, [("/l", long)])["/l"].licence == "CC-BY-NC-4.0"
     assert licenses.scan_licences(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_headers_tags_and_whole_files(spark):
+    prose = "\n\nint main() { return 0; }\n"
+    gpl = (
+        "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public "
+        "License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later "
+        "version.\n */"
+    )
+    whole = {f"/t/{f.stem}/LICENSE": f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    assert len(whole) >= 12
+    rows = {
+        "/s/a.c": ("// SPDX-License-Identifier: MIT" + prose, "MIT"),
+        "/s/b.py": ("# SPDX-License-Identifier: Apache-2.0" + prose, "Apache-2.0"),
+        "/s/c.c": ("/* SPDX-License-Identifier: GPL-2.0-or-later */" + prose, "GPL-2.0"),
+        "/s/d.rs": ("// SPDX-License-Identifier: MIT OR Apache-2.0" + prose, "MIT OR Apache-2.0"),
+        "/s/e": ("ISC License" + prose, "ISC"),
+        "/s/f": ("Mozilla Public License Version 2.0" + prose, "MPL-2.0"),
+        "/s/g.c": (gpl + prose, "GPL-3.0"),
+        "/s/h": ("   GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991" + prose, "GPL-2.0"),
+        "/s/i": ("Copyright (c) 2020 A. All rights reserved.\nThis software is proprietary and confidential." + prose, "Proprietary"),
+        "/s/j": ("Some prose about nothing.", None),
+    }
+    got = scanned(spark, [*((p, t) for p, (t, _) in rows.items()), *whole.items(), ("/t/GPL-2.0/src/x.c", "code")])
+    assert {p: got[p].licence for p in rows} == {p: name for p, (_, name) in rows.items()}
+    assert {p: got[p].licence for p in whole} == {p: p.split("/")[2] for p in whole}
+    assert (got["/t/GPL-2.0/src/x.c"].licence, got["/t/GPL-2.0/src/x.c"].origin) == ("GPL-2.0", "inherited")

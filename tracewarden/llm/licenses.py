@@ -1,4 +1,4 @@
-"""Licence scans: sparse TF-IDF cosine to notice templates, and inheritance along directories.
+"""Licence scans: sparse TF-IDF cosine to notices, headers and whole texts, and inheritance along directories.
 
 Built from DataFrame functions alone. Only sentences that speak of licences are taken apart, so
 the terms that are shuffled are few; directories, not files, are joined with their ancestors.
@@ -9,10 +9,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewarden.llm.common import stored
+
 # ---- fixed values: usual notices of public licences, by SPDX identifier
 NOTICES = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -44,6 +47,62 @@ SPEAKS = r"(?i)licen[sc]|copyright|spdx|public domain|hereby granted|redistribut
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST = 0.6
+#: The same for headers and whole texts, which are long and share many words with prose.
+LEAST_HEADER, LEAST_TEXT = 0.7, 0.8
+#: Titles and headers as the licences ask for them, compared with lines, paragraphs and their sentences.
+_GNU = (
+    "This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General "
+    "Public License as published by the Free Software Foundation, "
+)
+_LATER = _GNU + "either version {n} of the License, or (at your option) any later version."
+_ONLY = _GNU + "version {n}."
+_CC = "This work is licensed under the Creative Commons {kind} 4.0 International License."
+_PUBLIC = (
+    ("AGPL-3.0", "program", "Affero ", "3", "GNU Affero General Public License", "Version 3, 19 November 2007"),
+    ("GPL-2.0", "program", "", "2", "GNU General Public License", "Version 2, June 1991"),
+    ("GPL-3.0", "program", "", "3", "GNU General Public License", "Version 3, 29 June 2007"),
+    ("LGPL-2.1", "library", "Lesser ", "2.1", "GNU Lesser General Public License", "Version 2.1, February 1999"),
+    ("LGPL-3.0", "library", "Lesser ", "3", "GNU Lesser General Public License", "Version 3, 29 June 2007"),
+)
+HEADERS = (
+    *((name, text.format(thing=thing, kind=kind, n=n)) for name, thing, kind, n, _, _ in _PUBLIC for text in (_LATER, _ONLY)),
+    *((name, f"{title} {dated}") for name, _, _, _, title, dated in _PUBLIC),
+    *((name, f"{title} version {n}") for name, _, _, n, title, _ in _PUBLIC),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+     "with the License."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-4.0", _CC.format(kind="Attribution")),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-4.0", _CC.format(kind="Attribution-NonCommercial")),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-SA-4.0", _CC.format(kind="Attribution-ShareAlike")),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+     "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Proprietary", "All rights reserved. This software is proprietary and confidential."),
+    ("Proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    ("Proprietary", "This software contains confidential and proprietary information and may not be copied, used, disclosed or "
+     "distributed without prior written permission."),
+)
+#: Whole public licences, a file each, named by SPDX identifier.
+TEXTS = Path(__file__).with_name("licence_texts")
+TAG = r"(?i)SPDX-License-Identifier:[ \t]*(\(?[a-z0-9][a-z0-9.+:-]*(?:[ \t()]+(?:and|or|with)[ \t(]+[a-z0-9][a-z0-9.+:-]*)*\)?)"
+SPEAKS_LONG = SPEAKS + r"|proprietary|all rights reserved|unauthorized copying|free software|unencumbered software"
+#: What comments put before their lines.
+COMMENT = r"(?m)^[ \t]*(?://+!?|#+|/?\*+/?|--+|;+|%+|<!--|\(\*|dnl\b|rem\b)[ \t]*"
 #: Names of files that hold the licence of their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|copyright)([.\-_].*)?$"
 
@@ -108,6 +167,109 @@ def notice_scores(files: DataFrame, notices: tuple = NOTICES, least: float = LEA
     )
 
 
+def term_counts(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
+
+
+def _long_templates() -> list[tuple]:
+    """(template, whole, licence, term, n) of headers and whole texts."""
+    rows = [(False, *h) for h in HEADERS] + [(True, f.stem, f.read_text()) for f in sorted(TEXTS.glob("*.txt"))]
+    return [(i, whole, name, t, n) for i, (whole, name, text) in enumerate(rows) for t, n in sorted(_terms(text).items())]
+
+
+def long_units(text: Column) -> Column:
+    """The whole text, its paragraphs without comment signs, their sentences, and its lines; (whole, said)."""
+    plain = F.regexp_replace(text, COMMENT, "")
+    joined = F.transform(F.split(plain, r"\n[ \t\r]*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    parts = F.concat(joined, F.flatten(F.transform(joined, sentences)), F.split(plain, "\n"))
+    parts = F.filter(F.array_distinct(parts), lambda p: p.rlike(SPEAKS_LONG))
+    parts = F.transform(parts, lambda p: F.struct(F.lit(False).alias("whole"), p.alias("said")))
+    return F.concat(parts, F.array(F.struct(F.lit(True).alias("whole"), plain.alias("said"))))
+
+
+def long_scores(files: DataFrame) -> DataFrame:
+    """path, licence, score: the best header or whole licence text of each file that has one.
+
+    Document frequencies are those of the terms of the templates over all files.
+    """
+    spark: SparkSession = files.sparkSession
+    counts = spark.createDataFrame(_long_templates(), "template int, whole boolean, licence string, _term string, n int")
+    # The empty term stands for the file itself.
+    vocabulary = counts.select("_term").union(spark.range(1).select(F.lit("").alias("_term"))).distinct()
+    met = (
+        files.select(F.explode(F.array_append(F.array_distinct(term_counts(F.coalesce("text", F.lit("")))), F.lit(""))).alias("term"))
+        .join(F.broadcast(vocabulary), F.col("term") == F.col("_term"))
+        .groupBy("_term")
+        .agg(F.count("*").alias("df"))
+    )
+    met = stored(met, "terms")
+    first = met.filter(F.col("_term") == "").first()
+    total = first["df"] if first else 0
+    foreign = math.log(1 + total) + 1
+    weighed = (
+        counts.join(met, "_term", "left")
+        .withColumn("idf", F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1)
+        .withColumn("weight", F.col("n") * F.col("idf"))
+    )
+    length = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    table = weighed.join(length, "template").select(
+        "template", F.col("whole").alias("_whole"), "licence", "_term", (F.col("weight") / F.col("length")).alias("weight")
+    )
+    idf = weighed.select("_term", "idf").distinct()
+    counted = (
+        files.filter(F.col("text").rlike(SPEAKS_LONG))
+        .select("path", F.posexplode(long_units(F.col("text"))).alias("unit", "u"))
+        .select("path", "unit", "u.whole", F.explode(term_counts(F.col("u.said"))).alias("term"))
+        # Said here, these conditions are the same for norms and products, which then share one exchange.
+        .filter(F.col("path").isNotNull() & F.col("whole").isNotNull() & F.col("term").isNotNull())
+        .groupBy("path", "unit", "whole", "term")
+        .agg(F.count("*").alias("n"))
+        .join(F.broadcast(idf), F.col("term") == F.col("_term"), "left")
+        .select("path", "unit", "whole", "term", (F.col("n") * F.coalesce("idf", F.lit(foreign))).alias("w"))
+    )
+    norms = counted.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = (
+        counted.join(F.broadcast(table), (F.col("term") == F.col("_term")) & (F.col("whole") == F.col("_whole")))
+        .groupBy("path", "unit", "whole", "template", "licence")
+        .agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    )
+    return (
+        dots.join(norms, ["path", "unit"])
+        .withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+        .filter(F.col("score") >= F.when(F.col("whole"), LEAST_TEXT).otherwise(LEAST_HEADER))
+        .groupBy("path")
+        .agg(F.min(F.struct((-F.col("score")).alias("below"), "licence")).alias("best"))
+        .select("path", "best.licence", (-F.col("best.below")).alias("score"))
+    )
+
+
+def tagged(files: DataFrame) -> DataFrame:
+    """path, licence, score: the first SPDX tag of each file that has one."""
+    named = F.trim(F.regexp_extract("text", TAG, 1))
+    named = F.regexp_replace(named, r"(?i)\b((?:A|L)?GPL-[0-9.]+)(?:-only|-or-later|\+)", "$1")
+    return (
+        files.select("path", named.alias("licence"))
+        .filter(F.col("licence") != "")
+        .groupBy("path")
+        .agg(F.min("licence").alias("licence"))
+        .select("path", "licence", F.lit(1.0).alias("score"))
+    )
+
+
+def licence_scores(files: DataFrame, notices: tuple = NOTICES, least: float = LEAST) -> DataFrame:
+    """path, licence, score: by tag, or else what scores highest; at a tie notices go before longer texts."""
+    found = (
+        tagged(files).withColumn("rank", F.lit(0))
+        .unionByName(notice_scores(files, notices, least).drop("sentence").withColumn("rank", F.lit(1)))
+        .unionByName(long_scores(files).withColumn("rank", F.lit(2)))
+    )
+    return (
+        found.groupBy("path")
+        .agg(F.min(F.struct((F.col("rank") > 0).alias("late"), (-F.col("score")).alias("below"), "rank", "licence")).alias("best"))
+        .select("path", "best.licence", (-F.col("best.below")).alias("score"))
+    )
+
+
 def folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
@@ -123,12 +285,13 @@ def scan_licences(files: DataFrame, notices: tuple = NOTICES, least: float = LEA
 
     ``origin`` is ``header`` for a notice of the file's own, ``licence file`` for files that are
     one, ``inherited`` from the licence file of the nearest directory, its own first, or ``none``.
-    Of several licence files in a directory the highest score counts, then the first path. Null
+    A file's own licence is that of its SPDX tag, or of the notice, header or whole licence text
+    that it comes closest to. Of several licence files in a directory the highest score counts, then the first path. Null
     and empty texts have no notice; a null path inherits nothing and keeps a row each; equal
     paths share the best notice of their texts. Other columns are not read.
     """
     plain = files.select("path", "text")
-    best = notice_scores(plain.filter(F.col("path").isNotNull()), notices, least)
+    best = stored(licence_scores(plain.filter(F.col("path").isNotNull()), notices, least), "licences")
     name = F.regexp_extract("path", r"[^/]*$", 0)
     is_file = name.rlike(LICENCE_FILE)
     held = (
