@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewarden.llm import decontaminate, huffman, imatch, licenses, mixing, neardup, packing, suffixes, toxicity, wrappers
+from tracewarden.llm import (
+    codes,
+    decontaminate,
+    huffman,
+    imatch,
+    licenses,
+    mixing,
+    neardup,
+    packing,
+    runs,
+    simhash,
+    suffixes,
+    toxicity,
+    wrappers,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -232,6 +246,68 @@ def op10_toxicity_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in four bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_limb_split_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of eight parts, sixteen entries each, by exact integer products."""
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_oracle(rounds: int = codes.ROUNDS) -> str:
+    steps = f"""
+WITH sound AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+           list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), places AS (
+    SELECT r, (i - 1) // (len(v) // {codes.PARTS}) AS part, (i - 1) % (len(v) // {codes.PARTS}) AS place, v[i] AS x
+    FROM (SELECT r, v, unnest(range(1, len(v) + 1)) AS i FROM sound)
+), books0 AS (
+    SELECT part, r - 1 AS entry, place, x AS c FROM places WHERE r <= {codes.ENTRIES}
+)"""
+    for i in range(rounds + 1):
+        steps += f""", chosen{i} AS (
+    SELECT r, part, entry, distance FROM (
+        SELECT r, part, entry, sum((x - c) * (x - c)) AS distance
+        FROM places JOIN books{i} USING (part, place) GROUP BY r, part, entry
+    ) QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY distance, entry) = 1
+)"""
+        if i < rounds:
+            steps += f""", means{i} AS (
+    SELECT part, entry, place, (s - ((s % n) + n) % n) // n AS c
+    FROM (SELECT part, entry, place, sum(x) AS s, count(*) AS n
+          FROM places JOIN chosen{i} USING (r, part) GROUP BY part, entry, place)
+), books{i + 1} AS (
+    SELECT b.part, b.entry, b.place, coalesce(m.c, b.c) AS c
+    FROM books{i} b LEFT JOIN means{i} m USING (part, entry, place)
+)"""
+    return steps + f""", coded AS (
+    SELECT r, string_agg(printf('%02x', CAST(entry AS BIGINT)), '' ORDER BY part) AS code,
+           CAST(sum(distance) AS BIGINT) AS error
+    FROM chosen{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) FROM books{rounds}) AS codebooks_sha256
+FROM sound JOIN coded USING (r)
+"""
+
+
+ORACLES["op12_limb_split_codes"] = _codes_oracle()
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which repeat themselves by the rule of their ids."""
+    return runs.run_digests(table(spark, sf_dir, "documents"), runs.looped)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
