@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -141,3 +142,69 @@ def test_constant_neighbours_are_template(spark):
         pages.append((f"http://plain.example/{i}", page))
         expected[i] = f"{a}\n{b} Note.\n{['yes', 'no', 'maybe'][i % 3]}\n{c}"
     assert texts(spark, pages) == expected
+
+
+WORDS = "some words that make up a text of the usual length for such a place"
+#: Pages whose names mislead, and their main text.
+MISLEADING = [
+    (f"<body><main></main><div class=content><p>{WORDS}</p></div></body>", WORDS),
+    (f'<body><div id=page class="has-sidebar"><article><p>{WORDS}</p></article></div></body>', WORDS),
+    (f'<body><div class="sidebar-layout"><article><p>{WORDS}</p></article></div></body>', WORDS),
+    (f'<body><article class="post no-comments"><p>{WORDS}</p></article></body>', WORDS),
+    (f'<body><h1 class="main-title">Head</h1><p>{WORDS}</p></body>', f"Head\n{WORDS}"),
+    (f"<body><p>{WORDS}</p><ul><li><a class=article-link>one</a><li><a>two</a></ul></body>", f"{WORDS}\none\ntwo"),
+    (f"<body><p>{WORDS} a <span class=share>share</span> of it</p><div><a class=share>Tweet</a></div></body>", f"{WORDS} a share of it"),
+    (f"<body><div class=comments-page><div class=text><p>{WORDS}</p></div></div></body>", WORDS),
+    (f"<body><article><p>{WORDS}</p><div class=share>Tweet</div></article><section class=comments>No!</section></body>", WORDS),
+]
+
+
+def test_names_do_not_decide_alone(spark):
+    pages = [(f"http://h{i}.example/", page) for i, (page, _) in enumerate(MISLEADING)]
+    assert texts(spark, pages) == {i: t for i, (_, t) in enumerate(MISLEADING)}
+
+
+def site(rng, article, ad, bare):
+    """Pages of one host: an advert, an article and a title, all different on each page."""
+    pages, expected = [], {}
+    for i in range(20):
+        line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+        head, body = line(5), [line(30) for _ in range(rng.randint(2, 6))]
+        blocks = "".join(f"<p>{x}</p>" for x in body)
+        page = f"<body><nav><a>{line(1)}</a></nav><{ad}>{line(4)}</{ad.split()[0]}><{article}><h1>{head}</h1>{blocks}</{article.split()[0]}></body>"
+        pages.append((f"http://{bare}.example/{i}", page))
+        expected[i] = "\n".join([head, *body])
+    return pages, expected
+
+
+@pytest.mark.parametrize("article, ad", [("article", 'div class="ad"'), ("div class=x1", "div class=x2"), ("section", "div")])
+def test_region_decides_without_telling_names(spark, article, ad):
+    """All texts differ from page to page: only the place of most of them tells the article."""
+    pages, expected = site(random.Random(5), article, ad, "bare")
+    assert texts(spark, pages) == expected
+
+
+def test_a_page_laid_out_differently_keeps_its_text(spark):
+    pages, expected = site(random.Random(6), "article", "div class=ad", "mixed")
+    pages.append(("http://mixed.example/other", f"<body><table><tr><td>{WORDS}</td></tr></table></body>"))
+    assert texts(spark, pages) == {**expected, len(expected): WORDS}
+
+
+def test_many_shapes_are_folded_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FOLD", 4)
+    rng = random.Random(4)
+    pages, expected = [], {}
+    for i in range(40):
+        body = [f"w{rng.randrange(10**6)} " * 8 for _ in range(3)]
+        tags = [rng.choice(["p", "h3", "pre", "blockquote"]) for _ in body]
+        inner = "".join(f"<{t}>{x}</{t}>" for t, x in zip(tags, body, strict=True))
+        pages.append((f"http://free.example/{i}", f"<body><article>{inner}</article></body>"))
+        expected[i] = "\n".join(x.strip() for x in body)
+    assert texts(spark, pages) == expected
+
+
+def test_hostile_markup_takes_linear_time():
+    for page in ("<a " * 500_000, '<a "' * 200_000 + ">", "<![CDATA[" * 100_000, "<!" * 200_000, "<!-- >" * 100_000):
+        began = time.time()
+        wrappers.parsed(page)
+        assert time.time() - began < 10

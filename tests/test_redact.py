@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import regex
@@ -179,11 +180,48 @@ def test_path_scope_needs_equal_length(spark):
     assert json_redacted(spark, BODY, policy()) == json_redacted(spark, BODY, R.preset("pii"))
 
 
+@pytest.mark.parametrize("space", [" ", "\u00a0", "\u2003", "\ufeff", "\n"])
 @pytest.mark.parametrize("spaces", [0, 1, 64, 65, 500])
-def test_aws_secret_is_found_across_any_number_of_spaces(texts, spaces):
-    gap = " " * spaces
-    got = redacted(texts([f"aws_secret_access_key{gap}={gap}{'A' * 40} end"]), R.preset("secrets"))
-    assert got == [f"aws_secret_access_key{gap}={gap}[AWS_SECRET_REDACTED] end"]
+def test_aws_secret_is_found_across_any_number_of_spaces(texts, spaces, space):
+    gap = space * spaces
+    got = redacted(texts([f"aws_secret_access_key{gap}={gap}{'A' * 40}{space}end"]), R.preset("secrets"))
+    assert got == [f"aws_secret_access_key{gap}={gap}[AWS_SECRET_REDACTED]{space}end"]
+
+
+def test_aws_secret_looks_back_into_the_match_before(texts):
+    key, value = "secretkey", "B" * 40
+    cases = {
+        f"{key}={'A' * 31}{key} : '{value}' x": f"{key}=[AWS_SECRET_REDACTED] : '[AWS_SECRET_REDACTED]' x",
+        f"{key}={'A' * 30}{key}= {value} x": f"{key}=[AWS_SECRET_REDACTED] [AWS_SECRET_REDACTED] x",
+        f"{key}={value}": f"{key}={value}",
+        f"{key}=={'A' * 39} x": f"{key}=[AWS_SECRET_REDACTED] x",
+        f"{key}=\"\"{value} x": f"{key}=\"\"{value} x",
+        f"my_key={value} {key} x": f"my_key={value} {key} x",
+        f"{key}:{value}\" x": f"{key}:[AWS_SECRET_REDACTED]\" x",
+        f"{key}:{value}\"x": f"{key}:{value}\"x",
+        f"{key}:{value}\"\tx": f"{key}:[AWS_SECRET_REDACTED]\"\tx",
+    }
+    policy = R.Policy(tuple(r for r in R.preset("secrets").rules if r.id == "aws-secret-key"))
+    assert redacted(texts(list(cases)), policy) == list(cases.values())
+
+
+def test_aws_secret_hits_are_the_values(texts):
+    policy = R.Policy(tuple(r for r in R.preset("secrets").rules if r.id == "aws-secret-key"))
+    rows = R.redact_with_hits(texts([f"a secret_key = {'A' * 40} b SECRETKEY:'{'C' * 40}' c"]), policy).collect()
+    assert rows[0].redacted == "a secret_key = [AWS_SECRET_REDACTED] b SECRETKEY:'[AWS_SECRET_REDACTED]' c"
+    assert [h.original for h in rows[0].hits] == ["A" * 40, "C" * 40]
+
+
+def test_aws_secret_takes_linear_time(texts):
+    """A megabyte of values beside a name, one of them behind it."""
+    words = " ".join(["A" * 40] * 25_000)
+    policy = R.Policy(tuple(r for r in R.preset("secrets").rules if r.id == "aws-secret-key"))
+    rows = texts([f"secret {words} secret_key={'B' * 40} " + "secret_key " * 20_000 + " " * 200_000])
+    redacted(texts(["secret_key="]), policy)
+    began = time.time()
+    (got,) = redacted(rows, policy)
+    assert time.time() - began < 5
+    assert got.count("[AWS_SECRET_REDACTED]") == 1
 
 
 def test_invalid_json_and_bare_strings(spark):

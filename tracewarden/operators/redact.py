@@ -139,6 +139,19 @@ def _step_guard(rule: Rule, now: Column, lowered: Column, untouched: Column) ->
 
 
 def _parts(rule: Rule, now: Column) -> Column:
+    if rule.lead:
+        return let(
+            F.struct(
+                all_matches(now, rule.java, 1).alias("lead"),
+                all_matches(now, rule.java, 2).alias("m"),
+                gaps(now, rule.java).alias("g"),
+            ),
+            lambda x: F.struct(
+                x["m"].alias("m"),
+                x["m"].alias("c"),
+                F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(F.get(x["lead"], i), F.lit("")))).alias("g"),
+            ),
+        )
     whole = all_matches(now, rule.java)
     return F.struct(
         whole.alias("m"),
@@ -244,7 +257,8 @@ def _step(policy: Policy, rule: Rule, now: Column, lowered: Column, untouched: C
     """The text after one rule."""
     token = F.lit(rule.token)
     if _plain(policy, rule):
-        done = F.regexp_replace(now, F.lit(rule.java), F.lit(replacement(rule.token)))
+        kept = "$1" if rule.lead else ""
+        done = F.regexp_replace(now, F.lit(rule.java), F.lit(kept + replacement(rule.token)))
     else:
         done = let(
             _parts(rule, now),

@@ -33,6 +33,9 @@ class Rule:
     anchor: str | None = None
     # Java spelling where `to_java` cannot derive one.
     java_override: str | None = None
+    # The Java spelling consumes what the pattern only looks back at: its group 1 stays in the
+    # text, group 2 is the match.
+    lead: bool = False
 
     @property
     def java(self) -> str:

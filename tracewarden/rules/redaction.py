@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from tracewarden.dialect import Pattern
+from tracewarden.dialect import Pattern, to_java
 from tracewarden.rules.base import Rule, rule
 from tracewarden.rules.credentials import BY_ID
 
@@ -13,6 +13,16 @@ def _credential(name: str, token: str) -> Rule:
     return replace(BY_ID[name], token=token)
 
 
+# Java wants an upper bound in look-behind, so only the name, whose length is bounded, is looked
+# back at; white space, sign and quote are matched and stay. The second branch is for a name and
+# sign at the end of the match before: nothing else of a prefix can be a part of a value.
+_AWS_NAME = r"(?:aws_secret_access_key|secret_?key|SECRET_?KEY)"
+_S = to_java(r"\s")
+_AWS_SECRET = (
+    rf"""((?<={_AWS_NAME}){_S}*+[=:]{_S}*+["']?+|(?<={_AWS_NAME}=){_S}*+["']?+)"""
+    rf"""([A-Za-z0-9/+=]{{40}})(?=["']?{_S})"""
+)
+
 # Rule names, patterns, tokens, context words and windows, in rule order.
 SECRETS = (
     rule("private-key",
@@ -22,8 +32,7 @@ SECRETS = (
     rule("aws-secret-key",
          r"""(?<=(?:aws_secret_access_key|secret_?key|SECRET_?KEY)\s*[=:]\s*["']?)[A-Za-z0-9/+=]{40}(?=["']?\s)""",
          token="[AWS_SECRET_REDACTED]", needs=(("secret",),),
-         # Java wants an upper bound in look-behind: more spaces than a string can hold.
-         java_override=r"""(?=[A-Za-z0-9/+=]{40}["']?\s)(?<=(?:aws_secret_access_key|secret_?key|SECRET_?KEY)\s{0,1000000000}[=:]\s{0,1000000000}["']?)[A-Za-z0-9/+=]{40}"""),
+         probe=Pattern(_AWS_NAME + r"\s*[=:]"), java_override=_AWS_SECRET, lead=True),
     _credential("credential_github", "[GITHUB_TOKEN_REDACTED]"),
     _credential("credential_anthropic", "[ANTHROPIC_KEY_REDACTED]"),
     _credential("credential_openai", "[OPENAI_KEY_REDACTED]"),
