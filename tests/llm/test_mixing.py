@@ -21,6 +21,44 @@ def test_shards_share_all_slots():
     assert [first for first, _ in spans] == list(np.cumsum([0] + [n for _, n in spans])[:-1])
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
+def test_place_of_undoes_the_permutation(n):
+    for key in (0, 5, 77):
+        assert [mixing.place_of(int(x), n, key) for x in mixing.permuted(np.arange(n), n, key)] == list(range(n))
+
+
+@pytest.mark.parametrize("size", [1, 5, 20, 63, 64, 65, 130, 1000])
+def test_slots_give_exactly_the_words_asked_for(size):
+    """Also for sources below a block, and wherever the short block comes."""
+    blocks = -(-size // 64)
+    of = [min(64, size - 64 * b) for b in range(blocks)]
+    for words in range(0, 2 * size + 1):
+        slots, rest = mixing.slots_for(words, size, 64, 3)
+        sizes = [of[b] for t in (0, 1) for b in mixing.permuted(np.arange(blocks), blocks, mixing.pass_key(3, t))]
+        assert sum(sizes[: max(slots - 1, 0)]) + rest == words
+        assert not slots or 0 < rest <= sizes[slots - 1]
+
+
+@pytest.mark.parametrize("size", [1, 20, 65])
+def test_a_small_source_stays_in_the_mix(spark, size):
+    rows = [(1, "w " * size, "small"), (2, "v " * 5000, "large"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.taken_words(docs).collect():
+        assert r.taken == int(r.target + 0.5)
+
+
+def test_repeated_rows_and_names_with_dots(spark):
+    rows = [(1, "a b c d e", "s", i % 2) for i in range(50)] + [(2, "x " * 700, "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `x.y` int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words = Counter((r.doc_id, w) for r in out.collect() for w in r.text.split())
+    taken = Counter()
+    for r in mixing.taken_words(docs).collect():
+        taken[r.doc_id] += r.taken
+    assert {d: sum(n for (e, _), n in words.items() if e == d) for d in (1, 2)} == dict(taken)
+
+
 def test_targets_share_the_excess():
     out = mixing.targets([10, 100, 100], (3, 1, 2), Fraction(3, 2), 2)
     assert out[0] == 20 and sum(out) == 315 and max(out) <= 200
@@ -44,7 +82,7 @@ def test_edges(edge_documents):
     for r in rows:
         taken[r.source_size, r.target] += r.taken
     for (_, target), n in taken.items():
-        assert abs(n - target) <= 16
+        assert n == int(target + 0.5)
 
 
 def test_mix_holds_every_slot_once(edge_documents):

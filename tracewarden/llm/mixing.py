@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import SPACED_WORD, running_total, stored
+from tracewarden.llm.common import SPACED_WORD, lean, running_total, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -27,12 +27,15 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 SEED = 20_240_601
 
-SLOTS = "shard long, slot long, sid int, pass int, block long"
+SLOTS = "shard long, slot long, sid int, pass int, block long, take int"
 
 
 @dataclass(frozen=True)
 class Source:
-    """One source of a mix; ``sid`` is its place in code point order, null last."""
+    """One source of a mix; ``sid`` is its place in code point order, null last.
+
+    All slots take their whole block, but for the last one, which takes ``rest`` words.
+    """
 
     sid: int
     name: str | None
@@ -40,6 +43,7 @@ class Source:
     target: float
     blocks: int
     slots: int
+    rest: int
 
 
 def targets(sizes: list[int], weights: tuple[int, ...], share: Fraction, most: int) -> list[Fraction]:
@@ -95,6 +99,46 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def place_of(value: int, size: int, key: int) -> int:
+    """The index that ``permuted`` sends to ``value``."""
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    x = value
+    while True:
+        left, right = x >> half, x & mask
+        for turn in reversed(range(4)):
+            before = left
+            left, right = right ^ (int(mixed(np.array([before]), key * 4 + turn)[0]) & mask), before
+        x = left << half | right
+        if x < size:
+            return x
+
+
+def pass_key(sid: int, turn: int) -> int:
+    return SEED + 1000 * sid + turn
+
+
+def slots_for(words: int, size: int, block_words: int, sid: int) -> tuple[int, int]:
+    """Slots of a source from which exactly ``words`` words come, and the words of the last one.
+
+    Whole passes take the source's whole size. In the pass that is cut the short last block
+    counts with its own words, at the place where the permutation has put it.
+    """
+    if not words or not size:
+        return 0, 0
+    blocks = -(-size // block_words)
+    turns, left = divmod(words, size)
+    if not left:
+        turns, left = turns - 1, size
+    gap = blocks * block_words - size
+    short = place_of(blocks - 1, blocks, pass_key(sid, turns))
+    count = -(-left // block_words)
+    if count > short:
+        count = max(short + 1, -(-(left + gap) // block_words))
+    before = (count - 1) * block_words - (gap if count - 1 > short else 0)
+    return turns * blocks + count, left - before
+
+
 def dealt(total: int, shard: int, shards: int, key: int) -> tuple[int, int]:
     """First slot and number of slots that a source has in a shard.
 
@@ -121,13 +165,16 @@ def mix_plan(sizes: DataFrame, block_words: int, weights: tuple[int, ...], share
     out = []
     for sid, (row, target) in enumerate(zip(rows, wanted, strict=True)):
         blocks = -(-row["size"] // block_words)
-        slots = min(most * blocks, int(target / block_words + Fraction(1, 2)))
-        out.append(Source(sid, row["source"], row["size"], float(target), blocks, slots))
+        slots, rest = slots_for(int(target + Fraction(1, 2)), row["size"], block_words, sid)
+        out.append(Source(sid, row["source"], row["size"], float(target), blocks, slots, rest))
     return out
 
 
-def slot_table(spark: SparkSession, plan: list[Source], shard_slots: int) -> DataFrame:
-    """Every slot of every output shard with the block that it reads; made shard by shard."""
+def slot_table(spark: SparkSession, plan: list[Source], block_words: int, shard_slots: int) -> DataFrame:
+    """Every slot of every output shard with the block that it reads; made shard by shard.
+
+    ``take`` is the number of words that the slot may take of its block.
+    """
     total = sum(s.slots for s in plan)
     shards = max(1, -(-total // shard_slots))
     sources = [s for s in plan if s.slots]
@@ -135,7 +182,7 @@ def slot_table(spark: SparkSession, plan: list[Source], shard_slots: int) -> Dat
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                sid, turn, block = [], [], []
+                sid, turn, block, take = [], [], [], []
                 for s in sources:
                     first, count = dealt(s.slots, shard, shards, s.sid)
                     j = np.arange(first, first + count)
@@ -143,19 +190,20 @@ def slot_table(spark: SparkSession, plan: list[Source], shard_slots: int) -> Dat
                         k = j[j // s.blocks == t] % s.blocks
                         sid.append(np.full(len(k), s.sid, dtype=np.int32))
                         turn.append(np.full(len(k), t, dtype=np.int32))
-                        block.append(permuted(k, s.blocks, SEED + 1000 * s.sid + int(t)))
+                        block.append(permuted(k, s.blocks, pass_key(s.sid, int(t))))
+                    take.append(np.where(j == s.slots - 1, s.rest, block_words).astype(np.int32))
                 if not sid:
                     continue
                 n = sum(map(len, sid))
                 slot = permuted(np.arange(n), n, SEED - 1 - shard)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, shard)), pa.array(slot)]
-                    + [pa.array(np.concatenate(x)) for x in (sid, turn, block)],
-                    names=["shard", "slot", "sid", "pass", "block"],
+                    + [pa.array(np.concatenate(x)) for x in (sid, turn, block, take)],
+                    names=["shard", "slot", "sid", "pass", "block", "take"],
                 )
 
     tasks = max(1, min(shards, spark.sparkContext.defaultParallelism * 4))
-    return spark.range(0, shards, 1, tasks).mapInArrow(fill, SLOTS)
+    return spark.range(0, shards, 1, tasks).mapInArrow(lean(fill), SLOTS)
 
 
 def mix_documents(
@@ -169,7 +217,8 @@ def mix_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix, and the documents that it was made of.
 
-    The mix has a row per slot and document piece: shard, slot, sid, pass, block, doc_at (the
+    A source gives its target, rounded to whole words: the last of its slots takes a part of its
+    block. The mix has a row per slot and document piece: shard, slot, sid, pass, block, doc_at (the
     document's first word in its source's stream), word_from, word_to (words of the document,
     the end left out). The documents come with sid, doc_at, source_size and target. Words are
     runs between ASCII white space. Null and empty texts have none and are never taken; a null
@@ -217,8 +266,10 @@ def mix_documents(
     )
     # Both sides grow with the data. The planner only sees the few rows that slots are made from,
     # so it is told not to broadcast them.
-    slots = slot_table(spark, plan, shard_slots).hint("merge")
-    return slots.join(pieces, ["sid", "block"]), known
+    slots = slot_table(spark, plan, block_words, shard_slots).hint("merge")
+    limit = F.col("block") * block_words + F.col("take") - F.col("doc_at")
+    mix = slots.join(pieces, ["sid", "block"]).withColumn("word_to", F.least("word_to", limit)).drop("take")
+    return mix.filter("word_from < word_to"), known
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -249,16 +300,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     # Rows are told apart by what they hold; equal rows stand for each other, in any order.
     again = Window.partitionBy("_row").orderBy(F.lit(0))
-    mine = taken.select(
-        F.xxhash64("doc_id", "source", "_text").alias("_row"), "size", "_passes"
-    ).withColumn("_mine", F.row_number().over(again)).withColumnRenamed("_row", "_key")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_d"), F.xxhash64("doc_id", "source", F.xxhash64(text)).alias("_row")
-    ).withColumn("_nth", F.row_number().over(again))
-    met = rows.join(
-        mine, (F.col("_row") == F.col("_key")) & (F.col("_nth") - F.col("_mine") == F.lit(0))
-    ).select("_d", "size", F.explode("_passes").alias("_taken"))
+    nth = F.row_number().over(again)
+    mine = taken.select(F.xxhash64("doc_id", "source", "_text").alias("_row"), "size", "_passes").withColumn("_nth", nth)
     columns = docs.columns
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_d"),
+        F.xxhash64("doc_id", "source", F.xxhash64(text)).alias("_row"),
+    ).withColumn("_nth", nth)
+    met = rows.join(mine, ["_row", "_nth"]).select("_d", "size", F.explode("_passes").alias("_taken"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(SPACED_WORD)
@@ -283,4 +332,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
 
-    return met.mapInArrow(cut, docs.schema)
+    return met.mapInArrow(lean(cut), docs.schema)
