@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import stored
+from tracewarden.llm.common import lean, stored
 from tracewarden.llm.components import components
 
 WORDS = 5
@@ -24,7 +24,8 @@ BINS, SKETCH_LONGS = 1024, 32
 SIGMAS = 4
 #: Members of a bucket that meet in one go.
 BLOCK = 1024
-CACHE = 1_000_000
+#: Words that a task keeps with their hashes before it starts anew: some 30 MB.
+CACHE = 200_000
 
 
 class Shingler:
@@ -125,7 +126,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, whole binary, bands array<long>, s binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def most_bits(one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
@@ -163,21 +164,26 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "an", "bn", "as", "bs").mapInArrow(run, "a long, b long")
 
 
+def block_of() -> Column:
+    """The block of a member (node) in its bucket (size)."""
+    return F.pmod(F.xxhash64("node"), (F.col("size") / BLOCK).cast("int") + 1).cast("int")
+
+
 def _crossing(open_: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs of members of a bucket (key) in different components that can be linked.
 
-    ``open_`` has key, size, main (the largest component), node, component, n, s, bands. Everyone
-    outside the main component meets everyone. Buckets are cut into blocks of ``BLOCK`` members;
-    two blocks meet in a task, which compares their sketches and gives out the few pairs that
-    pass, each only in the first band that both have in common.
+    ``open_`` has key, size, main (the largest component), outs (the blocks that hold someone
+    outside of it), node, component, n, s, bands. Everyone outside the main component meets
+    everyone. Buckets are cut into blocks of ``BLOCK`` members; two blocks, one of them with
+    someone outside, meet in a task, which compares their sketches and gives out the few pairs
+    that pass, each only in the first band that both have in common.
     """
-    blocks = (F.col("size") / BLOCK).cast("int")
-    every = F.sequence(F.lit(0), blocks)
-    own = F.pmod(F.xxhash64("node"), blocks + 1).cast("int")
+    every = F.sequence(F.lit(0), (F.col("size") / BLOCK).cast("int"))
+    own = block_of()
     columns = ["key", "main", "component", "node", "n", "s", "bands"]
     outside = open_.filter(F.col("component") != F.col("main"))
     met = outside.select(*columns, own.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("one")).union(
-        open_.select(*columns, F.explode(every).alias("i"), own.alias("j"), F.lit(False).alias("one"))
+        open_.select(*columns, F.explode("outs").alias("i"), own.alias("j"), F.lit(False).alias("one"))
     )
 
     def pairs_of(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +237,7 @@ def _crossing(open_: DataFrame, percent: int, parts: int) -> DataFrame:
     return (
         met.repartition(parts, "key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(lean(run), "a long, b long")
         .distinct()
     )
 
@@ -251,7 +257,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    sets = stored(texts.mapInArrow(build, "node long, shingles binary"), "shingles")
+    sets = stored(texts.mapInArrow(lean(build), "node long, shingles binary"), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +272,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
 def near_duplicates(
@@ -341,6 +347,13 @@ def near_duplicates(
         .select("key", "main", "size"),
         "apart",
     )
+    outs = (
+        placed.join(apart, "key")
+        .filter("component <> main")
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_set(block_of())).alias("outs"))
+    )
+    apart = stored(apart.join(outs, "key"), "apart")
     open_ = placed.join(apart, "key").join(nodes.select("node", "n", "s", "bands"), "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crossing = _crossing(open_, percent, parts)

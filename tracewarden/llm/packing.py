@@ -121,7 +121,7 @@ def with_shards(docs: DataFrame, shards: int, placement: Placement | None = None
     plain = [c for c in docs.columns if c != "shard"]
     own = [measured(docs)[n].alias(n) for n in ("_group", "_split")]
     return (
-        _located(docs.select(F.struct(*plain).alias("_d"), *own), placement.large, shards)
+        _located(docs.select(F.struct(*[docs[f"`{c}`"] for c in plain]).alias("_d"), *own), placement.large, shards)
         .join(F.broadcast(placement.items), ["_item", "_piece"])
         .select("_d.*", "shard")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.llm.common import lean
 from tracewarden.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 24, 16
@@ -32,13 +33,14 @@ PRIOR = 8
 DECAY = 0.1
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 ATTENTION = 4
-#: The training sample: at most so many toxic and so many other documents, of so many characters.
+#: The training sample: at most so many toxic and so many other documents, drawn among the labelled
+#: ones of at most so many characters.
 SAMPLE, SAMPLE_CHARS = (1000, 3000), 200_000
 THRESHOLD = 0.7
 #: Windows per training step; steps per turn, at least.
 BATCH, STEPS = 256, 40
-#: Words that a task keeps with their inputs before it starts anew.
-CACHE = 200_000
+#: Words that a task keeps with their inputs before it starts anew: some 30 MB.
+CACHE = 100_000
 
 
 def pieces(text: bytes | None) -> list[bytes]:
@@ -334,23 +336,29 @@ class Scorer:
 
     def __init__(self, network: Network):
         self.network = network
+        # The last row stays zero: it is for no word, whose number is -1.
         self.rows: dict[bytes, int] = {}
-        self.table = np.zeros((1, 6 * HIDDEN), dtype=np.float32)
+        self.table = np.zeros((1024, 6 * HIDDEN), dtype=np.float32)
 
     def _learn(self, words: set[bytes]) -> None:
         new = sorted(words)
-        parts = [self.table[:-1]]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        first = len(self.rows)
+        if first + len(new) >= len(self.table):
+            wider = np.zeros((2 * (first + len(new)) + 1, 6 * HIDDEN), dtype=np.float32)
+            wider[:first] = self.table[:first]
+            self.table = wider
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
             number = np.array([self.network.vocabulary.get(x, 0) for x in some], dtype=np.int64)
-            parts.append(self.network.projected(self.network.inputs(number, self.network.spots[gram_table(some)]))[:-1])
-        self.rows.update({x: len(self.rows) + i for i, x in enumerate(new)})
-        self.table = np.concatenate([*parts, np.zeros((1, 6 * HIDDEN), dtype=np.float32)])
+            inputs = self.network.inputs(number, self.network.spots[gram_table(some)])
+            self.table[first + at : first + at + len(some)] = self.network.projected(inputs)[:-1]
+        self.rows.update({x: first + i for i, x in enumerate(new)})
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         split = [pieces(t) for t in texts]
         if len(self.rows) > CACHE:
-            self.rows, self.table = {}, np.zeros((1, 6 * HIDDEN), dtype=np.float32)
+            self.rows = {}
+            self.table[:] = 0
         missing = set().union(*split) - self.rows.keys()
         if missing:
             self._learn(missing)
@@ -371,11 +379,13 @@ def learned(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE
         .agg(F.max("toxic").alias("_toxic"))
     )
     texts = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS))
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     # Ids are drawn by hash among labelled rows.
     drawn = known.filter("_toxic > 0").orderBy(F.xxhash64("doc_id")).limit(sample[0]).union(
         known.filter("_toxic <= 0").orderBy(F.xxhash64("doc_id")).limit(sample[1])
     )
-    rows = texts.join(F.broadcast(drawn), "doc_id").toArrow()
+    # One text per id, however often an id is there.
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).toArrow()
     rows = zip(rows["doc_id"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), rows["_toxic"].to_pylist(), strict=True)
     _, found, toxic = zip(*sorted(rows), strict=True) if (rows := list(rows)) else ((), (), ())
     return train(list(found), [int(y > 0) for y in toxic])
@@ -391,7 +401,7 @@ def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
     Null and empty texts, and texts without words, are one empty window. Repeated rows score
     alike. No shuffle; a task holds one batch of texts and the inputs of ``CACHE`` words.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_d"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_d"))
     if isinstance(model, float):
         return rows.withColumn("_score", F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.vocabulary, model.spots))
@@ -405,7 +415,7 @@ def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
                 scores = scorer.scores(part.flatten()[place].cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64())], names=["_d", "_score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["_d"], T.StructField("_score", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema["_d"], T.StructField("_score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
