@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tracewarden.llm.common import lean
+
 WINDOW = 10
 #: Bytes that hold a word together once A-Z are lower-cased: digits, a-z, everything beyond ASCII.
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 0x20 for b in range(256))
-#: Benchmark bytes that one broadcast may hold; a larger benchmark is scanned for in several passes.
-BROADCAST_BYTES = 64 << 20
+#: Benchmark text, in bytes, of one broadcast, which holds nothing else; a larger benchmark is scanned for
+#: in several passes. A task's index of it takes some thirty times as much if no word occurs twice.
+BROADCAST_BYTES = 8 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -24,24 +27,39 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Ngrams:
-    """The windows of some benchmark items, hashed, with the words spelled out for the check."""
+    """The windows of some benchmark items: per length their hashes, and where their words stand."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(tuple(ids[i : i + n]), set()).add(name)
+        self.names = [name for name, _ in items]
+        number: dict[str, int] = {}
+        who = np.array([number.setdefault(name, len(number)) for name in self.names], dtype=np.int64)
+        ids: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for item, (_, text) in enumerate(items):
+            words = words_of(text)
+            n = min(window, len(words))
+            if n:
+                count = len(words) - n + 1
+                places.setdefault(n, []).append(len(ids) + np.arange(count))
+                owners.setdefault(n, []).append(np.full(count, item))
+                ids.extend([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+        self.ids = np.array(ids, dtype=np.int64)
         self.tables = []
-        for n in sorted({len(k) for k in found}):
-            grams = [k for k in found if len(k) == n]
-            rows = np.array(grams, dtype=np.int64)
-            hashes = self.hashed(rows.T)
-            order = np.argsort(hashes, kind="stable")
-            names = [sorted(found[grams[i]]) for i in order]
-            self.tables.append((n, hashes[order], rows[order], names))
+        for n in sorted(places):
+            place, owner = np.concatenate(places[n]), np.concatenate(owners[n])
+            hashes = self.hashed([self.ids[place + i] for i in range(n)])
+            order = np.lexsort((place, who[owner], hashes))
+            hashes, place, owner = hashes[order], place[order], owner[order]
+            # An item that says a window more than once counts once.
+            again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (who[owner[1:]] == who[owner[:-1]])) + 1
+            same = np.ones(len(again), dtype=bool)
+            for i in range(n):
+                same &= self.ids[place[again] + i] == self.ids[place[again - 1] + i]
+            keep = np.ones(len(hashes), dtype=bool)
+            keep[again[same]] = False
+            self.tables.append((n, hashes[keep], place[keep], owner[keep]))
 
     @staticmethod
     def hashed(columns) -> np.ndarray:
@@ -53,13 +71,13 @@ class Ngrams:
                 total ^= total >> np.uint64(29)
             return total
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[str]]]]:
-        """Per window length: starts of verified hits and the table rows that they equal.
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per window length: starts of verified hits and the items that hold them.
 
         ``ids`` are word numbers of texts one after another, 0 for foreign words and between texts.
         """
         broken = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, hashes, rows, names in self.tables:
+        for n, hashes, places, owners in self.tables:
             if len(ids) < n:
                 continue
             starts = np.flatnonzero(broken[n:] == broken[: len(broken) - n])
@@ -71,9 +89,10 @@ class Ngrams:
             high = np.searchsorted(hashes, wanted, "right")
             while (alive := low < high).any():
                 starts, low, high = starts[alive], low[alive], high[alive]
-                same = (ids[starts[:, None] + np.arange(n)] == rows[low]).all(axis=1)
+                span = np.arange(n)
+                same = (ids[starts[:, None] + span] == self.ids[places[low][:, None] + span]).all(axis=1)
                 if same.any():
-                    yield n, starts[same], low[same], names
+                    yield n, starts[same], owners[low[same]]
                 low = low + 1
 
 
@@ -87,12 +106,11 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _scan(table, place: int, schema: pa.Schema):
-    """The pass over the texts for one broadcast table; adds to what earlier passes found."""
+def _scan(items, window: int, place: int, schema: pa.Schema):
+    """The pass over the texts for one broadcast part; adds to what earlier passes found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = object.__new__(Ngrams)
-        vars(grams).update(table.value)
+        grams = Ngrams(items.value, window)
         number = grams.vocabulary.get
         for batch in batches:
             texts = batch["_d"].flatten()[place].cast(pa.binary())
@@ -108,13 +126,12 @@ def _scan(table, place: int, schema: pa.Schema):
                 first = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)])
                 spans: list[list[tuple[int, int]]] = [[tuple(s.values()) for s in x] for x in part["_spans"].to_pylist()]
                 names: list[set[str]] = [set(x) for x in part["_items"].to_pylist()]
-                for n, starts, which, listed in grams.hits(flat):
+                for n, starts, owners in grams.hits(flat):
                     doc = np.searchsorted(first, starts, "right") - 1
                     for d in np.unique(doc):
                         mine = doc == d
                         spans[d] += [(a, a + n) for a in (starts[mine] - first[d]).tolist()]
-                        for row in np.unique(which[mine]).tolist():
-                            names[d].update(listed[row])
+                        names[d].update(grams.names[i] for i in np.unique(owners[mine]).tolist())
                 spans = [
                     [{"word_from": a, "word_to": b} for a, b in _merged(*np.array(x).T)] if x else []
                     for x in spans
@@ -130,18 +147,16 @@ def _scan(table, place: int, schema: pa.Schema):
     return run
 
 
-def benchmark_parts(benchmark: DataFrame, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in parts of about ``limit`` bytes, each small enough to broadcast."""
+def benchmark_parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark in parts of about ``limit`` bytes of text, brought to the driver one at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").filter(
         F.col("name").isNotNull() & F.col("text").isNotNull()
     )
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("name")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // limit))
     part = F.pmod(F.xxhash64("name", "text"), F.lit(parts))
-    return [
-        [(r["name"], r["text"].encode()) for r in items.filter(part == i).collect()]
-        for i in range(parts)
-    ]
+    for i in range(parts):
+        yield sorted((r["name"], r["text"].encode()) for r in items.filter(part == i).collect())
 
 
 def scan_documents(
@@ -158,7 +173,7 @@ def scan_documents(
     spark: SparkSession = docs.sparkSession
     spans = "array<struct<word_from:long,word_to:long>>"
     out = docs.select(
-        F.struct(*docs.columns).alias("_d"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_d"),
         F.lit(0).cast("long").alias("_n_words"),
         F.array().cast(spans).alias("_spans"),
         F.array().cast("array<string>").alias("_items"),
@@ -166,8 +181,8 @@ def scan_documents(
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     arrow = to_arrow_schema(schema)
     for part in benchmark_parts(benchmark, limit):
-        table = spark.sparkContext.broadcast(vars(Ngrams(part, window)))
-        out = out.mapInArrow(_scan(table, docs.columns.index("text"), arrow), schema)
+        items = spark.sparkContext.broadcast(part)
+        out = out.mapInArrow(lean(_scan(items, window, docs.columns.index("text"), arrow)), schema)
     return out
 
 
