@@ -40,6 +40,23 @@ def test_nearest_ancestor_gives_the_licence(spark):
     }
 
 
+def test_relative_paths_inherit_from_their_root(spark):
+    mit = "Released under the MIT License."
+    rows = [("LICENSE", mit), ("top.py", "code"), ("./src/a.py", "code"), ("src/deep/./b.py", "code"), ("/abs/c.py", "code"),
+            ("src/deep/LICENSE", "Licensed under CC BY-NC 4.0."), ("./d.py", "code"), ("/e.py", "code")]
+    got = {p: (r.licence, r.origin, r.from_path) for p, r in scanned(spark, rows).items()}
+    assert got == {
+        "LICENSE": ("MIT", "licence file", "LICENSE"),
+        "top.py": ("MIT", "inherited", "LICENSE"),
+        "./src/a.py": ("MIT", "inherited", "LICENSE"),
+        "src/deep/./b.py": ("CC-BY-NC-4.0", "inherited", "src/deep/LICENSE"),
+        "src/deep/LICENSE": ("CC-BY-NC-4.0", "licence file", "src/deep/LICENSE"),
+        "/abs/c.py": (None, "none", None),
+        "./d.py": ("MIT", "inherited", "LICENSE"),
+        "/e.py": (None, "none", None),
+    }
+
+
 def test_edges(spark):
     rows = [(None, "Released under the MIT License."), (None, None), ("/r", "Released under the MIT License."), ("/r", ""), ("/r", "")]
     df = spark.createDataFrame([(p, t, "x", 1.0, "y", "z") for p, t in rows], SCHEMA)

@@ -271,13 +271,20 @@ def licence_scores(files: DataFrame, notices: tuple = NOTICES, least: float = LE
 
 
 def folder(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*$", "")
-
-
-def ancestors(path: Column) -> Column:
-    """A directory and all above it, the root as an empty string."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    """The directory of a file: ``/`` or ``/a/b``, or ``a/b`` and an empty string for a relative path."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"(?<=/)(?:\./+)+", ""), r"^(?:\./+)+", "")
+    above = F.when(F.contains(plain, F.lit("/")), F.regexp_replace(plain, r"/[^/]*$", "")).otherwise("")
+    root = F.when(F.startswith(plain, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.isNotNull(), F.coalesce(F.nullif(above, F.lit("")), root))
+
+
+def ancestors(directory: Column) -> Column:
+    """A directory and all above it, up to its root: ``/``, or an empty string for a relative one."""
+    parts = F.split(directory, "/")
+    named = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    rooted = F.startswith(directory, F.lit("/"))
+    root = F.when(rooted, F.lit("/")).otherwise(F.lit(""))
+    return F.array_distinct(F.concat(F.array(root), F.filter(named, lambda d: (d != "") & (d != "/"))))
 
 
 def scan_licences(files: DataFrame, notices: tuple = NOTICES, least: float = LEAST) -> DataFrame:

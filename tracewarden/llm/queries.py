@@ -158,13 +158,16 @@ def op5_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents, as files of a tree of sources, languages and runs of 64 ids.
 
-    A short document that states a licence stands for the licence file of its directory.
+    A short document that states a licence stands for the licence file of a directory: by its id,
+    that of its source, of its language, or of its run.
     """
     docs = table(spark, sf_dir, "documents")
     short = (F.length("text") <= 400) & F.col("text").rlike(r"(?i)licen[sc]e")
     name = F.when(short, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
     run = F.floor(F.col("doc_id") / 64).cast("string")
-    path = F.concat_ws("/", F.lit(""), "source", "lang", run, name)
+    high = F.when(short, F.col("doc_id") % 3)
+    lang, run = F.when(F.coalesce(high != 0, F.lit(True)), F.col("lang")), F.when(F.coalesce(high == 2, F.lit(True)), run)
+    path = F.concat_ws("/", F.lit(""), "source", lang, run, name)
     found = licenses.scan_licences(docs.select(path.alias("path"), "text"))
     return found.withColumn("score", F.round("score", 4))
 
@@ -175,10 +178,10 @@ def _licence_oracle() -> str:
     return rf"""
 WITH templates(template, licence, term, weight, idf) AS (VALUES {values}),
 files AS (
-    SELECT '/' || source || '/' || lang || '/' || CAST(doc_id // 64 AS VARCHAR) AS folder,
-           CASE WHEN length(text) <= 400 AND regexp_matches(text, '(?i)licen[sc]e')
-                THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name, text
-    FROM documents
+    SELECT '/' || source || CASE WHEN is_file AND doc_id % 3 = 0 THEN '' ELSE '/' || lang END
+               || CASE WHEN is_file AND doc_id % 3 < 2 THEN '' ELSE '/' || CAST(doc_id // 64 AS VARCHAR) END AS folder,
+           CASE WHEN is_file THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name, text
+    FROM (SELECT *, length(text) <= 400 AND regexp_matches(text, '(?i)licen[sc]e') AS is_file FROM documents)
 ), paths AS (
     SELECT folder || '/' || name AS path, folder, starts_with(name, 'LICENSE.') AS is_file, text FROM files
 ), cut AS (
@@ -210,12 +213,16 @@ files AS (
     SELECT folder, path AS from_path, licence AS given
     FROM best JOIN paths USING (path) WHERE is_file
     QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, path) = 1
+), near AS (
+    SELECT p.folder, arg_max(h.from_path, length(h.folder)) AS from_path, arg_max(h.given, length(h.folder)) AS given
+    FROM (SELECT DISTINCT folder FROM paths) p
+    JOIN held h ON p.folder = h.folder OR starts_with(p.folder, h.folder || '/') GROUP BY p.folder
 )
 SELECT p.path, coalesce(b.licence, h.given) AS licence, round(b.score, 4) AS score,
        CASE WHEN b.licence IS NOT NULL AND is_file THEN 'licence file' WHEN b.licence IS NOT NULL THEN 'header'
             WHEN h.given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        CASE WHEN b.licence IS NOT NULL THEN p.path ELSE h.from_path END AS from_path
-FROM paths p LEFT JOIN best b USING (path) LEFT JOIN held h ON h.folder = p.folder
+FROM paths p LEFT JOIN best b USING (path) LEFT JOIN near h ON h.folder = p.folder
 """
 
 
