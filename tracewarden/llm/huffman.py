@@ -19,6 +19,7 @@ The code is canonical: lengths per id are all that a reader needs, and they are
 
 from __future__ import annotations
 
+import os
 import struct
 import unicodedata
 import zlib
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import LONG_MIN, boundaries, scratch_path, slice_of, stored
+from tracewarden.llm.common import LONG_MIN, boundaries, lean, scratch_path, slice_of, stored
 
 MAGIC = b"HUF1"
 LIMIT = 16
@@ -39,10 +40,10 @@ RUN = 1 << 18
 #: A block is closed once it holds so many ids: some 200 KB, which the JVM moves about with ease.
 BLOCK = 1 << 17
 END_ID = 0
-#: Words that a task keeps with their ids before it starts anew.
-CACHE = 500_000
-#: Signs that are cut into words at a time.
-CHARS = 500_000
+#: Words that a task keeps with their ids before it starts anew: some 40 MB.
+CACHE = 200_000
+#: Signs that are cut into words at a time; a sign takes a dozen numbers of eight bytes.
+CHARS = 150_000
 
 
 def cut_at_words(text: str, size: int) -> Iterator[str]:
@@ -65,6 +66,22 @@ def cut_at_words(text: str, size: int) -> Iterator[str]:
 LETTER, NUMBER, SPACE, LINE, OTHER, ODD, UNSEEN = range(7)
 
 
+class Grown:
+    """An array that is filled in place and moved only when it doubles."""
+
+    def __init__(self, kind: type):
+        self.values, self.size = np.empty(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.values):
+            wider = np.empty(2 * size, self.values.dtype)
+            wider[: self.size] = self.values[: self.size]
+            self.values = wider
+        self.values[self.size : size] = more
+        self.size = size
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, remembering the words that its pattern cuts.
 
@@ -77,6 +94,8 @@ class Encoder:
     LONGEST = 64
 
     def __init__(self, path: str):
+        # Tasks are the threads here; a pool of the library's own would keep memory per thread.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,8 +106,9 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.checks = np.empty(0, np.uint64)
-        self.sizes, self.starts, self.flat = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
+        self.checks, self.sizes, self.starts, self.flat = (
+            Grown(t) for t in (np.uint64, np.int32, np.int32, np.uint32)
+        )
 
     def _classes_of(self, points: np.ndarray) -> np.ndarray:
         out = self.classes[points]
@@ -116,10 +136,10 @@ class Encoder:
             coded += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
         self.known.update(zip(hashes.tolist(), range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.checks = np.concatenate([self.checks, checks])
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for c in coded for i in c], dtype=np.uint32)])
+        self.checks.add(checks)
+        self.starts.add(self.flat.size + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.flat.add(np.array([i for c in coded for i in c], dtype=np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id; so many texts at a time that arrays stay small."""
@@ -187,10 +207,10 @@ class Encoder:
             number = number[back]
             text_of = owner[at]
             # Two words of one hash: the second one's text is encoded whole.
-            plain[text_of[self.checks[number] != checks]] = False
-            count = self.sizes[number]
+            plain[text_of[self.checks.values[number] != checks]] = False
+            count = self.sizes.values[number].astype(np.int64)
             total = int(count.sum())
-            ids = self.flat[np.repeat(self.starts[number] - (np.cumsum(count) - count), count) + np.arange(total)]
+            ids = self.flat.values[np.repeat(self.starts.values[number] - (np.cumsum(count) - count), count) + np.arange(total)]
             per_text = np.bincount(text_of, count, len(texts)).astype(np.int64)
             ends = np.cumsum(per_text)
             for i in np.flatnonzero(plain).tolist():
@@ -268,7 +288,7 @@ def packed(docs: list[np.ndarray], code: np.ndarray, lengths: np.ndarray, step:
     begin = np.cumsum(sizes) - sizes
     inside = starts - np.repeat(starts[first], counts)
     place = inside + np.repeat(begin * 8, counts)
-    # A code is at most 16 bits long: it lies in one word of 32 bits, or runs over into the next.
+    # A code is at most 25 bits long: it lies in one word of 32 bits, or runs over into the next.
     # The codes that begin in a word do not overlap, so their sum is their union, and only the
     # last of them runs over.
     word = place >> 5
@@ -368,7 +388,7 @@ def drafted(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")).mapInArrow(run, DRAFT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")).mapInArrow(lean(run), DRAFT)
 
 
 def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -398,7 +418,7 @@ def count_ids(draft: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = draft.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = draft.select("wide", "ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(max(rows["id"].to_pylist(), default=0) + 1, dtype=np.int64)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -421,7 +441,7 @@ def recoded(draft: DataFrame, shared, step: int) -> DataFrame:
                     names=["doc_id", "tie", "n", "data", "offsets"],
                 )
 
-    return draft.mapInArrow(run, CODED)
+    return draft.mapInArrow(lean(run), CODED)
 
 
 def write_ids(
@@ -435,7 +455,9 @@ def write_ids(
     """
     spark = docs.sparkSession
     draft = stored(drafted(docs, path), "token-drafts")
-    lengths = code_lengths(count_ids(draft), LIMIT)
+    counts = count_ids(draft)
+    # More ids than codes of the usual limit get the least one at which they fit.
+    lengths = code_lengths(counts, max(LIMIT, int(np.count_nonzero(counts) - 1).bit_length()))
     spark.createDataFrame(
         [(i, int(n)) for i, n in enumerate(lengths.tolist()) if n], "id int, bits int"
     ).coalesce(1).write.parquet(f"{target}/code")
@@ -477,7 +499,7 @@ def write_ids(
                     yield from flushed()
         yield from flushed()
 
-    rows.mapInArrow(run, "slice int, block long, ids long, frame binary").write.parquet(f"{target}/frames")
+    rows.mapInArrow(lean(run), "slice int, block long, ids long, frame binary").write.parquet(f"{target}/frames")
     spark.read.parquet(f"{target}/frames").groupBy("slice").agg(F.sum("ids").alias("ids")).write.parquet(
         f"{target}/slices"
     )
@@ -495,7 +517,7 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = shared.value
-        table = decoding_table(lengths, LIMIT)
+        table = decoding_table(lengths, max(LIMIT, int(lengths.max(initial=0))))
         for batch in batches:
             for part, data in zip(batch["slice"].to_pylist(), batch["frame"], strict=True):
                 first, names, docs = read_frame(data.as_buffer(), table)
@@ -519,7 +541,7 @@ def read_ids(spark: SparkSession, target: str) -> DataFrame:
         offsets.append((part, before))
         before += n
     known = spark.createDataFrame(offsets, "_part int, _before long")
-    listed = spark.read.parquet(f"{target}/frames").select("slice", "frame").mapInArrow(run, LISTING)
+    listed = spark.read.parquet(f"{target}/frames").select("slice", "frame").mapInArrow(lean(run), LISTING)
     return listed.join(F.broadcast(known), F.col("slice") == F.col("_part")).select(
         "doc_id", (F.col("at") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32"
     )
