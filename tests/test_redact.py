@@ -83,9 +83,14 @@ def entropy(s):
     return -sum(s.count(c) / len(s) * log2(s.count(c) / len(s)) for c in set(s)) if s else 0.0
 
 
+# White space as ECMAScript has it; the flag below would narrow it to ASCII.
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def compiled(p):
     flags = regex.ASCII | (regex.I if "i" in p.flags else 0) | (regex.M if "m" in p.flags else 0)
-    return regex.compile(p.source, flags)
+    widened = lambda m: m.group().replace(r"\s", SPACE) if m.group()[0] == "[" else f"[{SPACE}]"
+    return regex.compile(regex.sub(r"\[(?:\\.|[^\]\\])*\]|\\s", widened, p.source), flags)
 
 
 def loop(text, rules):

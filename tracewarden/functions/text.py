@@ -127,6 +127,49 @@ def running_starts(lengths: Column) -> Column:
     )
 
 
+def fold_in_blocks(
+    count: Column, state: Column, emitted: str, step: Callable[[Column, Column], Column]
+) -> Column:
+    """What ``step(state, i)``, a struct<state, out>, puts out for i from 0 to count - 1.
+
+    An array that grows is copied with every item. Items are gathered per block here, and blocks
+    in the whole, so the work stays close to linear for very many items. Every step is used in
+    one place alone: what it puts out is taken over with the next one.
+    """
+    none = F.lit(None).cast(emitted)
+    items = f"array<{emitted}>"
+
+    def block(state: Column, b: Column) -> Column:
+        """struct<last, out> after the items of a block."""
+        start = F.struct(
+            F.struct(state.alias("state"), none.alias("out")).alias("last"), F.array().cast(items).alias("out")
+        )
+        numbers = F.sequence((b * _BLOCK).cast("int"), F.least(b * _BLOCK + (_BLOCK - 1), count - 1).cast("int"))
+        taken = lambda acc: F.concat(acc["out"], F.array(acc["last"]["out"]))
+        return F.aggregate(
+            numbers,
+            start,
+            lambda acc, i: F.struct(step(acc["last"]["state"], i).alias("last"), taken(acc).alias("out")),
+            # The first thing taken is the null from before the first item.
+            lambda acc: F.struct(acc["last"].alias("last"), F.slice(taken(acc), F.lit(2), F.lit(_BLOCK)).alias("out")),
+        )
+
+    start = F.struct(
+        F.struct(
+            F.struct(state.alias("state"), none.alias("out")).alias("last"), F.array().cast(items).alias("out")
+        ).alias("block"),
+        F.array().cast(f"array<{items}>").alias("done"),
+    )
+    taken = lambda acc: F.concat(acc["done"], F.array(acc["block"]["out"]))
+    whole = F.aggregate(
+        F.sequence(F.lit(0), F.floor((count - 1) / _BLOCK).cast("int")),
+        start,
+        lambda acc, b: F.struct(block(acc["block"]["last"]["state"], b).alias("block"), taken(acc).alias("done")),
+        lambda acc: F.flatten(taken(acc)),
+    )
+    return F.when(count > 0, whole).otherwise(F.array().cast(items))
+
+
 def match_parts(text: Column, java: str, group: int, **tags: Column) -> Column:
     """struct<tags…, m, c, g>: matches, captures and the gaps around the matches.
 

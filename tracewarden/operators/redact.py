@@ -23,9 +23,11 @@ from tracewarden.functions.text import (
     all_matches,
     any_of,
     code_units,
+    fold_in_blocks,
     gaps,
     indices,
     let,
+    running_starts,
     unroll,
     unroll_items,
 )
@@ -298,21 +300,20 @@ def _hit_step(policy: Policy, rule: Rule, ord_: int, token: Namer | None) -> Cal
     seen = F.lit(rule.token) if token is None else token(rule, F.lit(1))
 
     def replaced(x: Column, parts: Column, chosen: Column) -> Column:
-        def name(i: Column) -> Column:
-            if token is None:
-                return seen
+        def named(before: Column) -> Column:
             # Gated rules settle from the right, so their serials run the other way.
-            ahead = (
-                F.slice(chosen, i + 2, F.size(chosen))
-                if rule.context
-                else F.slice(chosen, F.lit(1), i)
-            )
-            return token(rule, F.size(x["hits"]) + F.size(F.filter(ahead, lambda c: c)) + 1)
-
+            last = F.size(x["hits"]) + F.size(F.filter(chosen, lambda c: c))
+            serial = lambda i: last - F.get(before, i) if rule.context else F.size(x["hits"]) + F.get(before, i) + 1
+            return _stitch(parts, chosen, lambda i: token(rule, serial(i)))
+
+        if token is None:
+            now = _stitch(parts, chosen, lambda i: seen)
+        else:
+            now = let(running_starts(F.transform(chosen, lambda c: F.when(c, 1).otherwise(0))), named)
         return F.struct(
             x["was"].alias("was"),
             x["low"].alias("low"),
-            _stitch(parts, chosen, name).alias("now"),
+            now.alias("now"),
             F.concat(x["hits"], _hits(rule, ord_, parts, chosen)).alias("hits"),
         )
 
@@ -456,34 +457,22 @@ def _literal_paths(parts: Column) -> Column:
             .otherwise(F.slice(st, F.lit(1), F.size(st) - 1)),
         )
 
-    def walk(acc: Column, i: Column) -> Column:
+    def walk(stack: Column, i: Column) -> Column:
+        named = lambda st: F.concat(
+            F.slice(st, F.lit(1), F.size(st) - 1), F.array(_unquote(F.get(parts["m"], i)))
+        )
+        is_key = F.rlike(F.get(parts["g"], i + 1), F.lit(r"^\s*:"))
         return let(
-            enter(acc["stack"], F.get(parts["g"], i)),
-            lambda stack: let(
-                F.rlike(F.get(parts["g"], i + 1), F.lit(r"^\s*:")),
-                lambda is_key: F.struct(
-                    F.when(
-                        is_key,
-                        F.concat(
-                            F.slice(stack, F.lit(1), F.size(stack) - 1),
-                            F.array(_unquote(F.get(parts["m"], i))),
-                        ),
-                    )
-                    .otherwise(stack)
-                    .alias("stack"),
-                    F.concat(
-                        acc["paths"],
-                        F.array(F.when(~is_key, stack)),
-                    ).alias("paths"),
-                ),
+            F.struct(enter(stack, F.get(parts["g"], i)).alias("stack"), is_key.alias("key")),
+            lambda x: F.struct(
+                F.when(x["key"], named(x["stack"])).otherwise(x["stack"]).alias("state"),
+                F.when(~x["key"], x["stack"]).alias("out"),
             ),
         )
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        F.array().cast("array<array<string>>").alias("paths"),
+    return fold_in_blocks(
+        F.size(parts["m"]), F.array().cast("array<string>"), "array<string>", walk
     )
-    return F.aggregate(indices(parts["m"]), start, walk, lambda acc: acc["paths"])
 
 
 def _path_fits(path: Column, matcher: tuple[str, ...]) -> Column:

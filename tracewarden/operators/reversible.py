@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.text import all_matches, gaps, indices, let, unroll_items
+from tracewarden.functions.text import all_matches, fold_in_blocks, gaps, indices, let, unroll_items
 from tracewarden.operators.ranking import numbered, order_slices
 from tracewarden.operators.redact import Policy, redact_with_hits
 from tracewarden.rules.base import Rule
@@ -319,16 +319,10 @@ def sse_text(df: DataFrame, body: str, keys: list[str], out: str = "answer") ->
     return df.select(*keys, F.array_join(F.array_compact(lines), "").alias(out))
 
 
-def _flush(acc: Column, names: Column) -> Column:
-    """Held lines moved to the output, with the placeholders of their joint text restored.
-
-    When something was restored, the first text-bearing line takes all of the text and
-    the later ones are emptied.
-    """
-    parts = F.struct(
-        all_matches(acc["buf"], _PLACEHOLDER).alias("m"), gaps(acc["buf"], _PLACEHOLDER).alias("g")
-    )
-    swapped = let(
+def _restored(text: Column, names: Column) -> Column:
+    """A text with the placeholders that ``names`` knows exchanged."""
+    parts = F.struct(all_matches(text, _PLACEHOLDER).alias("m"), gaps(text, _PLACEHOLDER).alias("g"))
+    return let(
         parts,
         lambda p: F.concat(
             F.get(p["g"], F.lit(0)),
@@ -345,61 +339,39 @@ def _flush(acc: Column, names: Column) -> Column:
         ),
     )
 
-    def lines(text: Column) -> Column:
-        # Escaping is applied once here: the buffer holds plain text.
-        escaped = json_escape(text)
-        return F.transform(
-            acc["held"],
-            lambda h, i: F.when(
-                h["head"].isNull() | (text == acc["buf"]), h["line"]
-            ).otherwise(
-                F.concat(h["head"], F.when(i == acc["first"], escaped).otherwise(""), h["tail"])
-            ),
-        )
-
-    return F.struct(
-        F.concat(acc["out"], let(swapped, lines)).alias("out"),
-        _no_lines().alias("held"),
-        F.lit("").alias("buf"),
-        F.lit(-1).alias("first"),
-    )
-
-
-_HELD = "array<struct<line:string,head:string,tail:string>>"
-
 
-def _no_lines() -> Column:
-    return F.array().cast(_HELD)
+def _released(held: Column, names: Column) -> Column:
+    """Lines that leave together, with the placeholders of their joint text restored.
 
+    When something was restored, the first text-bearing line takes all of the text and
+    the later ones are emptied.
+    """
+    carriers = F.filter(indices(held), lambda i: F.get(held, i)["text"].isNotNull())
+    joint = F.array_join(F.transform(held, lambda h: F.coalesce(h["text"], F.lit(""))), "")
 
-def _hold(acc: Column, line: Column, head: Column, tail: Column, text: Column) -> Column:
-    carries = head.isNotNull()
-    return F.struct(
-        acc["out"].alias("out"),
-        F.concat(
-            acc["held"], F.array(F.struct(line.alias("line"), head.alias("head"), tail.alias("tail")))
-        ).alias("held"),
-        F.concat(acc["buf"], F.coalesce(text, F.lit(""))).alias("buf"),
-        F.when(carries & (acc["first"] < 0), F.size(acc["held"]))
-        .otherwise(acc["first"])
-        .alias("first"),
-    )
-
+    def lines(x: Column) -> Column:
+        # Escaping is applied once here: the joint text is plain.
+        return let(
+            json_escape(x["now"]),
+            lambda escaped: F.transform(
+                held,
+                lambda h, i: F.when(h["text"].isNull() | (x["now"] == x["was"]), h["line"]).otherwise(
+                    F.concat(h["head"], F.when(i == x["first"], escaped).otherwise(""), h["tail"])
+                ),
+            ),
+        )
 
-def _emit(acc: Column, line: Column) -> Column:
-    return F.struct(
-        F.concat(acc["out"], F.array(line)).alias("out"),
-        acc["held"].alias("held"),
-        acc["buf"].alias("buf"),
-        acc["first"].alias("first"),
+    return let(
+        joint,
+        lambda text: let(
+            F.struct(
+                text.alias("was"), _restored(text, names).alias("now"), F.get(carriers, F.lit(0)).alias("first")
+            ),
+            lines,
+        ),
     )
 
 
-def _open_bracket(buf: Column) -> Column:
-    """Whether the text may end inside a placeholder: a last ``[`` without its ``]``."""
-    return F.rlike(buf, F.lit(r"\[[^\[\]]*\z"))
-
-
 def _split_event(line: Column) -> Column:
     """struct<head, tail, text>: the event line around its text value; null without one."""
     data = F.substring(line, 7, 2147483647)
@@ -427,38 +399,62 @@ def _split_event(line: Column) -> Column:
 def rehydrated_stream(body: Column, names: Column) -> Column:
     """A complete event-stream body with placeholders restored across events.
 
-    Lines are folded in order. Text is held back while it may end inside a placeholder;
-    blank lines wait with it, any other line forces it out.
+    Text is held back while it may end inside a placeholder: while its last bracket opens.
+    Blank lines wait with it, any other line forces it out. A first pass finds where lines
+    leave; what leaves together is then put together by itself, so no line is copied twice.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"),
-        _no_lines().alias("held"),
-        F.lit("").alias("buf"),
-        F.lit(-1).alias("first"),
-    )
-    nothing = F.lit(None).cast("string")
+    event, blank, other = 0, 1, 2
 
-    def settle(acc: Column) -> Column:
-        return F.when(_open_bracket(acc["buf"]), acc).otherwise(_flush(acc, names))
+    def read(line: Column) -> Column:
+        return let(
+            _split_event(line),
+            lambda e: F.struct(
+                line.alias("line"),
+                e["head"].alias("head"),
+                e["tail"].alias("tail"),
+                e["text"].alias("text"),
+                F.when(e["text"].isNotNull(), event).when(F.trim(line) == "", blank).otherwise(other).alias("kind"),
+                F.right(F.regexp_replace(e["text"], r"[^\[\]]", ""), F.lit(1)).alias("bracket"),
+            ),
+        )
 
-    def step(acc: Column, line: Column) -> Column:
-        event = _split_event(line)
+    def open_after(was: Column, x: Column) -> Column:
+        """Whether text waits after a line."""
+        return (
+            F.when(x["kind"] == other, False)
+            .when(x["bracket"] == "[", True)
+            .when(x["bracket"] == "]", False)
+            .otherwise(was)
+        )
+
+    def cut(lines: Column, waits: Column) -> Column:
+        last = F.size(lines) - 1
+        kind = lambda i: F.get(lines, i)["kind"]
+        leaves = lambda i: (i == last) | ~F.get(waits, i) | (kind(i + 1) == other)
+        return let(
+            F.filter(indices(lines), leaves),
+            lambda stops: F.flatten(
+                F.transform(
+                    stops,
+                    lambda stop, j: let(
+                        F.when(j > 0, F.get(stops, j - 1) + 1).otherwise(0),
+                        lambda start: let(
+                            F.slice(lines, start + 1, stop - start + 1), lambda held: _released(held, names)
+                        ),
+                    ),
+                )
+            ),
+        )
+
+    def whole(lines: Column) -> Column:
+        step = lambda was, i: let(
+            open_after(was, F.get(lines, i)), lambda now: F.struct(now.alias("state"), now.alias("out"))
+        )
         return let(
-            event,
-            lambda e: F.when(
-                e["text"].isNotNull(),
-                let(_hold(acc, line, e["head"], e["tail"], e["text"]), settle),
-            )
-            .when(F.trim(line) == "", let(_hold(acc, line, nothing, nothing, nothing), settle))
-            .otherwise(let(_flush(acc, names), lambda a: _emit(a, line))),
+            fold_in_blocks(F.size(lines), F.lit(False), "boolean", step), lambda waits: cut(lines, waits)
         )
 
-    return F.aggregate(
-        F.split(body, "\n"),
-        start,
-        step,
-        lambda acc: F.array_join(let(acc, lambda a: _flush(a, names))["out"], "\n"),
-    )
+    return F.array_join(let(F.transform(F.split(body, "\n"), read), whole), "\n")
 
 
 def rehydrate_streams(

@@ -105,8 +105,14 @@ def retained(captures: DataFrame, max_sessions: int) -> DataFrame:
     """
     if max_sessions <= 0:
         return captures
+    kept = captures.join(newest_sessions(captures, max_sessions), "file_session", "left_semi")
+    return kept.unionByName(captures.filter(F.col("file_session").isNull()))
+
+
+def newest_sessions(captures: DataFrame, most: int) -> DataFrame:
+    """``file_session`` of the newest sessions by the write time in their file names."""
     stamp = F.regexp_extract("file", r"_(\d{13})-\d{6,}\.json$", 1)
-    newest = (
+    return (
         captures.filter(F.col("file_session").isNotNull())
         .groupBy("file_session")
         .agg(
@@ -114,11 +120,9 @@ def retained(captures: DataFrame, max_sessions: int) -> DataFrame:
             F.min("file").alias("_first"),
         )
         .orderBy(F.desc("_newest"), "_first")
-        .limit(max_sessions)
+        .limit(most)
         .select("file_session")
     )
-    kept = captures.join(newest, "file_session", "left_semi")
-    return kept.unionByName(captures.filter(F.col("file_session").isNull()))
 
 
 # --- request bodies -----------------------------------------------------------

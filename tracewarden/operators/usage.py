@@ -312,17 +312,42 @@ def _hyphened(name: Column) -> Column:
     return F.replace(name, F.lit("."), F.lit("-"))
 
 
+def _pieces(value: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    last = F.length(value) - n + 1
+    return F.when(
+        last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(value, i, F.lit(n)))
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_models(models: DataFrame, table: DataFrame, model: str = "model") -> DataFrame:
     """Each distinct model name with the first key of ``table`` that it contains.
 
-    For price tables of the caller's own. Names are reduced to distinct values before
-    the containment join; the size of the table decides whether Spark broadcasts it.
+    For price tables of the caller's own, of any size. A key is found through the one of its
+    pieces of three characters that the fewest keys have (a shorter key through itself): names
+    and keys meet on equal pieces, and only what meets is compared.
     """
     names = models.select(F.col(model).alias("model")).distinct()
-    fits = F.contains(_hyphened(F.col("model")), _hyphened(F.col("key")))
-    fields = F.struct(*[c for c in table.columns if c != "ord"])
-    hits = names.join(table, fits).groupBy("model").agg(F.min_by(fields, "ord").alias("_hit"))
-    return names.join(hits, "model", "left").select("model", "_hit.*")
+    keys = table.withColumn("_key", _hyphened(F.col("key")))
+    own = F.when(F.length("_key") >= 3, _pieces(F.col("_key"), 3)).otherwise(F.array("_key"))
+    pieces = keys.select("ord", "_key", F.explode(F.array_distinct(own)).alias("_piece"))
+    held = pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = (
+        pieces.join(held, "_piece")
+        .groupBy("ord", "_key")
+        .agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+    )
+    name = _hyphened(F.col("model"))
+    every = F.concat(F.array(F.lit("")), _pieces(name, 1), _pieces(name, 2), _pieces(name, 3))
+    first = (
+        names.select("model", F.explode(F.array_distinct(every)).alias("_piece"))
+        .join(rarest, "_piece")
+        .filter(F.contains(name, F.col("_key")))
+        .groupBy("model")
+        .agg(F.min("ord").alias("ord"))
+    )
+    hits = first.join(table, "ord").drop("ord")
+    return names.join(hits, "model", "left").select("model", *[c for c in table.columns if c != "ord"])
 
 
 def model_place(model: Column) -> Column:

@@ -536,6 +536,38 @@ def dictionary(rows: str) -> str:
     )
 
 
+def spread_dictionary(rows: str) -> str:
+    """The same originals, numbered per slice in steps of as many slices as there are."""
+    slot = f"cast('0x' || substr(md5(original), 1, 6) as bigint) % {q.SLICES}"
+    rank = "row_number() over (partition by session_id, rule, slot order by place)"
+    first = (
+        "select session_id, original, arg_min(rule, row_id * 1000000 + rule_ord * 10000 + i) as rule, "
+        f"min(row_id * 1000000 + rule_ord * 10000 + i) as place, {slot} as slot from {chain_hits(rows)} group by all"
+    )
+    return (
+        f"(select session_id, original, rule, '[' || replace(upper(rule), '-', '_') || '_' || cast(({rank} - 1) * {q.SLICES} + slot + 1 as varchar) || ']' as placeholder "
+        f"from ({first}))"
+    )
+
+
+def pseudonymised(rows: str, book: str) -> str:
+    """Each rule's matches replaced one after the other, by the placeholder of the original."""
+    policy = compile_policy(q.PSEUDONYM_POLICY)
+    ctes = [
+        f"book as (select * from {book})",
+        "maps as (select session_id, map(list(original), list(placeholder)) as m from book group by session_id)",
+        f"r0 as (select row_id, text as t, coalesce(m, map([], [])) as m from {rows} r left join maps on coalesce(r.session_id, '__default__') = maps.session_id)",
+    ]
+    for i, rule in enumerate(policy.rules):
+        p = re2(rule.pattern)
+        marked = f"string_split(regexp_replace(t, {p}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+        ctes.append(
+            f"r{i + 1} as (select row_id, m, parts[1] || array_to_string(list_transform(parts[2:], lambda x: m[split_part(x, chr(2), 1)] || split_part(x, chr(2), 2)), '') as t "
+            f"from (select row_id, m, {marked} as parts from r{i}))"
+        )
+    return f"with {', '.join(ctes)} select row_id, {digest('t')} from r{len(policy.rules)}"
+
+
 def sse_delta_rows(relation: str) -> str:
     lines = f"(select capture_id, unnest(string_split(response_body, chr(10))) as line, generate_subscripts(string_split(response_body, chr(10)), 1) - 1 as line_no from {relation} where response_is_streaming)"
     j = "try_cast(substr(line, 7) as json)"
@@ -582,6 +614,12 @@ def oracle_queries() -> dict[str, str]:
         f"order by max(written_ms) desc, min(file) limit {q.RETAINED}) "
         "select capture_id, file_session from t where file_session is null or file_session in (select file_session from keep)"
     )
+    o["snk_table_retention"] = o["snk_retention"]
+    o["src_capture_files"] = (
+        "select '/v1/x/' || capture_id as path, session_id, json_extract_string(try_cast(request_body as json), '$.model') as model, 'accept' as headers, "
+        f"cast(strlen(response_body) as bigint) as response_bytes, total_ms, {digest('response_body')} from {CAPTURES}"
+    )
+    o["src_capture_stream"] = o["src_capture_files"]
     o["src_request_ingest"] = (
         f"select event_id, case when try_cast(body as json) is not null then body end as request_body, cast(strlen(body) as bigint) as request_bytes from {LOG} where method = 'POST'"
     )
@@ -593,6 +631,11 @@ def oracle_queries() -> dict[str, str]:
         f"{half(f'greatest(0.0::double, coalesce({sent}, {first}) - {n}::double)')} as send_ms, {half(f'greatest(0.0::double, {first} - coalesce({sent}, {n}::double))')} as wait_ms, "
         f"{half(f'({end} - {first})')} as receive_ms, {half(f'({end} - {n}::double)')} as total_ms from {LOG} where method = 'POST'"
     )
+    came = lambda x: f"case when request_id % 11 <> 3 then {x} end as {x}"
+    o["snk_capture_assembly_stream"] = (
+        f"select request_id, request_headers, {', '.join(map(came, ('response_headers', 'response_bytes', 'send_ms', 'wait_ms', 'receive_ms', 'total_ms')))} "
+        f"from ({o['snk_capture_assembly']})"
+    )
     o["hdr_scrub"] = f"select event_id, {names('headers')} as kept from {LOG}"
     o["route_source"] = f"select event_id, source, session_id, clean_path from {routed()}"
     o["route_classify"] = f"select provider, api_format, count(*) as requests from {classified()} group by all"
@@ -612,12 +655,16 @@ def oracle_queries() -> dict[str, str]:
         f"select capture_id, coalesce(json_extract_string(j, '$.id'), json_extract_string(j, '$.response_id'), s.id) as response_id "
         f"from (select capture_id, try_cast(response_body as json) as j from {CAPTURES}) left join {first_id} s using (capture_id)"
     )
+    o["response_ids_once"] = (
+        f"select response_id, case when response_id is null then count(*) else 1 end as captures from ({o['response_ids']}) group by response_id"
+    )
     o["context_limit"] = (
         f"select capture_id, model, input_tokens, case when model is not null then coalesce(lim, 128000) end as context_limit, "
         f"round(input_tokens * 100.0::double / coalesce(lim, 128000), 4) as used_pct from {priced(USAGE)}"
     )
     o["cost_ledger"] = f"select capture_id, key as model_key, {COST} as cost_usd from {priced(USAGE)}"
     asked = f"(select json_extract_string(request_body::json, '$.model') as model from {CAPTURES})"
+    o["models_by_table"] = f"select distinct model, key as model_key, coalesce(lim, 0) as context_limit from {priced(asked)}"
     o["known_models"] = f"select mt.key as model_key, count(p.model) as calls from {MODEL_ROWS} left join {priced(asked)} p on p.key = mt.key group by mt.key"
     return {**o, **_text_queries(), **_session_queries(), **_scan_queries(), **_redaction_queries(), **_reversible_queries()}
 
@@ -663,6 +710,11 @@ def _session_queries() -> dict[str, str]:
     o["monitor_rows"] = ledger()
     o["monitor_totals"] = totals()
     o["monitor_totals_by_source"] = totals("source")
+    o["monitor_windows"] = (
+        "select written_ms // 21600000 * 21600 as window_start, l.source, count(*) as requests, cast(sum(tokens_in) as bigint) as tokens_in, "
+        "cast(sum(tokens_out) as bigint) as tokens_out, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd "
+        f"from ({ledger()}) l join (select capture_id, written_ms from {CAPTURES}) using (capture_id) group by all"
+    )
     n = "cast(ceil(length(text) / 4.0) as bigint)"
     cost = f"floor((({n} * 2) * 3.0::double + {n} * 15.0::double) / 1000000.0::double * 1000000.0::double + 0.5::double) / 1000000.0::double"
     shown = f"case when c < 0.01 then cast({fixed('c', 3)} as decimal(18,3)) else cast({fixed('c', 2)} as decimal(18,3)) end"
@@ -793,7 +845,7 @@ def _redaction_queries() -> dict[str, str]:
     )
     o["redact_rule_list"] = f"select capture_id, {digest('body')} from {json_redacted(PLANTED_CAPTURES, 'capture_id', 'request_body', PRESETS['strict'][20:26], NOT_KEY)}"
     o["redact_then_log"] = (
-        f"select capture_id, 'accept' as request_headers, 'server' as response_headers, {digest('body')} from {json_redacted(PLANTED_CAPTURES, 'capture_id', 'request_body', PRESETS['strict'][20:21], NOT_KEY)}"
+        f"select capture_id, 'accept' as request_headers, 'server' as response_headers, {digest('body')} from {json_redacted(PLANTED_CAPTURES, 'capture_id', 'request_body', PRESETS['strict'], NOT_KEY)}"
     )
     path_of = "regexp_replace(regexp_replace(substr(fullkey, 2), '\\[[0-9]+\\]', '.*', 'g'), '^\\.', '')"
     o["json_leaf_paths"] = (
@@ -810,6 +862,8 @@ def _redaction_queries() -> dict[str, str]:
         f"select capture_id, case when bad then 'rename' else '' end as failed_steps, {digest('b')} from "
         f"(select capture_id, {bad} as bad, case when response_is_streaming then {marked} else {whole} end as b from {CAPTURES})"
     )
+    streamed = "(select * from " + CAPTURES + " where response_is_streaming)"
+    o["response_chain_stream"] = o["response_chain"].replace(CAPTURES, streamed)
     o["capture_observers"] = (
         f"select count(*) as captures, count_if(response_is_streaming) as streams, cast(sum(length(response_body)) as bigint) as chars from {CAPTURES}"
     )
@@ -829,20 +883,9 @@ def _reversible_queries() -> dict[str, str]:
         f"left join (select * from {book} where placeholder = '[WORD_2]') b using (session_id)"
     )
     o["dictionary_inventory"] = f"select session_id, rule, count(*) as entries, cast(sum(count(*)) over (partition by session_id) as bigint) as session_size from {book} group by session_id, rule"
-    # Each rule's matches replaced one after the other, by the placeholder of the original.
-    text, ctes = "text", []
-    policy = compile_policy(q.PSEUDONYM_POLICY)
-    ctes.append(f"book as (select * from {book})")
-    ctes.append(f"maps as (select session_id, map(list(original), list(placeholder)) as m from book group by session_id)")
-    ctes.append(f"r0 as (select row_id, text as t, coalesce(m, map([], [])) as m from {ROWS} r left join maps on coalesce(r.session_id, '__default__') = maps.session_id)")
-    for i, rule in enumerate(policy.rules):
-        p = re2(rule.pattern)
-        marked = f"string_split(regexp_replace(t, {p}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
-        ctes.append(
-            f"r{i + 1} as (select row_id, m, parts[1] || array_to_string(list_transform(parts[2:], lambda x: m[split_part(x, chr(2), 1)] || split_part(x, chr(2), 2)), '') as t "
-            f"from (select row_id, m, {marked} as parts from r{i}))"
-        )
-    o["pseudonymise"] = f"with {', '.join(ctes)} select row_id, {digest('t')} from r{len(policy.rules)}"
+    o["pseudonymise"] = pseudonymised(ROWS, book)
+    nameless = "(select conv_id * 1000 + turn as row_id, '__default__' as session_id, text from conversations)"
+    o["pseudonymise_stream_spread"] = pseudonymised(nameless, spread_dictionary(nameless))
     deltas = sse_delta_rows(CAPTURES)
     o["sse_content"] = f"select capture_id, cast(line_no as int) as line, {digest('delta')} from {deltas}"
     o["sse_answer"] = f"select capture_id, {digest('s')} from (select capture_id, string_agg(delta, '' order by line_no) as s from {deltas} group by capture_id)"
@@ -851,7 +894,7 @@ def _reversible_queries() -> dict[str, str]:
     o["sse_rehydrate_batch"] = answers
     o["sse_rehydrate_stream"] = answers
     words = "text"
-    for rule in policy.rules:
+    for rule in compile_policy(q.PSEUDONYM_POLICY).rules:
         words = f"regexp_replace({words}, {re2(rule.pattern)}, '[' || replace(upper({lit(rule.id)}), '-', '_') || ']', 'g')"
     o["pseudonymise_stream_sessions"] = (
         f"select conv_id * 1000 + turn as row_id, cast(conv_id as varchar) as session_id, length({words}) as chars from conversations"

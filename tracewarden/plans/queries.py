@@ -17,9 +17,13 @@ from tracewarden.operators.headers import scrub_headers, trusted_headers
 from tracewarden.functions.sse import has_data_lines
 from tracewarden.plans import derived
 from tracewarden.session import checkpoint_root
+from tracewarden.sources import captures as capture_files
 from tracewarden.sources import requests as request_source
-from tracewarden.streaming.live import live_ledger, live_totals, run_available, totals_line
-from tracewarden.streaming.pseudonymise import pseudonymise_stream
+from tracewarden.sources.tables import CaptureTable
+from tracewarden.streaming.assembly import assemble_stream, first_responses
+from tracewarden.streaming.chain import StreamStep, chain_bodies, chain_lines
+from tracewarden.streaming.live import ChangeTable, live_ledger, live_totals, live_windows, run_changes, totals_line
+from tracewarden.streaming.pseudonymise import pseudonymise_spread, pseudonymise_stream
 from tracewarden.streaming.rehydrate import rehydrate_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +45,7 @@ CUSTOM_PATTERNS = [r"\bthe\b\s+\w+", r"[A-Z][a-z]+ing\b", "(unclosed"]
 REQUIRED_PATTERNS = [r"\d{3}", "leaked|said"]
 NOW = "2024-01-31 00:00:00"
 RETAINED = 20
+SLICES = 16
 PSEUDONYM_POLICY = {
     "rules": [
         {"id": "email", "pattern": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "replacement": "[EMAIL]"},
@@ -92,14 +97,69 @@ def snk_retention(spark, sf):
     return sessions.retained(_captures(spark, sf), RETAINED).select("capture_id", "file_session")
 
 
+@query
+def snk_table_retention(spark, sf):
+    """The same captures, stored by day and session; days with dropped sessions are rewritten in place."""
+    folder = _scratch(spark, "captures")
+    table = CaptureTable(spark, f"captures_{uuid.uuid4().hex}", folder, key="capture_id", buckets=8)
+    table.append(_captures(spark, sf))
+    table.retain(RETAINED)
+    return table.rows().select("capture_id", "file_session")
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures with all columns of the persisted record; the path carries their id."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return _raw_captures(spark, sf).withColumns(
+        {
+            "path": F.concat(F.lit("/v1/x/"), "capture_id"),
+            "target_url": null("string"),
+            "request_headers": F.create_map(F.lit("Cookie"), F.lit("a"), F.lit("accept"), F.lit("b")),
+            "request_bytes": F.octet_length("request_body").cast("long"),
+            "response_headers": F.create_map(F.lit("server"), F.lit("s")),
+            "response_bytes": F.octet_length("response_body").cast("long"),
+            **{t: null("long") for t in ("send_ms", "wait_ms", "receive_ms")},
+        }
+    )
+
+
+def _record_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "path",
+        "session_id",
+        F.get_json_object("request_body", "$.model").alias("model"),
+        F.array_join(F.map_keys("request_headers"), ",").alias("headers"),
+        "response_bytes",
+        "total_ms",
+        *digest("response_body"),
+    )
+
+
+@query
+def src_capture_files(spark, sf):
+    """Captures written as files of JSON lines and scanned again."""
+    folder = _scratch(spark, "capture-files")
+    capture_files.write_capture_json(_records(spark, sf), folder)
+    return _record_columns(capture_files.scan_captures(spark, folder, lines=True))
+
+
+@query
+def src_capture_stream(spark, sf):
+    """The same files, picked up by the live source and appended to a table."""
+    root = _scratch(spark, "capture-stream")
+    capture_files.write_capture_json(_records(spark, sf), f"{root}/in")
+    arriving = capture_files.stream_captures(spark, f"{root}/in", lines=True)
+    capture_files.start_capture_sink(arriving, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return _record_columns(spark.read.schema(arriving.schema).parquet(f"{root}/table"))
+
+
 @query
 def src_request_ingest(spark, sf):
     log = derived.access_log(spark, sf)
     return request_source.ingest_requests(log).select("event_id", "request_body", "request_bytes")
 
 
-@query
-def snk_capture_assembly(spark, sf):
+def _asked_and_answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     log = derived.access_log(spark, sf)
     n = F.col("event_id")
     asked = request_source.ingest_requests(log).select(
@@ -116,7 +176,10 @@ def snk_capture_assembly(spark, sf):
         F.when(n % 5 != 0, n + F.col("value")).alias("first_ms"),
         (n + F.col("value") * 3).alias("end_ms"),
     )
-    done = request_source.assemble_captures(asked, answered)
+    return asked, answered
+
+
+def _capture_columns(done: DataFrame) -> DataFrame:
     names = lambda c: F.array_join(F.array_sort(F.map_keys(c)), ",")
     return done.select(
         "request_id",
@@ -130,6 +193,51 @@ def snk_capture_assembly(spark, sf):
     )
 
 
+@query
+def snk_capture_assembly(spark, sf):
+    return _capture_columns(request_source.assemble_captures(*_asked_and_answered(spark, sf)))
+
+
+@query
+def snk_capture_assembly_stream(spark, sf):
+    """The same captures from two streams that arrive in disorder; a request in 11 gets no response."""
+    # A stream's first watermark is the epoch, and the log begins there: all of it a second later.
+    later = lambda df, *names: df.withColumns({c: F.col(c) + 1000.0 for c in names})
+    asked, answered = _asked_and_answered(spark, sf)
+    asked, answered = later(asked, "start_ms", "sent_ms"), later(answered, "first_ms", "end_ms")
+    rows = asked.agg(F.max("start_ms")).first()[0] or 0.0
+    turns = 4
+    # Requests and responses come in four turns, each one turn late by its own draw.
+    slot = lambda at, salt: F.least(
+        F.lit(turns - 1),
+        F.greatest(F.lit(0), F.floor(F.col(at) * turns / (rows + 1)).cast("int"))
+        + F.pmod(F.xxhash64("request_id", F.lit(salt)), F.lit(2)).cast("int"),
+    )
+    end = 10.0 * rows + 864e5
+
+    def beats(df: DataFrame, at: str, first: int) -> DataFrame:
+        set_ = {at: F.lit(end) * F.col("id"), "request_id": F.lit(-first) - F.col("id")}
+        columns = [set_.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema]
+        return spark.range(1, 3).select(*columns, (F.lit(turns - 1) + F.col("id")).cast("int").alias("_turn"))
+
+    # Both streams end with two late beats, which let the watermarks pass all that is open.
+    tables = {
+        "requests": asked.withColumn("_turn", slot("start_ms", "q")).union(beats(asked, "start_ms", 0)),
+        "responses": answered.filter("request_id % 11 <> 3")
+        .withColumn("_turn", slot("end_ms", "r"))
+        .union(beats(answered, "end_ms", 10)),
+    }
+    lateness = f"{int(4 * rows / turns) + 60_000} milliseconds"
+    done = _in_turns(
+        spark,
+        tables,
+        turns + 2,
+        lambda s: assemble_stream(s["requests"], s["responses"], lateness=lateness, patience=lateness),
+        "assembly",
+    )
+    return _capture_columns(done.filter("request_id >= 0"))
+
+
 # --- headers and routing ------------------------------------------------------
 
 
@@ -228,6 +336,26 @@ def response_ids(spark, sf):
     return usage.response_index(_raw_captures(spark, sf)).select("capture_id", "response_id")
 
 
+@query
+def response_ids_once(spark, sf):
+    """Response ids of a stream in which every third conversation is sent twice; each id once, all without one."""
+    calls = _raw_captures(spark, sf).select(
+        "capture_id", "response_body", F.timestamp_millis("written_ms").alias("at"), F.col("conv_id").alias("n")
+    )
+    most = calls.agg(F.max("n")).first()[0] or 0
+    turn = F.floor(F.col("n") * 3 / (most + 1)).cast("int")
+    again = calls.filter("n % 3 = 0").withColumn("_turn", turn + 1)
+    sent = calls.withColumn("_turn", turn).union(again)
+    once = _in_turns(
+        spark,
+        {"captures": sent.drop("n")},
+        4,
+        lambda s: first_responses(s["captures"], "capture_id", "at", within="12 hours"),
+        "responses",
+    )
+    return once.groupBy("response_id").agg(F.count("*").alias("captures"))
+
+
 @query
 def context_limit(spark, sf):
     ledger = usage.usage_ledger(_raw_captures(spark, sf).select("capture_id", "response_body"))
@@ -243,6 +371,15 @@ def cost_ledger(spark, sf):
     return usage.cost_ledger(ledger).select("capture_id", "model_key", "cost_usd")
 
 
+@query
+def models_by_table(spark, sf):
+    """Requested models resolved against a price table of the caller's."""
+    asked = _raw_captures(spark, sf).select(F.get_json_object("request_body", "$.model").alias("model"))
+    return usage.resolve_models(asked, usage.model_table(spark)).select(
+        "model", F.col("key").alias("model_key"), F.coalesce("context_limit", F.lit(0)).alias("context_limit")
+    )
+
+
 @query
 def known_models(spark, sf):
     requested = _raw_captures(spark, sf).select(
@@ -606,7 +743,7 @@ def redact_then_log(spark, sf):
             "response_headers": F.create_map(F.lit("server"), F.lit("s"), F.lit("SET-COOKIE"), F.lit("c")),
         }
     )
-    policy = redact.Policy(redact.PRESETS["strict"][20:21])
+    policy = redact.preset("strict")
     logged = transforms.apply_chain(calls, transforms.redact_then_log(policy))
     return logged.select(
         "capture_id",
@@ -640,6 +777,44 @@ def response_chain(spark, sf):
     )
 
 
+#: The steps of ``RESPONSE_STEPS`` for live streams.
+STREAM_STEPS = (
+    StreamStep("rename", line=RESPONSE_STEPS[0].line, start=0, see=lambda n, line: n + 1, end=lambda n: f"event: lines {n}"),
+    StreamStep("mark", line=RESPONSE_STEPS[1].line),
+)
+
+
+@query
+def response_chain_stream(spark, sf):
+    """Streamed responses as chunks of many sizes, out of order, through two chained steps."""
+    calls = _raw_captures(spark, sf).filter("response_is_streaming")
+    body, size = F.col("response_body"), F.lit(20) + F.col("capture_id") % 300
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(body) - 1) / size)).cast("int"))
+    pieces = F.transform(
+        cuts, lambda i: F.struct(F.lit("chunk").alias("kind"), F.substr(body, (i * size + 1).cast("int"), size.cast("int")).alias("payload"))
+    )
+    end = F.struct(F.lit("end").alias("kind"), F.lit(None).cast("string").alias("payload"))
+    chunks = calls.select(
+        F.col("capture_id").cast("string").alias("stream_id"),
+        F.posexplode(F.array_append(pieces, end)).alias("seq", "p"),
+    ).select(
+        "stream_id",
+        F.col("seq").cast("long").alias("seq"),
+        "p.kind",
+        "p.payload",
+        F.pmod(F.xxhash64("stream_id", "seq"), F.lit(3)).cast("int").alias("_turn"),
+    )
+    lines = _with_rocksdb(
+        spark, lambda: _in_turns(spark, {"chunks": chunks}, 3, lambda s: chain_lines(s["chunks"], STREAM_STEPS), "chain")
+    )
+    done = chain_bodies(lines, STREAM_STEPS)
+    return done.select(
+        F.col("stream_id").cast("long").alias("capture_id"),
+        F.array_join("failed_steps", ",").alias("failed_steps"),
+        *digest("body"),
+    )
+
+
 @query
 def capture_observers(spark, sf):
     """What observers of all captures saw while these passed by."""
@@ -791,6 +966,36 @@ def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     )
 
 
+def _in_turns(
+    spark: SparkSession, tables: dict[str, DataFrame], turns: int, build: Callable[[dict[str, DataFrame]], DataFrame], name: str
+) -> DataFrame:
+    """The output of one stream over tables that arrive in ``turns``, by their column ``_turn``.
+
+    Each turn starts the query anew from its checkpoint, so that state outlives the process.
+    """
+    root = _scratch(spark, name)
+    for kind, df in tables.items():
+        df.write.partitionBy("_turn").parquet(f"{root}/all/{kind}")
+    out = None
+    for i in range(turns):
+        streams = {}
+        for kind, df in tables.items():
+            schema = df.drop("_turn").schema
+            mine = spark.read.schema(df.schema).parquet(f"{root}/all/{kind}").filter(F.col("_turn") == i)
+            mine.drop("_turn").write.mode("append").parquet(f"{root}/{kind}")
+            streams[kind] = spark.readStream.schema(schema).parquet(f"{root}/{kind}")
+        out = build(streams)
+        running = (
+            out.writeStream.format("parquet")
+            .option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        running.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 def _reply_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Captures made row by row from assistant turns as they arrive."""
     turns = _table_stream(spark, sf, "conversations").filter("role = 'assistant'")
@@ -816,8 +1021,35 @@ def _reply_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def monitor_stream(spark, sf):
     """Running totals over arriving captures, summed to the one-line report."""
-    ledger = live_ledger(_reply_stream(spark, sf), ["capture_id"])
-    return totals_line(run_available(live_totals(ledger), _scratch(spark, "totals")))
+    totals = live_totals(live_ledger(_reply_stream(spark, sf), ["capture_id"]))
+    table = ChangeTable(_scratch(spark, "totals"), ["session_id"], totals.schema)
+    run_changes(totals, table)
+    return totals_line(table.current(spark))
+
+
+@query
+def monitor_windows(spark, sf):
+    """Totals per source and six hours of event time, each window written once, when it is over."""
+    calls = _raw_captures(spark, sf).withColumn("at", F.timestamp_millis("written_ms"))
+    most = calls.agg(F.max("written_ms")).first()[0] or 0
+    first = 1735689600000
+    span = max(most - first, 1)
+    turn = F.floor((F.col("written_ms") - first) * 3 / (span + 1)).cast("int")
+    rows = calls.withColumn("_turn", turn)
+    # A last capture long after all others lets the watermark pass them.
+    beats = (
+        rows.limit(1)
+        .withColumns({"at": F.timestamp_millis(F.lit(most + 30 * 86_400_000)), "source": F.lit("beat"), "_turn": F.lit(3)})
+        .select(*rows.columns)
+    )
+    done = _in_turns(
+        spark,
+        {"captures": rows.union(beats)},
+        4,
+        lambda s: live_windows(live_ledger(s["captures"], ["capture_id", "at"]), "at", "6 hours"),
+        "windows",
+    )
+    return done.select(F.unix_seconds("window_start").alias("window_start"), "source", "requests", "tokens_in", "tokens_out", "cost_usd")
 
 
 @query
@@ -845,6 +1077,21 @@ def pseudonymise_stream_sessions(spark, sf):
     )
 
 
+@query
+def pseudonymise_stream_spread(spark, sf):
+    """Pseudonymised turns of a stream, all in one session without a name, in slices of its dictionary."""
+    turns = _table_stream(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.lit("").alias("session_id"), "text"
+    )
+    done = _with_rocksdb(
+        spark,
+        lambda: _collected(
+            spark, pseudonymise_spread(turns, redact.compile_policy(PSEUDONYM_POLICY), "row_id", slices=SLICES), "spread"
+        ),
+    )
+    return done.select(F.col("row_key").alias("row_id"), *digest("pseudonymised"))
+
+
 def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
     """Run a stream whose state needs the RocksDB store."""
     key = "spark.sql.streaming.stateStore.providerClass"

@@ -26,24 +26,29 @@ def _flat(raw: DataFrame) -> DataFrame:
     ).withColumn("file_session", file_session(F.col("file")))
 
 
-def scan_captures(spark: SparkSession, directory: str) -> DataFrame:
-    """All readable capture files of a directory; unreadable ones are skipped."""
+def scan_captures(spark: SparkSession, directory: str, lines: bool = False) -> DataFrame:
+    """All readable capture files of a directory; unreadable ones are skipped.
+
+    A file holds one capture, or with ``lines`` one per line, as ``write_capture_json`` writes them.
+    """
     raw = (
         spark.read.schema(CAPTURE)
         .option("pathGlobFilter", "*.json")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "DROPMALFORMED")
         .json(directory)
     )
     return _flat(raw)
 
 
-def stream_captures(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
+def stream_captures(
+    spark: SparkSession, directory: str, files_per_trigger: int = 1000, lines: bool = False
+) -> DataFrame:
     """New capture files as they appear; the file source remembers what it has read."""
     raw = (
         spark.readStream.schema(CAPTURE)
         .option("pathGlobFilter", "*.json")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "DROPMALFORMED")
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(directory)

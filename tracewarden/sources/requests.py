@@ -38,7 +38,11 @@ def assemble_captures(requests: DataFrame, responses: DataFrame, key: str = "req
 
     Request ids are unique on both sides, so the join shuffles evenly.
     """
-    joined = requests.join(responses, key)
+    return captures_of(requests.join(responses, key))
+
+
+def captures_of(joined: DataFrame) -> DataFrame:
+    """Captures from rows that hold a request and its response, or nulls for one that never came."""
     spent = timings(F.col("start_ms"), F.col("sent_ms"), F.col("first_ms"), F.col("end_ms"))
     return (
         joined.withColumn("_t", spent)

@@ -1,8 +1,14 @@
-"""Parquet tables for text jobs."""
+"""Parquet tables: texts, and captures laid out by day and session."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewarden.operators.sessions import newest_sessions
+from tracewarden.session import checkpoint_root
 
 #: Session setting: tables are dealt to so many partitions when they are read. Unset, files decide.
 #: For small tables in one file, whose rules cost far more time than their reading.
@@ -13,3 +19,96 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     parts = spark.conf.get(READ_PARTITIONS, None)
     return df.repartition(int(parts)) if parts else df
+
+
+# --- captures -----------------------------------------------------------------
+
+
+def bucket_key(session: Column, key: Column) -> Column:
+    """What captures are bucketed by: their session, or their own key where there is none.
+
+    Captures without a session would all lie in one bucket.
+    """
+    return F.coalesce(F.nullif(session, F.lit("")), F.concat(F.lit("-"), key.cast("string")))
+
+
+class CaptureTable:
+    """Captures in a catalog table, partitioned by ``day`` and bucketed by ``bucket_key``.
+
+    Reports on a span of time read only its days, look-ups of a session only its bucket, and
+    tables that are bucketed alike join without a shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, folder: str, key: str = "file", buckets: int = 64):
+        self.spark, self.name, self.folder, self.key, self.buckets = spark, name, folder, key, buckets
+
+    def append(self, captures: DataFrame) -> None:
+        """Adds captures; a day and bucket get one file per task that has rows of them."""
+        rows = captures.withColumns(
+            {
+                "bucket_key": bucket_key(F.col("session_id"), F.col(self.key)),
+                "day": F.to_date(F.to_timestamp("ts")),
+            }
+        )
+        (
+            rows.write.mode("append")
+            .format("parquet")
+            .partitionBy("day")
+            .bucketBy(self.buckets, "bucket_key")
+            .sortBy("bucket_key")
+            .option("path", self.folder)
+            .saveAsTable(self.name)
+        )
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def since(self, moment: str) -> DataFrame:
+        """Captures from a moment on; earlier days are not read."""
+        start = F.to_timestamp(F.lit(moment))
+        return self.rows().filter((F.col("day") >= F.to_date(start)) & (F.to_timestamp("ts") >= start))
+
+    def of_session(self, session: str) -> DataFrame:
+        """Captures of one session; other buckets are not read."""
+        return self.rows().filter(F.col("bucket_key") == session)
+
+    def retain(self, max_sessions: int) -> list[str]:
+        """Drops all but the newest sessions, and returns the days that were written anew.
+
+        Only days that hold a dropped capture are rewritten, each one swapped in as a whole when
+        its new files are complete; the files of all other days stay as they are. What comes to
+        the driver is a row per such day.
+        """
+        if max_sessions <= 0:
+            return []
+        kept = newest_sessions(self.rows(), max_sessions).select(F.col("file_session").alias("_kept"))
+        judged = self.rows().join(kept, F.col("file_session") == F.col("_kept"), "left").withColumn(
+            "_stays", F.col("file_session").isNull() | F.col("_kept").isNotNull()
+        )
+        days = (
+            judged.groupBy("day")
+            .agg(F.bool_and("_stays").alias("whole"), F.bool_or("_stays").alias("some"))
+            .filter("NOT whole")
+            .orderBy("day")
+            .collect()
+        )
+        if not days:
+            return []
+        touched = [r["day"] for r in days]
+        # The table cannot be read while it is written: what stays is written aside first.
+        aside = f"{checkpoint_root(self.spark).rstrip('/')}/retained-{uuid.uuid4().hex}"
+        columns = self.rows().columns
+        judged.filter("_stays").filter(F.col("day").isin(touched)).select(*columns).write.parquet(aside)
+        stays = self.spark.read.schema(self.rows().schema).parquet(aside)
+        view = f"stays_{uuid.uuid4().hex}"
+        stays.createOrReplaceTempView(view)
+        named = ", ".join(f"`{c}`" for c in columns if c != "day")
+        for r in days:
+            # Each day by its name: no setting of the session can widen what is overwritten.
+            day = f"day = DATE'{r['day'].isoformat()}'"
+            self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION ({day}) SELECT {named} FROM {view} WHERE {day}")
+            if not r["some"]:
+                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({day})")
+        self.spark.catalog.dropTempView(view)
+        self.spark.catalog.refreshTable(self.name)
+        return [d.isoformat() for d in touched]

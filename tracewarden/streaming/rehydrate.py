@@ -21,7 +21,6 @@ OUTPUT = "stream_id string, seq long, text string"
 INPUT_COLUMNS = ("stream_id", "seq", "kind", "placeholder", "payload")
 
 _TOKEN = re.compile(r"\[[A-Z0-9_]+_[0-9]+\]")
-_UNFINISHED = re.compile(r"\[[^\[\]]*\Z")
 # An event qualifies through these marks, tried in order, and carries its text in the field.
 _CARRIERS = (
     (("text_delta",), "text"),
@@ -49,6 +48,28 @@ def _text_span(line: str) -> tuple[int, int, str] | None:
     return None
 
 
+class Held:
+    """Lines whose text may still grow into a placeholder, each read once."""
+
+    def __init__(self, lines: list[str]) -> None:
+        self.clear()
+        for line in lines:
+            self.add(line, _text_span(line))
+
+    def clear(self) -> None:
+        self.lines: list[str] = []
+        self.spans: list[tuple[int, int, str] | None] = []
+        self.unfinished = False
+
+    def add(self, line: str, span: tuple[int, int, str] | None) -> None:
+        self.lines.append(line)
+        self.spans.append(span)
+        if span:
+            opened, closed = span[2].rfind("["), span[2].rfind("]")
+            if max(opened, closed) >= 0:
+                self.unfinished = opened > closed
+
+
 class ChunkRehydrator(StatefulProcessor):
     """Rows of kind ``name`` fill the dictionary, ``chunk`` rows carry text, ``end`` flushes."""
 
@@ -63,32 +84,30 @@ class ChunkRehydrator(StatefulProcessor):
 
         return _TOKEN.sub(original, text)
 
-    def _settle(self, held: list[str], out: list[str]) -> None:
-        spans = [_text_span(line) for line in held]
-        joint = "".join(s[2] for s in spans if s)
+    def _settle(self, held: Held, out: list[str]) -> None:
+        joint = "".join(s[2] for s in held.spans if s)
         restored = self._restore(joint)
         pending = json.dumps(restored, ensure_ascii=False)
-        for line, span in zip(held, spans):
+        for line, span in zip(held.lines, held.spans, strict=True):
             if span and restored != joint:
                 line = line[: span[0]] + pending + line[span[1] :]
                 pending = '""'
             out.append(line)
         held.clear()
 
-    def _take(self, line: str, held: list[str], out: list[str]) -> None:
+    def _take(self, line: str, held: Held, out: list[str]) -> None:
         span = _text_span(line)
         if span is None and line.strip():
             self._settle(held, out)
             out.append(line)
             return
-        held.append(line)
-        joint = "".join(s[2] for s in map(_text_span, held) if s)
-        if not _UNFINISHED.search(joint):
+        held.add(line, span)
+        if not held.unfinished:
             self._settle(held, out)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         partial, held_json = self._open.get() if self._open.exists() else ("", "[]")
-        held = json.loads(held_json)
+        held = Held(json.loads(held_json))
         out: list[str] = []
         last = 0
         # A micro-batch holds the few chunks that one stream sent since the last one.
@@ -110,7 +129,7 @@ class ChunkRehydrator(StatefulProcessor):
                     self._settle(held, out)
                     out.append("")
                 partial = ""
-        self._open.update((partial, json.dumps(held)))
+        self._open.update((partial, json.dumps(held.lines)))
         if out:
             yield pd.DataFrame({"stream_id": [key[0]], "seq": [last], "text": ["\n".join(out)]})
 
