@@ -48,3 +48,30 @@ def test_shards_of_rows(edge_documents):
 def test_empty(no_documents):
     assert packing.shard_listing(no_documents, 3).collect() == []
     assert packing.with_shards(no_documents, 3).collect() == []
+
+
+def test_each_item_goes_where_the_product_with_the_residual_is_highest():
+    """The placement against a plain loop, up to what floats cannot tell."""
+    rng = np.random.default_rng(3)
+    for shards in (1, 3, 7):
+        weights = rng.pareto(1.5, (60, 3)) + 0.01
+        weights[10:14] = weights[9]
+        where = packing.place(weights, shards)
+        capacity = weights.sum(axis=0) / shards
+        share = weights / capacity
+        residual = [[1.0] * 3 for _ in range(shards)]
+        for i in sorted(range(60), key=lambda i: (-max(share[i]), i)):
+            joint = min(1.0, 8 * max(share[i])) / 2
+            look = [share[i][0], share[i][1] * joint, share[i][2] * joint]
+            fits = [sum(a * b for a, b in zip(left, look, strict=True)) for left in residual]
+            assert fits[where[i]] >= max(fits) - 1e-9
+            residual[where[i]] = [a - b for a, b in zip(residual[where[i]], share[i], strict=True)]
+
+
+def test_groups_up_to_half_a_shard_stay_whole(spark):
+    """All rows weigh the same, so a shard's capacity is that of 100 rows."""
+    for copies, split in ((50, False), (52, True)):
+        rows = [(i, "same text..") for i in range(copies)] + [(i, f"text {i:06d}") for i in range(copies, 400)]
+        got = packing.with_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+        shards = {r.shard for r in got.filter("text = 'same text..'").collect()}
+        assert (len(shards) > 1) == split

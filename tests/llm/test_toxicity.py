@@ -102,3 +102,60 @@ def test_edges(spark, edge_documents, no_documents):
     assert toxicity.toxicity(no_documents, labels).collect() == []
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(edge_documents, none).collect()} == {0}
+
+
+def test_forward_pass_equals_a_plain_loop():
+    """One window, word by word, in both directions, with attention over the words that are there."""
+    from math import exp, tanh
+
+    rng = np.random.default_rng(4)
+    words = [b"abc", b"hello", b"xyzzyq"]
+    grams = toxicity.gram_table(words)
+    spots = np.zeros(toxicity.BUCKETS, np.int32)
+    used = np.unique(grams)
+    spots[used] = np.arange(len(used))
+    grams = spots[grams]
+    net = toxicity.Network.fresh({w: i + 1 for i, w in enumerate(words)}, spots, rng)
+    w = {k: v.astype(np.float64).tolist() for k, v in net.weights.items()}
+    sigmoid = lambda x: 1 / (1 + exp(-x))
+    times = lambda v, m: [sum(a * row[j] for a, row in zip(v, m, strict=True)) for j in range(len(m[0]))]
+    inputs = []
+    for i in range(3):
+        chars = [tanh(sum(w["gram"][g][j] for g in grams[i])) for j in range(toxicity.CHAR_DIM)]
+        inputs.append(w["word"][i + 1] + chars)
+
+    def direction(seq, side):
+        n, h, out = toxicity.HIDDEN, [0.0] * toxicity.HIDDEN, []
+        for x in seq:
+            p = [a + b for a, b in zip(times(x, w[f"in_{side}"]), w[f"bias_{side}"], strict=True)]
+            q = times(h, w[f"own_{side}"])
+            z = [sigmoid(p[j] + q[j]) for j in range(n)]
+            r = [sigmoid(p[n + j] + q[n + j]) for j in range(n)]
+            new = [tanh(p[2 * n + j] + r[j] * q[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    windows, expected = [], []
+    for size in (1, 5, toxicity.WINDOW):
+        ids = rng.integers(0, 3, size).tolist()
+        seq = [inputs[i] for i in ids]
+        both = [a + b for a, b in zip(direction(seq, "ahead"), direction(seq[::-1], "back")[::-1], strict=True)]
+        scores = [sum(tanh(s) * q for s, q in zip(times(h, w["attend"]), w["query"], strict=True)) for h in both]
+        total = sum(map(exp, scores))
+        context = [sum(exp(s) / total * h[j] for s, h in zip(scores, both, strict=True)) for j in range(2 * toxicity.HIDDEN)]
+        expected.append(sum(c * o for c, o in zip(context, w["out"], strict=True)) + w["bias"][0])
+        windows.append(ids + [-1] * (toxicity.WINDOW - size))
+    table = net.projected(net.inputs(np.arange(1, 4), grams))
+    assert net.run(table, np.array(windows)) == pytest.approx(expected, abs=1e-4)
+
+
+def test_the_cache_of_words_changes_no_score(monkeypatch):
+    texts = [t.encode() for _, t, _ in made_up(300)]
+    labels = [y for _, _, y in made_up(300)]
+    net = toxicity.train(texts, labels, turns=1)
+    whole = toxicity.Scorer(net).scores(texts)
+    monkeypatch.setattr(toxicity, "CACHE", 40)
+    scorer = toxicity.Scorer(net)
+    parts = np.concatenate([scorer.scores(texts[i : i + 7]) for i in range(0, 300, 7)])
+    assert parts == pytest.approx(whole, abs=1e-5)
