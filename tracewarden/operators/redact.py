@@ -34,6 +34,7 @@ from tracewarden.functions.text import (
 from tracewarden.operators.findings import suppressed
 from tracewarden.rules.base import Rule
 from tracewarden.rules.redaction import PRESETS
+from tracewarden.session import gateway
 
 HITS = "array<struct<rule_ord:int,rule:string,hit_ord:int,original:string>>"
 
@@ -362,19 +363,15 @@ def _hit_step_column(
     return F.transform(F.col(texts), _hit_step(policy, rule, ord_, token))
 
 
-def _jvm(df: DataFrame) -> int:
-    return id(df.sparkSession.sparkContext._gateway)
-
-
 def _run_rules(df: DataFrame, policy: Policy, texts: str) -> DataFrame:
     for rule in policy.rules:
-        df = df.withColumn(texts, _step_column(texts, policy.exceptions(), rule, _jvm(df)))
+        df = df.withColumn(texts, _step_column(texts, policy.exceptions(), rule, gateway(df)))
     return df
 
 
 def _run_rules_with_hits(df: DataFrame, policy: Policy, texts: str, token: Namer | None) -> DataFrame:
     for ord_, rule in enumerate(policy.rules):
-        step = _hit_step_column(texts, policy.exceptions(), rule, ord_, token, _jvm(df))
+        step = _hit_step_column(texts, policy.exceptions(), rule, ord_, token, gateway(df))
         df = df.withColumn(texts, step)
     return df
 

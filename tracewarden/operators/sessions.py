@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.jsonpath import is_array, is_object, items, text
 from tracewarden.functions.text import let, text_tokens, to_fixed, unroll_items
 from tracewarden.operators.usage import cost_ledger, usage_ledger
+from tracewarden.session import gateway
 
 
 def _filled(value: Column, fallback: str = "?") -> Column:
@@ -303,6 +306,16 @@ def cost_display(cost: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=4)
+def _displays(jvm: int) -> dict[str, Column]:
+    """The display columns of a ledger. Building them costs a thousand calls into the JVM, once."""
+    return {
+        "latency": latency_display(F.coalesce(F.col("total_ms"), F.lit(0))),
+        "tokens": token_display(F.col("input_tokens"), F.col("output_tokens")),
+        "cost": cost_display(F.col("cost_usd")),
+    }
+
+
 def request_ledger(captures: DataFrame, keys: list[str]) -> DataFrame:
     """One display row per capture. The model is the requested one, usage is the response's."""
     used = usage_ledger(with_request(captures))
@@ -310,7 +323,7 @@ def request_ledger(captures: DataFrame, keys: list[str]) -> DataFrame:
         "model", F.coalesce(text(F.col("_request"), "$.model"), F.lit("?"))
     )
     priced = cost_ledger(named)
-    total_ms = F.coalesce(F.col("total_ms"), F.lit(0))
+    shown = _displays(gateway(captures))
     return priced.select(
         *keys,
         "session_id",
@@ -318,12 +331,12 @@ def request_ledger(captures: DataFrame, keys: list[str]) -> DataFrame:
         _filled(F.col("source")).alias("source"),
         "model",
         F.col("response_status").alias("status"),
-        latency_display(total_ms).alias("latency"),
+        shown["latency"].alias("latency"),
         F.col("input_tokens").alias("tokens_in"),
         F.col("output_tokens").alias("tokens_out"),
-        token_display(F.col("input_tokens"), F.col("output_tokens")).alias("tokens"),
+        shown["tokens"].alias("tokens"),
         "cost_usd",
-        cost_display(F.col("cost_usd")).alias("cost"),
+        shown["cost"].alias("cost"),
     )
 
 

@@ -8,6 +8,7 @@ field, so no body is exploded or shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tracewarden.functions.jsonpath import is_object, node, text, truthy
 from tracewarden.functions.sse import events, has_data_lines
 from tracewarden.functions.text import let, unroll
 from tracewarden.rules.models import CACHE_SHARES, DEFAULT_CONTEXT_LIMIT, MODELS
+from tracewarden.session import gateway
 
 COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "thinking_tokens")
 _TYPES = {**{c: "double" for c in COUNTS}, "model": "string", "finish_reasons": "array<string>"}
@@ -398,25 +400,29 @@ def cost(key: Column, input_price: Column, output_price: Column, counts: dict[st
     )
 
 
-def cost_ledger(df: DataFrame, model: str = "model") -> DataFrame:
-    """Adds model_key, context_limit and cost_usd to a usage ledger."""
-    placed = df.withColumn("_place", model_place(F.col(model)))
+@lru_cache(maxsize=16)
+def _priced(model: str, jvm: int) -> tuple[Column, dict[str, Column], Column]:
+    """The model's place, what the price list says of it, and the cost; kept, as they take long to build."""
     place = F.col("_place")
     limit = F.coalesce(
         model_field(place, 1).cast("long"), F.lit(DEFAULT_CONTEXT_LIMIT).cast("long")
     )
-    keyed = placed.withColumns(
-        {
-            "model_key": model_field(place, 0),
-            "context_limit": F.when(F.col(model).isNotNull(), limit),
-            "_in": model_field(place, 2),
-            "_out": model_field(place, 3),
-        }
-    )
+    fields = {
+        "model_key": model_field(place, 0),
+        "context_limit": F.when(F.col(model).isNotNull(), limit),
+        "_in": model_field(place, 2),
+        "_out": model_field(place, 3),
+    }
     counts = {c: F.col(c) for c in COUNTS}
-    return keyed.withColumn(
-        "cost_usd", cost(F.col("model_key"), F.col("_in"), F.col("_out"), counts)
-    ).drop("_in", "_out", "_place")
+    usd = cost(F.col("model_key"), F.col("_in"), F.col("_out"), counts)
+    return model_place(F.col(model)), fields, usd
+
+
+def cost_ledger(df: DataFrame, model: str = "model") -> DataFrame:
+    """Adds model_key, context_limit and cost_usd to a usage ledger."""
+    place, fields, usd = _priced(model, gateway(df))
+    keyed = df.withColumn("_place", place).withColumns(fields)
+    return keyed.withColumn("cost_usd", usd).drop("_in", "_out", "_place")
 
 
 def known_models(df: DataFrame, model: str = "model") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -26,6 +26,11 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
     return spark
 
 
+def gateway(df: DataFrame) -> int:
+    """Tells apart the JVMs of a process that restarts Spark, for Columns that are kept and shared."""
+    return id(df.sparkSession.sparkContext._gateway)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's shared one, a local one only when unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
