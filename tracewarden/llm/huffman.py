@@ -40,8 +40,8 @@ RUN = 1 << 18
 #: A block is closed once it holds so many ids: some 200 KB, which the JVM moves about with ease.
 BLOCK = 1 << 17
 END_ID = 0
-#: Words that a task keeps with their ids before it starts anew: some 40 MB.
-CACHE = 200_000
+#: Words that a task keeps with their ids before it starts anew: some 100 MB.
+CACHE = 500_000
 #: Signs that are cut into words at a time; a sign takes a dozen numbers of eight bytes.
 CHARS = 150_000
 
