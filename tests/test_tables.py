@@ -95,6 +95,51 @@ def test_a_day_without_any_kept_session_goes(spark, tmp_path):
     spark.sql(f"DROP TABLE {table.name}")
 
 
+def _two_sessions_a_day(spark, folder, days):
+    """A kept and a dropped session on each of so many days, and one day with the dropped one alone."""
+    rows = spark.range(2 * days + 1).select(
+        F.col("id").alias("capture_id"),
+        F.when(F.col("id") % 2 == 0, "aaaaaaaa").otherwise("bbbbbbbb").alias("session_id"),
+        F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), F.floor(F.col("id") / 2).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'").alias("ts"),
+    )
+    stamp = F.when(F.col("session_id") == "aaaaaaaa", "1735689600000").otherwise("1735789600000")
+    rows = rows.withColumns({"file_session": F.col("session_id"), "file": F.concat(F.lit("s_"), "session_id", F.lit("_"), stamp, F.lit("-000000.json"))})
+    table = CaptureTable(spark, f"captures_{uuid.uuid4().hex}", folder, buckets=2)
+    table.append(rows)
+    return table
+
+
+def test_retention_writes_all_days_in_one_go(spark, tmp_path):
+    """The number of jobs does not follow the number of days."""
+    jobs = []
+    for days in (3, 40):
+        table = _two_sessions_a_day(spark, str(tmp_path / str(days)), days)
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "retention")
+        try:
+            assert len(table.retain(1)) == days + 1
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert sorted(r.capture_id for r in table.rows().collect()) == list(range(1, 2 * days, 2))
+        assert len(glob.glob(f"{table.folder}/day=*")) == days
+        spark.sql(f"DROP TABLE {table.name}")
+    # Listing many folders is a job or two of its own.
+    assert jobs[1] <= jobs[0] + 8
+
+
+def test_retention_of_captures_without_a_day(spark, tmp_path):
+    schema = "capture_id long, file string, session_id string, file_session string, ts string"
+    old, new = ("s_aaaaaaaa_1735689600000-000000.json", "aaaaaaaa", "aaaaaaaa"), ("s_bbbbbbbb_1735789600000-000001.json", "bbbbbbbb", "bbbbbbbb")
+    for extra, left in (([], [2]), ([(3, *new, None)], [2, 3])):
+        rows = [(1, *old, None), (2, *new, "2025-01-02T00:00:00Z"), *extra]
+        table = CaptureTable(spark, f"captures_{uuid.uuid4().hex}", str(tmp_path / f"t{len(rows)}"), buckets=2)
+        table.append(spark.createDataFrame(rows, schema))
+        assert table.retain(1) == [None]
+        assert sorted(r.capture_id for r in table.rows().collect()) == left
+        spark.sql(f"DROP TABLE {table.name}")
+
+
 # --- folds --------------------------------------------------------------------
 
 

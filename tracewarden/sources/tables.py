@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,16 +73,23 @@ class CaptureTable:
         """Captures of one session; other buckets are not read."""
         return self.rows().filter(F.col("bucket_key") == session)
 
-    def retain(self, max_sessions: int) -> list[str]:
+    def retain(self, max_sessions: int) -> list[str | None]:
         """Drops all but the newest sessions, and returns the days that were written anew.
 
-        Only days that hold a dropped capture are rewritten, each one swapped in as a whole when
-        its new files are complete; the files of all other days stay as they are. What comes to
-        the driver is a row per such day.
+        Only days that hold a dropped capture are rewritten, all in one write; each one is swapped
+        in as a whole when the new files are complete, and the files of all other days stay as
+        they are. What comes to the driver is a row per such day. The day of captures without a
+        time is null.
         """
         if max_sessions <= 0:
             return []
-        kept = newest_sessions(self.rows(), max_sessions).select(F.col("file_session").alias("_kept"))
+        kept = newest_sessions(self.rows(), max_sessions).select(F.col("file_session").alias("_kept")).persist()
+        try:
+            return self._retain(kept)
+        finally:
+            kept.unpersist()
+
+    def _retain(self, kept: DataFrame) -> list[str | None]:
         judged = self.rows().join(kept, F.col("file_session") == F.col("_kept"), "left").withColumn(
             "_stays", F.col("file_session").isNull() | F.col("_kept").isNotNull()
         )
@@ -94,21 +102,43 @@ class CaptureTable:
         )
         if not days:
             return []
-        touched = [r["day"] for r in days]
+        partial = [r["day"] for r in days if r["some"]]
+        if partial:
+            self._rewrite(judged.filter("_stays").filter(_on_days(partial)))
+        self._drop([r["day"] for r in days if not r["some"]])
+        self.spark.catalog.refreshTable(self.name)
+        return [_iso(r["day"]) for r in days]
+
+    def _rewrite(self, stays: DataFrame) -> None:
+        """Swaps in the days of these rows."""
         # The table cannot be read while it is written: what stays is written aside first.
         aside = f"{checkpoint_root(self.spark).rstrip('/')}/retained-{uuid.uuid4().hex}"
-        columns = self.rows().columns
-        judged.filter("_stays").filter(F.col("day").isin(touched)).select(*columns).write.parquet(aside)
-        stays = self.spark.read.schema(self.rows().schema).parquet(aside)
-        view = f"stays_{uuid.uuid4().hex}"
-        stays.createOrReplaceTempView(view)
-        named = ", ".join(f"`{c}`" for c in columns if c != "day")
-        for r in days:
-            # Each day by its name: no setting of the session can widen what is overwritten.
-            day = f"day = DATE'{r['day'].isoformat()}'"
-            self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION ({day}) SELECT {named} FROM {view} WHERE {day}")
-            if not r["some"]:
-                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({day})")
-        self.spark.catalog.dropTempView(view)
-        self.spark.catalog.refreshTable(self.name)
-        return [d.isoformat() for d in touched]
+        layout = self.rows().schema
+        stays.select(*layout.names).write.parquet(aside)
+        # A session of its own: no setting of another one can widen what is overwritten.
+        own = self.spark.newSession()
+        own.catalog.setCurrentDatabase(self.spark.catalog.currentDatabase())
+        own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        own.read.schema(layout).parquet(aside).write.mode("overwrite").insertInto(self.name)
+
+    def _drop(self, days: list) -> None:
+        """Drops whole days; the table is external, so their files do not go by themselves."""
+        for i in range(0, len(days), _DROPPED_AT_ONCE):
+            named = [f"PARTITION (day = {f"DATE'{_iso(d)}'" if d else 'null'})" for d in days[i : i + _DROPPED_AT_ONCE]]
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS {', '.join(named)}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for d in days:
+            files.delete(path(f"{self.folder}/day={_iso(d) or '__HIVE_DEFAULT_PARTITION__'}"), True)
+
+
+_DROPPED_AT_ONCE = 500
+
+
+def _iso(day: date | None) -> str | None:
+    return day.isoformat() if day else None
+
+
+def _on_days(days: list) -> Column:
+    named = F.col("day").isin([d for d in days if d])
+    return named | F.col("day").isNull() if None in days else named
