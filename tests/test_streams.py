@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tracewarden.operators.redact import compile_policy
 from tracewarden.operators.transforms import response_chain
 from tracewarden.plans.queries import RESPONSE_STEPS, STREAM_STEPS, _with_rocksdb
 from tracewarden.streaming.assembly import assemble_stream, first_responses
-from tracewarden.streaming.chain import StreamStep, chain_bodies, chain_lines
+from tracewarden.streaming.chain import Liner, StreamStep, chain_bodies, chain_lines
 from tracewarden.streaming.live import ChangeTable, run_changes
 from tracewarden.streaming.pseudonymise import pseudonymise_spread
 
@@ -99,6 +100,70 @@ def test_chain_equals_the_batch_for_every_cut(spark, tmp_path):
     assert done == {f"{cut}-{k}": batch[k] for cut in range(4) for k in range(len(BODIES))}
 
 
+class Calls:
+    """A state handle that counts how often it is asked."""
+
+    def __init__(self):
+        self.n, self.value, self.map = 0, None, {}
+
+    def getValueState(self, *_):
+        return self.Value(self)
+
+    def getMapState(self, *_):
+        return self.Map(self)
+
+    class Value:
+        def __init__(self, calls):
+            self.calls = calls
+
+        def get(self):
+            self.calls.n += 1
+            return self.calls.value
+
+        def exists(self):
+            return self.get() is not None
+
+        def update(self, value):
+            self.calls.n, self.calls.value = self.calls.n + 1, value
+
+    class Map:
+        def __init__(self, calls):
+            self.calls = calls
+
+        def getValue(self, key):
+            self.calls.n += 1
+            return self.calls.map.get(key)
+
+        def containsKey(self, key):
+            return self.getValue(key) is not None
+
+        def updateValue(self, key, value):
+            self.calls.n += 1
+            self.calls.map[key] = value
+
+        def removeKey(self, key):
+            self.calls.n += 1
+            del self.calls.map[key]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_waiting_chunks_share_entries_of_the_state(seed):
+    n, rng, calls = 1000, random.Random(seed), Calls()
+    body = "".join(rng.choice("ab\n") for _ in range(n))
+    chunks = [(i, "chunk", c) for i, c in enumerate(body)] + [(n, "end", None)]
+    rng.shuffle(chunks)
+    liner, out = Liner(None), []
+    liner.init(calls)
+    for at in range(0, n + 1, 300):
+        batch = chunks[at : at + 300] + chunks[: at // 30]
+        frame = pd.DataFrame(batch, columns=["seq", "kind", "payload"])
+        for lines in liner.handleInputRows(("s",), iter([frame]), None):
+            out += list(zip(lines["line_no"], lines["kind"], lines["text"], strict=True))
+    whole = body.split("\n")
+    assert out == [*((i, "line", t) for i, t in enumerate(whole)), (len(whole), "end", None)]
+    assert calls.map == {} and calls.n < n / 5
+
+
 def test_steps_that_fail_keep_the_stream(spark, tmp_path):
     def bad_end(known):
         raise ValueError("no")

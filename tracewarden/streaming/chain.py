@@ -39,6 +39,11 @@ class StreamStep:
     end: Callable[[Any], str | None] | None = None
 
 
+#: Chunks that wait are kept so many numbers to an entry of the state: a call for an entry costs
+#: far more than a chunk in it.
+WAITING = 64
+
+
 class Liner(StatefulProcessor):
     """Chunks to lines. Chunks that come before their turn wait for the ones between."""
 
@@ -47,20 +52,35 @@ class Liner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # What is left of an ended stream is a number, by which repeated chunks are known.
-        self._open = handle.getValueState("open", "next long, lines long, partial string", self._idle_ms)
-        self._early = handle.getMapState("early", "seq long", "kind string, payload string", self._idle_ms)
+        self._open = handle.getValueState("open", "next long, lines long, partial string, waiting long", self._idle_ms)
+        self._early = handle.getMapState("early", "block long", "chunks string", self._idle_ms)
+
+    def _waiting(self, block: int) -> dict[int, tuple[str, str | None]]:
+        """The chunks that wait in a block of numbers."""
+        found = self._early.getValue((block,))
+        return {seq: (kind, payload) for seq, kind, payload in json.loads(found[0])} if found else {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        due, lines, partial = self._open.get() if self._open.exists() else (0, 0, "")
-        came = {}
+        due, lines, partial, waiting = self._open.get() or (0, 0, "", 0)
+        came: dict[int, dict[int, tuple[str, str | None]]] = {}
         for batch in rows:
-            came.update(zip(batch["seq"].tolist(), zip(batch["kind"], batch["payload"], strict=True), strict=True))
+            for seq, kind, payload in zip(batch["seq"].tolist(), batch["kind"], batch["payload"], strict=True):
+                if seq >= due:
+                    came.setdefault(seq // WAITING, {})[seq] = (kind, payload)
+        blocks: dict[int, dict[int, tuple[str, str | None]]] = {}
+        kept: dict[int, int] = {}
+
+        def block_of(block: int) -> dict[int, tuple[str, str | None]]:
+            """What waits in a block and what came for it, read once."""
+            if block not in blocks:
+                old = self._waiting(block) if waiting else {}
+                kept[block] = len(old)
+                blocks[block] = {**old, **came.get(block, {})}
+            return blocks[block]
+
         out: list[tuple[int, str, str | None]] = []
         while True:
-            now = came.pop(due, None)
-            if now is None and self._early.containsKey((due,)):
-                now = self._early.getValue((due,))
-                self._early.removeKey((due,))
+            now = block_of(due // WAITING).pop(due, None)
             if now is None:
                 break
             kind, payload = now
@@ -74,10 +94,17 @@ class Liner(StatefulProcessor):
                 lines += 1
             if kind == "end":
                 out.append((lines, "end", None))
-        for seq, (kind, payload) in came.items():
-            if seq > due:
-                self._early.updateValue((seq,), (kind, payload))
-        self._open.update((due, lines, partial))
+        for block in came:
+            block_of(block)
+        left = waiting
+        for block, chunks in blocks.items():
+            left += len(chunks) - kept[block]
+            if chunks and (block in came or len(chunks) != kept[block]):
+                text = json.dumps([[seq, kind, payload] for seq, (kind, payload) in chunks.items()])
+                self._early.updateValue((block,), (text,))
+            elif kept[block] and not chunks:
+                self._early.removeKey((block,))
+        self._open.update((due, lines, partial, left))
         if out:
             numbers, kinds, texts = zip(*out, strict=True)
             yield pd.DataFrame(
@@ -107,8 +134,9 @@ class Closer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         step = self._step
         known, failed, ended = step.start, False, False
-        if self._known.exists():
-            text, failed = self._known.get()
+        before = self._known.get()
+        if before:
+            text, failed = before
             known = json.loads(text)
         for batch in [pd.concat(list(rows)).sort_values("line_no", kind="stable")]:
             out = []
@@ -135,9 +163,9 @@ class Closer(StatefulProcessor):
             yield pd.DataFrame(
                 {"stream_id": [key[0]] * len(out), "line_no": numbers, "kind": kinds, "text": texts, "failed": marks}
             )
-        if ended:
+        if ended and before:
             self._known.clear()
-        else:
+        elif not ended:
             self._known.update((json.dumps(known), failed))
 
     def close(self) -> None:
