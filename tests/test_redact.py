@@ -1,13 +1,15 @@
 import random
 import time
+from dataclasses import replace
 
 import pytest
 import regex
 from pyspark.sql import functions as F
 
+from tracewarden.dialect import Pattern
 from tracewarden.operators import redact as R
 from tracewarden.plans.derived import PLANTED
-from tracewarden.rules.base import rule
+from tracewarden.rules.base import Rule, rule
 
 
 def redacted(df, policy):
@@ -245,3 +247,16 @@ def test_leaf_paths(spark):
     assert [(r.path, r.value) for r in rows][:3] == [
         ("model", "a@b.co"), ("messages.*.role", "user"), ("messages.*.content", 'mail a@b.co "q" é\n')]
     assert rows[-1].path == "metadata.user"
+
+
+def test_literal_guards_hold_after_a_replacement(texts):
+    """A changed text is looked through for the literals that it then has."""
+    first = Rule("first", Pattern("old"), token="sEcret word")
+    later = Rule("later", Pattern(r"\bword\b"), token="<W>", needs=(("secret",),))
+    absent = Rule("absent", Pattern("<W>"), token="!", needs=(("absent",),))
+    for rules in ((first, later, absent), tuple(replace(r, allow=(Pattern("none"),)) for r in (first, later, absent))):
+        policy = R.Policy(rules)
+        done = R.redact_table(texts(["old word", "a word", "Secret word", None]), policy).orderBy("id").collect()
+        assert [r.text for r in done] == ["sEcret <W> <W>", "a word", "Secret <W>", None]
+        hits = R.redaction_findings(texts(["old word", "a word"]), policy, keys=["id"]).collect()
+        assert sorted((r.id, r.rule, r.hit_ord, r.original) for r in hits) == [(0, "first", 0, "old"), (0, "later", 0, "word"), (0, "later", 1, "word")]

@@ -5,7 +5,7 @@ projections, one per rule, each seeing the text that the previous ones left. The
 chain is row-local, so redaction is a narrow stage whatever the size of the table.
 
 Most rows match no rule. Every step is therefore guarded by literal look-ups on the
-lower-cased original, which are valid while the text is still unchanged, and the
+lower-cased text, which is made anew only where a rule has changed the text, and the
 pattern itself runs only on rows that pass.
 """
 
@@ -125,20 +125,14 @@ def _dropped(policy: Policy, rule: Rule, match: Column, captured: Column) -> Col
     return any_of(tests) if tests else None
 
 
-def _step_guard(rule: Rule, now: Column, lowered: Column, untouched: Column) -> Column:
-    """A necessary condition for the rule to fire.
-
-    The literal checks read the original text, so they only count while nothing has
-    been replaced yet.
-    """
+def _step_guard(rule: Rule, now: Column, lowered: Column) -> Column:
+    """A necessary condition for the rule to fire; ``lowered`` is the text as it stands, lower-cased."""
     literal = rule.may_match(lowered)
     if rule.context and all(word.isascii() for word in rule.context):
         spoken = any_of([F.contains(lowered, F.lit(word)) for word in rule.context])
         literal = spoken if literal is None else literal & spoken
     pattern = F.rlike(now, F.lit(rule.probe_java))
-    if literal is None:
-        return pattern
-    return (literal | ~untouched) & pattern
+    return pattern if literal is None else literal & pattern
 
 
 def _parts(rule: Rule, now: Column) -> Column:
@@ -155,12 +149,11 @@ def _parts(rule: Rule, now: Column) -> Column:
                 F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(F.get(x["lead"], i), F.lit("")))).alias("g"),
             ),
         )
-    whole = all_matches(now, rule.java)
-    return F.struct(
-        whole.alias("m"),
-        (all_matches(now, rule.java, rule.group) if rule.group else whole).alias("c"),
-        gaps(now, rule.java).alias("g"),
-    )
+    found = [all_matches(now, rule.java).alias("m"), gaps(now, rule.java).alias("g")]
+    if rule.group and (rule.allow or rule.min_entropy is not None):
+        return F.struct(*found, all_matches(now, rule.java, rule.group).alias("c"))
+    # Only a suppression looks at captures: the text is not searched for them a third time.
+    return let(F.struct(*found), lambda x: F.struct(x["m"].alias("m"), x["m"].alias("c"), x["g"].alias("g")))
 
 
 def _stitch(parts: Column, chosen: Column, token: Callable[[Column], Column]) -> Column:
@@ -256,21 +249,24 @@ def _plain(policy: Policy, rule: Rule) -> bool:
     )
 
 
-def _step(policy: Policy, rule: Rule, now: Column, lowered: Column, untouched: Column) -> Column:
-    """The text after one rule."""
+def _done(policy: Policy, rule: Rule, now: Column) -> Column:
+    """The text after one rule that may fire."""
     token = F.lit(rule.token)
     if _plain(policy, rule):
         kept = "$1" if rule.lead else ""
-        done = F.regexp_replace(now, F.lit(rule.java), F.lit(kept + replacement(rule.token)))
-    else:
-        done = let(
-            _parts(rule, now),
-            lambda parts: let(
-                _choose(policy, rule, parts, token),
-                lambda chosen: _stitch(parts, chosen, lambda i: token),
-            ),
-        )
-    return F.when(_step_guard(rule, now, lowered, untouched), done).otherwise(now)
+        return F.regexp_replace(now, F.lit(rule.java), F.lit(kept + replacement(rule.token)))
+    return let(
+        _parts(rule, now),
+        lambda parts: let(
+            _choose(policy, rule, parts, token),
+            lambda chosen: _stitch(parts, chosen, lambda i: token),
+        ),
+    )
+
+
+def _lowered(x: Column, now: Column) -> Column:
+    """The lower-cased text for the next rule."""
+    return F.when(now == x["now"], x["low"]).otherwise(F.lower(now))
 
 
 # --- the chain ----------------------------------------------------------------
@@ -290,11 +286,14 @@ def _start(text: Column, keep_hits: bool = False) -> Column:
 
 
 def _rule_step(policy: Policy, rule: Rule) -> Callable[[Column], Column]:
-    return lambda x: F.struct(
-        x["was"].alias("was"),
-        x["low"].alias("low"),
-        _step(policy, rule, x["now"], x["low"], x["now"] == x["was"]).alias("now"),
-    )
+    def step(x: Column) -> Column:
+        changed = let(
+            _done(policy, rule, x["now"]),
+            lambda now: F.struct(x["was"].alias("was"), _lowered(x, now).alias("low"), now.alias("now")),
+        )
+        return F.when(_step_guard(rule, x["now"], x["low"]), changed).otherwise(x)
+
+    return step
 
 
 def _hit_step(policy: Policy, rule: Rule, ord_: int, token: Namer | None) -> Callable[[Column], Column]:
@@ -311,11 +310,14 @@ def _hit_step(policy: Policy, rule: Rule, ord_: int, token: Namer | None) -> Cal
             now = _stitch(parts, chosen, lambda i: seen)
         else:
             now = let(running_starts(F.transform(chosen, lambda c: F.when(c, 1).otherwise(0))), named)
-        return F.struct(
-            x["was"].alias("was"),
-            x["low"].alias("low"),
-            now.alias("now"),
-            F.concat(x["hits"], _hits(rule, ord_, parts, chosen)).alias("hits"),
+        return let(
+            now,
+            lambda text: F.struct(
+                x["was"].alias("was"),
+                _lowered(x, text).alias("low"),
+                text.alias("now"),
+                F.concat(x["hits"], _hits(rule, ord_, parts, chosen)).alias("hits"),
+            ),
         )
 
     def step(x: Column) -> Column:
@@ -325,9 +327,7 @@ def _hit_step(policy: Policy, rule: Rule, ord_: int, token: Namer | None) -> Cal
                 _choose(policy, rule, parts, seen), lambda chosen: replaced(x, parts, chosen)
             ),
         )
-        return F.when(
-            _step_guard(rule, x["now"], x["low"], x["now"] == x["was"]), done
-        ).otherwise(x)
+        return F.when(_step_guard(rule, x["now"], x["low"]), done).otherwise(x)
 
     return step
 
