@@ -522,10 +522,10 @@ def redact_json(df: DataFrame, policy: Policy, body: str, out: str | None = None
         .withColumn("_leaves", leaves)
     )
     df = _run_rules(df, inner, "_leaves")
-    rebuilt = _stitch(
-        parts,
+    # Bound once: inside the stitching it would be worked out anew for every literal.
+    rebuilt = let(
         F.transform(F.col("_leaves"), lambda x: F.coalesce(x["now"] != x["was"], F.lit(False))),
-        lambda i: _quote(F.get(F.col("_leaves"), i)["now"]),
+        lambda changed: _stitch(parts, changed, lambda i: _quote(F.get(F.col("_leaves"), i)["now"])),
     )
     return df.withColumn(
         out or body, F.when(parts.isNotNull(), rebuilt).otherwise(text)
