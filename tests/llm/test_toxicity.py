@@ -159,3 +159,15 @@ def test_the_cache_of_words_changes_no_score(monkeypatch):
     scorer = toxicity.Scorer(net)
     parts = np.concatenate([scorer.scores(texts[i : i + 7]) for i in range(0, 300, 7)])
     assert parts == pytest.approx(whole, abs=1e-5)
+
+
+def test_texts_alone_go_to_the_workers(edge_documents):
+    """Rows stay where they are while their texts are scored; only scores come back."""
+    vocabulary, spots = {b"al": 1}, np.zeros(toxicity.BUCKETS, dtype=np.int32)
+    model = toxicity.Network.fresh(vocabulary, spots, np.random.default_rng(1))
+    out = toxicity.score_documents(edge_documents, model)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    scorer = toxicity.Scorer(model)
+    for r in out.select("_d.doc_id", "_d.text", "_score").collect():
+        assert abs(r._score - scorer.scores([None if r.text is None else r.text.encode()])[0]) < 1e-6

@@ -399,23 +399,25 @@ def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
     """_d (a struct of all columns of ``docs``) and _score, from 0 to 1 for every whole text.
 
     Null and empty texts, and texts without words, are one empty window. Repeated rows score
-    alike. No shuffle; a task holds one batch of texts and the inputs of ``CACHE`` words.
+    alike. No shuffle; texts alone go to the workers and scores come back; a task holds one batch
+    of texts and the inputs of ``CACHE`` words.
     """
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_d"))
     if isinstance(model, float):
         return rows.withColumn("_score", F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.vocabulary, model.spots))
-    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(Network(*shared.value))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch["_d"].slice(at, 128)
-                scores = scorer.scores(part.flatten()[place].cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64())], names=["_d", "_score"])
+        for texts in batches:
+            scores = [scorer.scores(texts.slice(at, 128).cast(pa.binary()).to_pylist()) for at in range(0, len(texts), 128)]
+            yield pa.array(np.concatenate([np.empty(0), *scores]), pa.float64())
 
-    return rows.mapInArrow(lean(run), T.StructType([rows.schema["_d"], T.StructField("_score", T.DoubleType())]))
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(run)(batches)
+
+    return rows.withColumn("_score", score("_d.text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
