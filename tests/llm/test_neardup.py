@@ -74,3 +74,16 @@ def test_components(spark):
 def test_empty(no_documents):
     assert neardup.near_duplicates(no_documents).collect() == []
     assert neardup.distinct_documents(no_documents).collect() == []
+
+
+def test_texts_are_found_without_a_shuffle(spark):
+    """The filter keeps every wanted row, few others, and no exchange lies above the texts."""
+    docs = spark.createDataFrame([(i - 3000, f"text {i}") for i in range(20000)] + [(None, "none")], "node long, text string")
+    wanted = spark.range(-3000, 17000, 20).withColumnRenamed("id", "node")
+    found = neardup._among(docs, wanted)
+    assert found.columns == docs.columns
+    nodes = {r.node for r in found.collect()}
+    assert {r.node for r in wanted.collect()} <= nodes and len(nodes) < 1000 + 19000 / 8
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert neardup._among(docs, wanted.limit(0)).collect() == []

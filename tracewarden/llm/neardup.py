@@ -24,6 +24,8 @@ BINS, SKETCH_LONGS = 1024, 32
 SIGMAS = 4
 #: Members of a bucket that meet in one go.
 BLOCK = 1024
+#: Bits of a filter per node that it lets through; it lets one in so many others through as well.
+SPARE = 16
 #: Words that a task keeps with their hashes before it starts anew: some 30 MB.
 CACHE = 200_000
 
@@ -242,9 +244,34 @@ def _crossing(open_: DataFrame, percent: int, parts: int) -> DataFrame:
     )
 
 
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (node) that ``wanted`` (node) may hold: all that it holds, and one in ``SPARE`` others.
+
+    A filter of two bytes per wanted node goes to the rows, so that rows with texts need not be
+    shuffled to be found. It is made of bitmaps of 4 KB, each by one group.
+    """
+    slots = (wanted.count() * SPARE // (1 << 15) + 1) << 15
+
+    def placed(rows: DataFrame) -> DataFrame:
+        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+        return rows.withColumns({"_map": F.bitmap_bucket_number(slot), "_place": F.bitmap_bit_position(slot)})
+
+    maps = placed(wanted).repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    return (
+        placed(docs)
+        .join(F.broadcast(maps), "_map")
+        .filter(f"shiftright({byte}, cast(_place % 8 as int)) % 2 = 1")
+        .drop("_map", "_place", "_bits")
+    )
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole shingle sets are alike; sets are made from the texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    """Those of ``pairs`` (a, b) whose whole shingle sets are alike; sets are made from the texts.
+
+    Sets are made where the texts are read; only sets are shuffled, not texts.
+    """
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -256,7 +283,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                     [part["node"], pa.array(sets, pa.binary())], names=["node", "shingles"]
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    texts = _among(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), wanted).select("node", "text")
     sets = stored(texts.mapInArrow(lean(build), "node long, shingles binary"), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
