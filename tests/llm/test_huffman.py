@@ -80,3 +80,20 @@ def test_edges(edge_documents, parts):
 
 def test_empty(no_documents):
     assert huffman.round_trip(no_documents, PATH).collect() == []
+
+
+def test_latin_words_need_no_pattern():
+    """The library's merges alone encode words of Latin letters, numbers and signs."""
+    library, own = Tokenizer.from_file(PATH), huffman.Encoder(PATH)
+    batches = []
+
+    class Spy:
+        def encode_batch_fast(self, words, **options):
+            batches.append(words)
+            return library.encode_batch_fast(words, **options)
+
+    own.tokenizer = Spy()
+    texts = ["some words, Straße ÿ 12 +-;\nline ɏɐ", "日本 ΩΣ x", "same words, x", "xƀy ¶ ½²"]
+    expected = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert [x.tolist() for x in own.encode(texts)] == expected
+    assert sorted(w for b in batches for w in b) == sorted([" ɏɐ", "日本", " ΩΣ"])

@@ -24,6 +24,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,17 @@ def cut_at_words(text: str, size: int) -> Iterator[str]:
 LETTER, NUMBER, SPACE, LINE, OTHER, ODD, UNSEEN = range(7)
 
 
+#: The first sign beyond the Latin ones, on whose kinds all engines agree.
+LATIN = "\u0250"
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary; 0 stays, it ends words here."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b}
+
+
 class Grown:
     """An array that is filled in place and moved only when it doubles."""
 
@@ -87,7 +99,8 @@ class Encoder:
 
     The vocabulary's pattern makes words of letters, of numbers, or of anything else, each with
     the space before it, and merges stay inside words. So each different word is encoded once by
-    the library, and texts are put together from the results. Texts with apostrophes, runs of
+    the library, Latin ones by its merges without the pattern, and texts are put together from the
+    results. Texts with apostrophes, runs of
     white space, special tokens, or signs on which engines may differ are encoded whole.
     """
 
@@ -99,6 +112,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.signs = self.tokenizer.model.tokenize, byte_signs()
         self.classes = np.full(0x110000, UNSEEN, dtype=np.uint8)
         rng = np.random.Generator(np.random.PCG64(9))
         self.factors = rng.integers(1, 1 << 63, (2, self.LONGEST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,15 +145,19 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _learn(self, words: list[str], hashes: np.ndarray, checks: np.ndarray) -> None:
-        coded = []
-        for at in range(0, len(words), 4096):
-            coded += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+        # What is Latin is one word of the pattern on every engine, and needs the library's merges alone.
+        latin = [w.isascii() or max(w) < LATIN for w in words]
+        signs = "\0".join(compress(words, latin)).encode().decode("latin-1").translate(self.signs).split("\0")
+        merged = ([t.id for t in self.merges(w)] for w in signs)
+        rest = [w for w, x in zip(words, latin, strict=True) if not x]
+        whole = (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        coded = [next(merged if x else whole) for x in latin]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
         self.known.update(zip(hashes.tolist(), range(len(self.known), len(self.known) + len(words)), strict=True))
         self.checks.add(checks)
         self.starts.add(self.flat.size + np.cumsum(sizes) - sizes)
         self.sizes.add(sizes)
-        self.flat.add(np.array([i for c in coded for i in c], dtype=np.uint32))
+        self.flat.add(np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id; so many texts at a time that arrays stay small."""
