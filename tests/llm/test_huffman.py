@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewarden.llm import huffman
@@ -97,3 +98,73 @@ def test_latin_words_need_no_pattern():
     expected = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     assert [x.tolist() for x in own.encode(texts)] == expected
     assert sorted(w for b in batches for w in b) == sorted([" ɏɐ", "日本", " ΩΣ"])
+
+
+def test_merges_take_many_words_in_a_call(monkeypatch):
+    """Latin words reach the library's merges in runs, and a known word never again."""
+    library, own = Tokenizer.from_file(PATH), huffman.Encoder(PATH)
+    calls, merges = [], own.merges
+    own.merges = lambda signs: calls.append(signs) or merges(signs)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{chr(97 + x % 26)}é{x}," for x in rng.integers(0, 500, 300).tolist()) for _ in range(8)]
+    expected = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    monkeypatch.setattr(huffman, "CHARS", 700)
+    monkeypatch.setattr(huffman, "LEARNT", 64)
+    for some in (slice(0, 5), slice(3, 8), slice(0, 8)):
+        assert [x.tolist() for x in own.encode(texts[some])] == expected[some]
+    known = own.words.to_pylist()
+    assert len(known) == len(set(known)) > 500
+    assert len(calls) <= len(known) / huffman.MERGED + 4
+    monkeypatch.setattr(huffman, "CACHE", 10)
+    assert [x.tolist() for x in own.encode(texts[:1])] == expected[:1]
+    assert len(own.words) < len(known)
+
+
+def test_stop_is_in_no_merge():
+    signs = huffman.byte_signs()
+    assert sorted(map(chr, signs)) == sorted({s for s in Tokenizer.from_file(PATH).get_vocab() if len(s) == 1})
+    alone = {chr(s): i for i, s in enumerate(signs.tolist())}
+    zero, one = chr(signs[0]), chr(signs[1])
+    assert huffman.free_sign(alone, signs) == zero
+    assert huffman.free_sign({**alone, "a" + zero: 256}, signs) == one
+    controls = "".join(chr(signs[b]) for b in range(32) if b != 10)
+    assert huffman.free_sign({**alone, controls: 256}, signs) is None
+
+
+def test_merges_that_take_up_control_bytes(tmp_path):
+    """Texts come out as by the library, whatever bytes its merges take up."""
+    from tokenizers import models, pre_tokenizers
+
+    signs = [chr(s) for s in huffman.byte_signs()]
+    texts = ["ab ab, é ab\nx", "a\x00b ab", "日本 ab"]
+    for taken in (1, 32):
+        vocabulary = {s: i for i, s in enumerate(signs)} | {"ab": 256}
+        merges = [("a", "b")]
+        for i, s in enumerate(signs[:taken]):
+            vocabulary["b" + s] = 257 + i
+            merges.insert(0, ("b", s))
+        library = Tokenizer(models.BPE(vocabulary, merges))
+        library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        library.save(str(tmp_path / "some.json"))
+        own = huffman.Encoder(str(tmp_path / "some.json"))
+        assert own.stop == (signs[1] if taken == 1 else None)
+        expected = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert [x.tolist() for x in own.encode(texts)] == expected
+
+
+@pytest.mark.parametrize("lump", [1, 3000, 1 << 40])
+def test_lumps(edge_documents, lump, monkeypatch):
+    """Documents are encoded in lumps of whole rows, and none is lost between them."""
+    library = Tokenizer.from_file(PATH)
+    texts = [r.text or "" for r in edge_documents.collect()]
+    monkeypatch.setattr(huffman, "LUMP", lump)
+    sizes = [len(t.encode()) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    lumps = list(huffman.lumps(batch))
+    assert [t for x in lumps for t in x["text"].to_pylist()] == texts
+    for x in lumps:
+        assert x.num_rows and sum(len(t.encode()) for t in x["text"].to_pylist()) <= lump + max(sizes)
+    assert [x.num_rows for x in huffman.lumps(batch.slice(0, 0))] == []
+    docs = {t: library.encode(t, add_special_tokens=False).ids + [0] for t in set(texts)}
+    got = [x.tolist() for y in lumps[:5] for x in huffman.Encoder(PATH).encode(y["text"].to_pylist())]
+    assert got == [docs[t] for t in texts[: len(got)]]

@@ -24,10 +24,11 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,14 @@ BLOCK = 1 << 17
 END_ID = 0
 #: Words that a task keeps with their ids before it starts anew: some 100 MB.
 CACHE = 500_000
-#: Signs that are cut into words at a time; a sign takes a dozen numbers of eight bytes.
-CHARS = 150_000
+#: Signs that are cut into words at a time; a sign takes some 50 bytes.
+CHARS = 500_000
+#: Bytes of text that are encoded at a time, so that a word is looked up once in all of them.
+LUMP = 8_000_000
+#: New words that are encoded at a time; the library's own results are large.
+LEARNT = 16_384
+#: Words that go through the library's merges in one call.
+MERGED = 32
 
 
 def cut_at_words(text: str, size: int) -> Iterator[str]:
@@ -71,11 +78,20 @@ LETTER, NUMBER, SPACE, LINE, OTHER, ODD, UNSEEN = range(7)
 LATIN = "\u0250"
 
 
-def byte_signs() -> dict[int, str]:
-    """The sign that stands for each byte in a byte-level vocabulary; 0 stays, it ends words here."""
+def byte_signs() -> np.ndarray:
+    """The sign that stands for each byte in a byte-level vocabulary."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    signs = np.arange(256, dtype="<u2")
     others = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(others) if b}
+    signs[others] = 256 + np.arange(len(others))
+    return signs
+
+
+def free_sign(vocabulary: dict[str, int], signs: np.ndarray) -> str | None:
+    """The sign of a control byte other than a new line that no merge takes up, if there is one."""
+    longer = "".join(t for t in vocabulary if len(t) > 1)
+    controls = (chr(signs[b]) for b in range(32) if b != 10)
+    return next((c for c in controls if c in vocabulary and c not in longer), None)
 
 
 class Grown:
@@ -99,9 +115,10 @@ class Encoder:
 
     The vocabulary's pattern makes words of letters, of numbers, or of anything else, each with
     the space before it, and merges stay inside words. So each different word is encoded once by
-    the library, Latin ones by its merges without the pattern, and texts are put together from the
-    results. Texts with apostrophes, runs of
-    white space, special tokens, or signs on which engines may differ are encoded whole.
+    the library, and texts are put together from the results. Latin words go to its merges without
+    the pattern, many in a call: a sign that is in no merge stands after each. Texts with
+    apostrophes, runs of white space, special tokens, or signs on which engines may differ are
+    encoded whole.
     """
 
     LONGEST = 64
@@ -113,16 +130,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges, self.signs = self.tokenizer.model.tokenize, byte_signs()
+        vocabulary = self.tokenizer.get_vocab()
+        self.stop = free_sign(vocabulary, self.signs)
+        if self.stop:
+            self.stop_id = vocabulary[self.stop]
+            self.signs[0] = ord(self.stop)
         self.classes = np.full(0x110000, UNSEEN, dtype=np.uint8)
-        rng = np.random.Generator(np.random.PCG64(9))
-        self.factors = rng.integers(1, 1 << 63, (2, self.LONGEST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.checks, self.sizes, self.starts, self.flat = (
-            Grown(t) for t in (np.uint64, np.int32, np.int32, np.uint32)
-        )
+        self.words = pa.array([], pa.string())
+        self.sizes, self.starts, self.flat = (Grown(t) for t in (np.int32, np.int32, np.uint32))
 
     def _classes_of(self, points: np.ndarray) -> np.ndarray:
         out = self.classes[points]
@@ -144,51 +162,75 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, words: list[str], hashes: np.ndarray, checks: np.ndarray) -> None:
-        # What is Latin is one word of the pattern on every engine, and needs the library's merges alone.
-        latin = [w.isascii() or max(w) < LATIN for w in words]
-        signs = "\0".join(compress(words, latin)).encode().decode("latin-1").translate(self.signs).split("\0")
-        merged = ([t.id for t in self.merges(w)] for w in signs)
-        rest = [w for w, x in zip(words, latin, strict=True) if not x]
-        whole = (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
-        coded = [next(merged if x else whole) for x in latin]
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the library's merges alone, and how many each word has."""
+        raw = np.frombuffer("\0".join(words).encode(), np.uint8)
+        signs = self.signs[raw].tobytes().decode("utf-16-le").split(self.stop)
+        ids: list[int] = []
+        for at in range(0, len(words), MERGED):
+            ids += [t.id for t in self.merges(self.stop.join(signs[at : at + MERGED]) + self.stop)]
+        flat = np.array(ids, dtype=np.uint32)
+        stops = flat == self.stop_id
+        return flat[~stops], np.diff(np.flatnonzero(stops), prepend=-1) - 1
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library's whole way."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
-        self.known.update(zip(hashes.tolist(), range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.checks.add(checks)
-        self.starts.add(self.flat.size + np.cumsum(sizes) - sizes)
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, words: list[str]) -> None:
+        # What is Latin is one word of the pattern on every engine, and needs the library's merges alone.
+        latin = np.array([bool(self.stop) and (w.isascii() or max(w) < LATIN) for w in words], dtype=bool)
+        starts, sizes = np.empty((2, len(words)), dtype=np.int64)
+        for mine, way in ((latin, self._merged), (~latin, self._coded)):
+            if mine.any():
+                ids, size = way(list(compress(words, mine)))
+                starts[mine], sizes[mine] = self.flat.size + np.cumsum(size) - size, size
+                self.flat.add(ids)
+        self.starts.add(starts)
         self.sizes.add(sizes)
-        self.flat.add(np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())))
+
+    def _numbers(self, words: list[pa.DictionaryArray]) -> list[np.ndarray]:
+        """The places of words among those that are known; new ones are learnt."""
+        # A common dictionary begins with that of the first chunk, so known words keep their places.
+        known = pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), self.words)
+        _, *words = pa.chunked_array([known, *words]).unify_dictionaries().chunks
+        for at in range(len(self.words), len(words[0].dictionary), LEARNT):
+            self._learn(words[0].dictionary[at : at + LEARNT].to_numpy(zero_copy_only=False).tolist())
+        self.words = words[0].dictionary
+        return [w.indices.to_numpy() for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with the end id; so many texts at a time that arrays stay small."""
-        out: list[np.ndarray] = []
-        held: list[str] = []
-        for text in texts:
-            if len(text) > CHARS:
-                parts = self._some(held + list(cut_at_words(text, CHARS)))
-                out += parts[: len(held)]
-                # All parts but the last one come with an end id that is not there.
-                out.append(np.concatenate([*[x[:-1] for x in parts[len(held) : -1]], parts[-1]]))
-                held = []
-                continue
-            held.append(text)
-            if sum(map(len, held)) > CHARS:
-                out += self._some(held)
-                held = []
-        return out + self._some(held) if held else out
-
-    def _some(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
+        """Ids of each text, with the end id; so many signs at a time that arrays stay small."""
+        if len(self.words) > CACHE:
             self._forget()
+        groups: list[list[str]] = [[]]
+        parts_of, size = [], 0
+        for text in texts:
+            parts = list(cut_at_words(text, CHARS))
+            parts_of.append(len(parts))
+            for part in parts:
+                if size + len(part) > CHARS and groups[-1]:
+                    groups.append([])
+                    size = 0
+                groups[-1].append(part)
+                size += len(part)
+        plain, counts, words = zip(*map(self._cut, groups), strict=True)
+        coded = chain.from_iterable(map(self._put, groups, plain, counts, self._numbers(list(words))))
         end = np.array([END_ID], dtype=np.uint32)
+        return [np.concatenate([*islice(coded, n), end]) for n in parts_of]
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """Per text whether it is made of its words, and the number of these; then the words."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        plain = np.array(["<|" not in t for t in texts], dtype=bool)
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        first = np.cumsum(sizes) - sizes
-        plain = sizes > 0
-        plain &= np.array(["<|" not in t for t in texts], dtype=bool)
         if not len(points):
-            return [end for _ in texts]
+            return plain, sizes, pa.array([], pa.string()).dictionary_encode()
+        last = np.cumsum(sizes)
+        first = last - sizes
         kinds = self._classes_of(points)
         blank = (kinds == SPACE) | (kinds == LINE)
         starts = np.empty(len(points), dtype=bool)
@@ -198,44 +240,30 @@ class Encoder:
         bad[1:] |= blank[1:] & blank[:-1]
         starts[first[sizes > 0]] = True
         at = np.flatnonzero(starts)
-        size = np.diff(np.append(at, len(points)))
-        bad[at[size > self.LONGEST]] = True
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        plain[owner[bad]] = False
+        bad[at[np.diff(at, append=len(points)) > self.LONGEST]] = True
         # White space may be counted over the seam of two texts; that only sends one of them whole.
-        words = plain[owner[at]]
-        at, size = at[words], size[words]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if len(at):
-            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            signs = points[np.repeat(at, size) + inside].astype(np.uint64) + np.uint64(1)
-            cuts = np.cumsum(size) - size
-            with np.errstate(over="ignore"):
-                hashes, checks = (np.add.reduceat(signs * f[inside], cuts) for f in self.factors)
-                hashes ^= size.astype(np.uint64) << np.uint64(57)
-            seen, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-            get = self.known.get
-            number = np.array([get(h, -1) for h in seen.tolist()], dtype=np.int64)
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                spots = where[new]
-                fresh = [joined[a : a + n] for a, n in zip(at[spots].tolist(), size[spots].tolist(), strict=True)]
-                number[new] = np.arange(len(self.known), len(self.known) + len(new))
-                self._learn(fresh, seen[new], checks[spots])
-            number = number[back]
-            text_of = owner[at]
-            # Two words of one hash: the second one's text is encoded whole.
-            plain[text_of[self.checks.values[number] != checks]] = False
-            count = self.sizes.values[number].astype(np.int64)
-            total = int(count.sum())
-            ids = self.flat.values[np.repeat(self.starts.values[number] - (np.cumsum(count) - count), count) + np.arange(total)]
-            per_text = np.bincount(text_of, count, len(texts)).astype(np.int64)
-            ends = np.cumsum(per_text)
-            for i in np.flatnonzero(plain).tolist():
-                out[i] = np.append(ids[ends[i] - per_text[i] : ends[i]], np.uint32(END_ID))
-        return [
-            x if x is not None else np.append(self._whole(t), end) if t else end for x, t in zip(out, texts, strict=True)
-        ]
+        plain[np.searchsorted(last, np.flatnonzero(bad), side="right")] = False
+        counts = np.searchsorted(at, last) - np.searchsorted(at, first)
+        data = joined.encode("utf-8", "surrogatepass")
+        if len(data) > len(points):
+            # From places of signs to those of their first bytes; other bytes are below -64.
+            at = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)[at]
+        cuts = np.append(at, len(data)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(data))
+        if not plain.all():
+            words = words.filter(pa.array(np.repeat(plain, counts)))
+        return plain, counts * plain, words.dictionary_encode()
+
+    def _put(self, texts: list[str], plain: np.ndarray, counts: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text, without the end id, from the numbers of the words."""
+        size = self.sizes.values[number].astype(np.int64)
+        begin = np.cumsum(size) - size
+        total = int(size.sum())
+        ids = self.flat.values[np.repeat(self.starts.values[number] - begin, size) + np.arange(total)]
+        words = np.cumsum(counts)
+        begin = np.append(begin, total)
+        spans = zip(begin[words - counts].tolist(), begin[words].tolist(), strict=True)
+        return [ids[a:b] if x else self._whole(t) for t, x, (a, b) in zip(texts, plain.tolist(), spans, strict=True)]
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -380,6 +408,15 @@ def read_frame(data: bytes | pa.Buffer, table) -> tuple[int, list[int | None], l
     return first, [None if z else d for d, z in zip(names, null, strict=True)], docs
 
 
+def lumps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``LUMP`` bytes of text; a larger text may make one larger."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // LUMP)) + 1).tolist(), batch.num_rows]
+    for at, end in pairwise(cuts):
+        if at < end:
+            yield batch.slice(at, end - at)
+
+
 DRAFT = "doc_id long, tie long, n long, wide boolean, ids binary"
 
 
@@ -393,8 +430,7 @@ def drafted(docs: DataFrame, path: str) -> DataFrame:
         encoder = Encoder(path)
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in lumps(batch):
                 coded = encoder.encode(some["text"].to_pylist())
                 data = [x.astype("<u4" if wide else "<u2").tobytes() for x in coded]
                 yield pa.RecordBatch.from_arrays(
